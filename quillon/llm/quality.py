@@ -219,3 +219,17 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
 
     scored = docs.select(id_col, text_col).mapInArrow(run, schema)
     return scored.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_quality(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns, whose text scores at least threshold; one pass, no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.square.astype(np.float32), model.bias, model.slope, model.shift))
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        own = Model(*shared.value)
+        for batch in batches:
+            keep = [own.scores(w) >= threshold for _, _, w in W.batches_of(batch.column(at), lower=True)]
+            yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, quality, rules, sequences, store, tokens, warc
+from . import contamination, jaccard, licenses, passages, quality, rules, sequences, store, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +29,22 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.pattern_pack(_table(spark, sf_dir, "documents"), _vocabulary())
 
@@ -55,7 +67,10 @@ def queries() -> dict:
         "op1_quality_classifier": op1_quality_classifier,
         "op2_license_scan": op2_license_scan,
         "op3_token_counts": op3_token_counts,
+        "op4_jaccard_join": op4_jaccard_join,
         "op5_quality_rules": op5_quality_rules,
+        "op6_decontamination": op6_decontamination,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_packed_ids": op9_packed_ids,
         "op10_warc": op10_warc,
