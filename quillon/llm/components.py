@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 No edge, label or component goes to the driver; each step is two grouped
-minima and a join, cut by a reliable checkpoint.  The minima are written
+minima and a join, cut by a written table.  The minima are written
 before they are joined, so that the join shuffles both sides and a node with
 very many edges can be split among tasks.
 """

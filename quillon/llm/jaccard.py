@@ -11,8 +11,9 @@ pairs pass the bound by summed coordinate minima and are then verified on the
 sets themselves.
 
 Large buckets are not expanded into pairs: members are first compared with
-the bucket's smallest node, which joins near copies into one component; only
-what is left in other components is searched with the tree, in blocks.
+the bucket's smallest node, then those outside its component with a few of the
+component's members, which joins near copies into one; only what is still in
+other components is searched with the tree, in blocks.
 """
 
 from __future__ import annotations
@@ -31,12 +32,14 @@ from .components import connected_components
 from .rtree import CountTree
 from .store import cut, written
 
-GROUPS = 32
+GROUPS = 128
 BAND = 1.5
 #: Blocks beyond r + 1, so that up to so many empty blocks need no key of their own.
 SLACK = 1
+#: Members of a bucket's main component that each member outside it is compared with before the search.
+PARTNERS = 4
 #: Members of a bucket block that one search task holds at most, on average.
-BLOCK = 512
+BLOCK = 1024
 #: Ids that may be broadcast to filter the texts at the scan; beyond, a shuffle join does it.
 BROADCAST_IDS = 1_000_000
 _U = np.uint64
@@ -176,19 +179,35 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, t
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _searched(members: DataFrame, roots: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (key, node, root, outside, s, t) of buckets with more than one component, without their pivots.
+
+    outside: whether the node is in another component than the bucket's pivot;
+    s and t count the nodes outside and inside.
+    """
+    root = roots.select("node", "root")
+    pivots = roots.select(F.col("node").alias("pivot"), F.col("root").alias("main"))
+    labelled = members.filter("node <> pivot").join(root, "node", "left").join(pivots, "pivot", "left")
+    labelled = cut(labelled.select("key", "node", F.coalesce("root", "node").alias("root"), (F.coalesce("root", "node") != F.coalesce("main", "pivot")).alias("outside")))
+    counts = labelled.groupBy("key").agg(F.sum(F.col("outside").cast("long")).alias("s"), F.sum((~F.col("outside")).cast("long")).alias("t")).filter("s > 0 and s + t > 1")
+    return cut(labelled.join(cut(counts), "key"))
+
+
+def _partnered(rows: DataFrame) -> DataFrame:
+    """Pairs of each node outside its bucket's main component with a few members inside, drawn by hash."""
+    inside = rows.filter("not outside").groupBy("key").agg(*(F.min_by("node", F.xxhash64("node", F.lit(k))).alias(f"_{k}") for k in range(PARTNERS)))
+    met = rows.filter("outside").select("key", "node").join(cut(inside), "key").select("node", F.explode(F.array(*(f"_{k}" for k in range(PARTNERS)))).alias("b"))
+    return met.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+
+
+def _searched(rows: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of different components that share an open bucket and pass the tree's bound.
 
     A bucket's members in its pivot's component meet only those outside it, and
     these one another, in blocks of about BLOCK by a hash of the node.
     """
-    root = roots.select("node", "root")
-    pivots = roots.select(F.col("node").alias("pivot"), F.col("root").alias("main"))
-    labelled = members.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")).join(pivots, "pivot", "left").withColumn("main", F.coalesce("main", "pivot"))
-    labelled = cut(labelled.filter("node <> pivot"))
-    outside = F.col("root") != F.col("main")
-    open_ = labelled.groupBy("key").agg(F.sum(outside.cast("long")).alias("s"), F.sum((~outside).cast("long")).alias("t")).filter("s > 0 and s + t > 1")
-    rows = labelled.join(open_, "key").join(reps.select("node", "n", "vec"), "node")
+    outside = F.col("outside")
+    rows = rows.join(reps.select("node", "n", "vec"), "node")
     cs, ct = F.ceil(F.col("s") / BLOCK), F.ceil(F.col("t") / BLOCK)
     spot = F.pmod(F.xxhash64("node"), F.when(outside, cs).otherwise(F.greatest(ct, F.lit(1)))).cast("long")
     rows = rows.withColumn("c", F.when(outside, spot).otherwise(cs + spot)).withColumn("j", F.explode(F.when(outside, F.sequence(F.lit(0).cast("long"), cs + ct - 1)).otherwise(F.sequence(F.lit(0).cast("long"), cs - 1))))
@@ -230,10 +249,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = heads.filter("m = 2").select(F.col("last").alias("a"), F.col("pivot").alias("b")).union(members.filter("node <> pivot").select("node", "pivot")).distinct()
     edges = cut(_verified(cut(_bounded(pairs, reps, num, den)), reps, docs, id_col, text_col, n, num, den))
     roots = connected_components(edges)
-    more = cut(_searched(members, roots, reps, num, den))
-    if not more.isEmpty():
-        edges = edges.union(_verified(cut(_bounded(more, reps, num, den)), reps, docs, id_col, text_col, n, num, den))
-        roots = connected_components(edges)
+    for find in (_partnered, lambda rows: _searched(rows, reps, num, den)):
+        rows = _open(members, roots)
+        if rows.isEmpty():
+            break
+        more = cut(_bounded(cut(find(rows)), reps, num, den))
+        if not more.isEmpty():
+            edges = cut(edges.union(_verified(more, reps, docs, id_col, text_col, n, num, den)))
+            roots = connected_components(edges)
 
     linked = roots.join(reps.select("node", "id"), "node")
     least = cut(linked.groupBy("root").agg(F.min("id").alias("least")))

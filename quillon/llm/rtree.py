@@ -2,61 +2,68 @@
 
 Points are counts of a set's members by hash group.  The overlap of two sets
 is at most the sum over the groups of the smaller count, and for a box of
-points at most that with the box's upper corner; branches and points whose
+points at most that with the box's upper corner; boxes and points whose
 bound is under the overlap needed are not followed.
+
+Sums of minima of many queries and boxes are one matrix product, as
+min(a, b) is the number of thresholds t >= 1 that both reach.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Up to this largest count the thresholds go through a matrix product; beyond, groups are taken one by one.
+PRODUCT_COUNT = 8
+
+
+def summed_minima(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The matrix of sums over coordinates of min(a[i], b[j])."""
+    top = int(min(a.max(initial=0), b.max(initial=0)))
+    if top <= PRODUCT_COUNT:
+        steps = range(1, top + 1)
+        left = np.concatenate([(a >= t) for t in steps] or [np.zeros((len(a), 0))], axis=1).astype(np.float32)
+        right = np.concatenate([(b >= t) for t in steps] or [np.zeros((len(b), 0))], axis=1).astype(np.float32)
+        return np.rint(left @ right.T).astype(np.int64)
+    out = np.zeros((len(a), len(b)), np.int64)
+    for g in range(a.shape[1]):
+        out += np.minimum(a[:, g, None], b[None, :, g])
+    return out
+
 
 class CountTree:
     """Packed tree: points in order of size, then of their largest-spread coordinates; boxes of `fan` children."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, fan: int = 16):
+        points = np.asarray(points, np.int32)
         spread = np.argsort(-points.var(0))[:2] if len(points) else [0, 1]
         keys = [points[:, k] for k in reversed(spread)] if len(points) else []
         self.order = np.lexsort((*keys, sizes)) if len(points) else np.zeros(0, np.int64)
-        self.points, self.sizes, self.fan = points[self.order], sizes[self.order], fan
-        self.levels = []  # (upper corners, smallest sizes, largest sizes), leaves first
-        top, low, high = self.points, self.sizes, self.sizes
-        while len(top) > 1:
+        self.points, self.sizes, self.fan = points[self.order], np.asarray(sizes)[self.order], fan
+        self.levels = [(self.points, self.sizes, self.sizes)]  # (upper corners, smallest sizes, largest sizes), points first
+        while len(self.levels[-1][0]) > fan:
+            top, low, high = self.levels[-1]
             at = np.arange(0, len(top), fan)
-            top, low, high = np.maximum.reduceat(top, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
-            self.levels.append((top, low, high))
+            self.levels.append((np.maximum.reduceat(top, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
 
     def search(self, points: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, point) pairs whose bound allows den * intersection >= num * union."""
+        points, sizes = np.asarray(points, np.int32), np.asarray(sizes)
         if not len(self.points) or not len(points):
             z = np.zeros(0, np.int64)
             return z, z
-        query = np.arange(len(points))
-        node = np.zeros(len(points), np.int64)
+        node = np.arange(len(self.levels[-1][0]))
+        open_ = np.ones((len(points), len(node)), bool)
         for k in reversed(range(len(self.levels))):
-            top, low, high = self.levels[k]
-            keep = self._passes(points, sizes, query, top, low, high, node, num, den)
-            query, node = query[keep], node[keep]
-            below = len(self.levels[k - 1][0]) if k else len(self.points)
-            child = node[:, None] * self.fan + np.arange(self.fan)
-            inside = child < below
-            query, node = np.repeat(query, self.fan)[inside.ravel()], child[inside]
-        keep = self._passes(points, sizes, query, self.points, self.sizes, self.sizes, node, num, den)
-        return query[keep], self.order[node[keep]]
-
-    @staticmethod
-    def _passes(points, sizes, query, top, low, high, node, num, den, block: int = 1 << 16) -> np.ndarray:
-        out = np.zeros(len(query), bool)
-        for i in range(0, len(query), block):
-            q, t = query[i : i + block], node[i : i + block]
-            n = sizes[q]
-            # union = n + m - overlap for a size m in [low, high]; the smallest m that can match decides
-            fits = (den * n >= num * low[t]) & (den * high[t] >= num * n)
-            m = np.maximum(low[t], -(-num * n // den))
-            need = num * (n + m)
-            q, t = q[fits], t[fits]
-            bound = np.minimum(points[q], top[t]).sum(1, dtype=np.int64)
-            ok = np.zeros(len(fits), bool)
-            ok[fits] = (num + den) * bound >= need[fits]
-            out[i : i + block] = ok
-        return out
+            top, low, high = (x[node] for x in self.levels[k])
+            open_ &= (den * sizes[:, None] >= num * low) & (den * high >= num * sizes[:, None])
+            # union = n + m - overlap for a size m in low..high; the smallest m that can match decides
+            m = np.maximum(low, -(-num * sizes[:, None] // den))
+            open_ &= (num + den) * summed_minima(points, top) >= num * (sizes[:, None] + m)
+            if k:
+                alive = np.flatnonzero(open_.any(0))
+                child = (node[alive][:, None] * self.fan + np.arange(self.fan)).ravel()
+                inside = child < len(self.levels[k - 1][0])
+                node, open_ = child[inside], np.repeat(open_[:, alive], self.fan, axis=1)[:, inside]
+        query, at = np.nonzero(open_)
+        return query, self.order[node[at]]

@@ -36,9 +36,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df with its lineage cut: a written table.
+
+    A checkpoint would keep the size estimates of the plan it cuts, which
+    multiply with every join of an iteration; a table's sizes are its files'.
+    """
+    return written(df, "cut")
 
 
 #: So many ids may be broadcast; beyond, a shuffle join does the same.
