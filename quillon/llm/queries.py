@@ -88,5 +88,44 @@ FROM h LEFT JOIN f ON h.payload_bytes >= 100 AND h.payload_digest = f.payload_di
 """
 
 
+_WORDS = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+OP4_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM d),
+g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p WHERE 100 * c >= 90 * (na + nb - c)),
+m AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, m.b FROM r JOIN m ON r.b = m.a)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c.b AS component_id FROM s JOIN (SELECT a, min(b) AS b FROM r GROUP BY 1) c ON c.a = s.doc_id
+"""
+
+
+def _grams(n: int) -> str:
+    gram = " || ' ' || ".join(f"w[i + {k}]" for k in range(n))
+    return f"""g{n} AS (SELECT doc_id, unnest(range(1, len(w) - {n - 2})) AS p, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: {gram})) AS g FROM d WHERE len(w) >= {n}),
+c{n} AS (SELECT DISTINCT doc_id, unnest(range(p, p + {n})) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g{n}) WHERE n > 1),
+t{n} AS (SELECT doc_id, count(*) AS words, sum(length(w[c{n}.p])) AS chars FROM c{n} JOIN d USING (doc_id) GROUP BY 1)"""
+
+
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+{", ".join(_grams(n) for n in (3, 5, 8, 10))},
+l AS (SELECT doc_id, line, count(*) AS n, length(line) AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY ALL),
+ll AS (SELECT doc_id, sum(n - 1) AS dup, sum((n - 1) * k) AS dup_chars, sum(n * k) AS chars FROM l GROUP BY 1),
+m AS (SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(dup, 0) AS n_dup_lines, coalesce(t3.words, 0) AS n_repeat_words, coalesce(t5.chars, 0) / greatest(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0), 1) AS share_5,
+  coalesce(t8.chars, 0) / greatest(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0), 1) AS share_8, coalesce(t10.chars, 0) / greatest(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0), 1) AS share_10,
+  coalesce(dup_chars, 0) / greatest(coalesce(ll.chars, 0), 1) AS share_lines
+  FROM d LEFT JOIN t3 USING (doc_id) LEFT JOIN t5 USING (doc_id) LEFT JOIN t8 USING (doc_id) LEFT JOIN t10 USING (doc_id) LEFT JOIN ll USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  base_failed, NOT base_failed AND share_5 <= {rules.NGRAM_SHARE[5]} AND share_8 <= {rules.NGRAM_SHARE[8]} AND share_10 <= {rules.NGRAM_SHARE[10]} AND share_lines <= {rules.LINE_SHARE} AS kept,
+  CAST(share_5 AS DOUBLE) AS share_5, CAST(share_8 AS DOUBLE) AS share_8, CAST(share_10 AS DOUBLE) AS share_10, CAST(share_lines AS DOUBLE) AS share_lines FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": OP10_SQL}
+    return {"op4_jaccard_join": OP4_SQL, "op5_quality_rules": OP5_SQL, "op10_warc": OP10_SQL}
