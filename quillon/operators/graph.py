@@ -467,3 +467,60 @@ def relation_composed(edges: DataFrame, nodes: DataFrame, relations: DataFrame,
     f = {"sub": V.minus, "mul": V.times}[op]
     g = gathered(edges, nodes).join(relations.select("etype", F.col("x").alias("_r")), "etype")
     return vector_sum(g, ["src"], f(F.col("x"), F.col("_r")), width, mean=True).withColumnRenamed("src", "id")
+
+
+# --------------------------------------------------------------- matrices of pairs
+
+
+def katz(edges: DataFrame, beta: float, order: int) -> DataFrame:
+    """(src, dst, w): sum of beta^k A^k for k = 1..order, by repeated sparse products."""
+    a = coalesced(edges)
+    power, total = a, a.select("src", "dst", (beta * F.col("w")).alias("w"))
+    for k in range(2, order + 1):
+        power = cut(product(power, a))
+        total = total.union(power.select("src", "dst", (beta**k * F.col("w")).alias("w")))
+    return total.groupBy("src", "dst").agg(F.sum("w").alias("w"))
+
+
+def positive_pmi(edges: DataFrame) -> DataFrame:
+    """(src, dst, w): ln(w * total / (row sum * column sum)) where that is positive."""
+    e = coalesced(edges)
+    row = e.groupBy("src").agg(F.sum("w").alias("_r"))
+    column = e.groupBy("dst").agg(F.sum("w").alias("_c"))
+    total = e.agg(F.sum("w").alias("_t"))
+    made = e.join(row, "src").join(column, "dst").crossJoin(F.broadcast(total))  # one row
+    return made.select("src", "dst", F.log(F.col("w") * F.col("_t") / (F.col("_r") * F.col("_c"))).alias("w")).filter("w > 0")
+
+
+def log_walk_matrix(edges: DataFrame, window: int = 1, negative: float = 1.0) -> DataFrame:
+    """(src, dst, w): ln(max(M, 1)) of the window-mean walk matrix M = volume / negative * mean_k(P^k) D^-1, zeros left out."""
+    e = coalesced(edges)
+    degree = cut(e.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("_d")))
+    volume = degree.agg(F.sum("_d").alias("_v"))
+    walk = e.join(degree.withColumnRenamed("id", "src"), "src").select("src", "dst", (F.col("w") / F.col("_d")).alias("w"))
+    power, total = walk, walk
+    for _ in range(1, window):
+        power = cut(product(power, walk))
+        total = total.union(power)
+    mean = total.groupBy("src", "dst").agg((F.sum("w") / window).alias("w"))
+    made = mean.join(degree.withColumnRenamed("id", "dst"), "dst").crossJoin(F.broadcast(volume))  # one row
+    return made.select("src", "dst", F.log(F.col("_v") / negative * F.col("w") / F.col("_d")).alias("w")).filter("w > 0")
+
+
+def receptive_fields(edges: DataFrame, starts: DataFrame, size: int, depth: int = 2) -> DataFrame:
+    """(start, place, id): the first `size` nodes around each start, nearer first, then higher degree, then id."""
+    near = breadth_first(edges, starts, depth).join(degrees(edges), "id", "left")
+    place = F.row_number().over(Window.partitionBy("start").orderBy("hops", F.desc(F.coalesce("degree", F.lit(0))), "id"))
+    return near.withColumn("place", place).filter(F.col("place") <= size).select("start", "place", "id")
+
+
+def absorption(edges: DataFrame, labels: DataFrame, alpha: float = 0.5, order: int = 3) -> DataFrame:
+    """(id, label, p): mass that walks from each labelled node leave, by label: alpha * sum of (1 - alpha)^k P^k to `order`."""
+    walk = cut(normalised(edges, "row"))
+    now = labels.select(F.col("id"), "label", F.lit(1.0).alias("v"))
+    total = now.select("id", "label", (alpha * F.col("v")).alias("p"))
+    for k in range(1, order + 1):
+        g = walk.join(now.withColumnRenamed("id", "src"), "src")
+        now = cut(g.groupBy(F.col("dst").alias("id"), "label").agg(F.sum(F.col("w") * F.col("v")).alias("v")))
+        total = total.union(now.select("id", "label", (alpha * (1 - alpha) ** k * F.col("v")).alias("p")))
+    return total.groupBy("id", "label").agg(F.sum("p").alias("p"))

@@ -105,12 +105,13 @@ q AS (SELECT vec_id, cluster, 1 / (1 + d) / sum(1 / (1 + d)) OVER (PARTITION BY
 f AS (SELECT *, q * q / sum(q) OVER (PARTITION BY cluster) AS f FROM q)
 SELECT vec_id, CAST(cluster AS BIGINT) AS cluster, round(q, 6) AS q, round(f / sum(f) OVER (PARTITION BY vec_id), 6) AS p FROM f""")
 def soft_assignment(spark, d):
-    """Every vector to the class centres; centres are one row a class, broadcast as the ten they are."""
+    """Every vector to every class centre; broadcast only after a count."""
     from quillon.operators.graph import vector_sum
 
     e = _vectors(spark, d)
-    centres = vector_sum(e, ["label"], F.col("v"), WIDTH, mean=True).select(F.col("label").alias("cluster"), "x").limit(4096)  # classes: few by nature
-    q = e.crossJoin(F.broadcast(centres)).select("vec_id", "cluster", (1 / (1 + V.sqeuclidean(F.col("v"), F.col("x")))).alias("u"))
+    centres = vector_sum(e, ["label"], F.col("v"), WIDTH, mean=True).select(F.col("label").alias("cluster"), "x")
+    few = centres.count() <= 10_000  # checked: a centre for each class
+    q = e.join(F.broadcast(centres) if few else centres, F.lit(True)).select("vec_id", "cluster", (1 / (1 + V.sqeuclidean(F.col("v"), F.col("x")))).alias("u"))
     from pyspark.sql import Window
 
     by_row, by_cluster = Window.partitionBy("vec_id"), Window.partitionBy("cluster")

@@ -283,3 +283,18 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     q.awaitTermination(120)
     key = lambda r: (r["window_start"], r["event_type"], r["n"], round(r["total"], 6))
     assert sorted(map(key, spark.table("windows_of_events").collect())) == sorted(map(key, W.tumbling(events, ["event_type"], "value", late="60 days").collect()))
+
+
+def test_facade(spark, ring):
+    from quillon.plans import facade as A
+
+    edges, nodes = ring
+    row = A.pipeline("dataset-stats")(edges, nodes.withColumn("y", F.when(F.col("id") < 4, F.col("id") % 2).otherwise(-1))).first()
+    assert (row["nodes"], row["edges"], row["features"], row["classes"], row["labelled"]) == (10, 11, 2, 2, 4)
+    assert A.pipeline("dataset-visual")(edges, 0, 1).count() == 2
+    assert A.pipeline("generate-emb")(edges, 2, "pmi").count() > 0
+    users = spark.createDataFrame([(1, 10), (1, 11), (2, 10), (2, 12)], "user long, item long")
+    assert {(r["user"], r["item"]) for r in A.pipeline("recommendation")(users).collect()} == {(1, 12), (2, 11)}
+    assert A.best(A.experiment(lambda a, b: a * b, a=[1, 3], b=[2, 5])) == {"a": 3, "b": 5, "metric": 15}
+    with pytest.raises(KeyError):
+        A.pipeline("other")
