@@ -6,6 +6,7 @@ tests, a folder of this session's own is set.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -23,8 +24,34 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().get().rstrip("/")
 
 
+_scratch: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch[-1] if _scratch else shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables written inside go away at its end; give what must stay to `kept`."""
+    folder = new_path(spark, "scratch")
+    _scratch.append(folder)
+    try:
+        yield
+    finally:
+        _scratch.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a table that outlives the scratch folder in use."""
+    held = _scratch[:]
+    _scratch.clear()
+    try:
+        return written(df, name)
+    finally:
+        _scratch.extend(held)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -296,3 +296,16 @@ def test_leaks_of_the_table(spark, sf):
     got = {(r["doc_id"], r["item_id"]): r for r in rows(queries.op6_decontamination(spark, sf))}
     assert want and want <= set(got)
     assert {d for d, _ in got} == {d for d, _ in want}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6))
+def test_verify_finds_long_runs(seed):
+    """A verbatim run of width shingles is part of some match, whatever stands around it."""
+    rng = np.random.default_rng(seed)
+    a, b = (rng.integers(0, 40, rng.integers(0, 60)) for _ in range(2))
+    run = rng.integers(100, 10**6, 12)
+    x, y = (np.concatenate([p, run, q]).astype(np.uint64) for p, q in ((a, b), (b, a)))
+    got = passages.verify(x, y, 10, 80, 100, 5)
+    assert all(0 <= s and s + n <= len(x) and 0 <= s2 and s2 + n2 <= len(y) and sim >= 0.8 for s, n, s2, n2, sim in got)
+    assert any(s < len(a) + 12 and s + n > len(a) for s, n, *_ in got)
