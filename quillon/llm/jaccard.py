@@ -5,7 +5,9 @@ Equal sets are one node from the start.  The top of the tree is spread over
 the cluster by pigeonhole: two sets that differ in at most r shingles agree
 wholly in some of any r + 1 blocks of the hash space, so the routing key of a
 block (size band, block, hash of the shingles in it) brings every linked pair
-together; a single coordinate prunes nothing at usual sizes (its spread is
+together; where blocks would hold under DENSE shingles, the first n -
+ceil(t n) + 1 shingles in hash order are the keys, of which linked sets share
+one as well; a single coordinate prunes nothing at usual sizes (its spread is
 below the allowed difference), all coordinates summed do.  Within a bucket,
 pairs pass the bound by summed coordinate minima and are then verified on the
 sets themselves.
@@ -30,12 +32,14 @@ from pyspark.sql import types as T
 from . import words as W
 from .components import connected_components
 from .rtree import CountTree
-from .store import cut, written
+from .store import cut, kept, scratch, written
 
 GROUPS = 128
 BAND = 1.5
 #: Blocks beyond r + 1, so that up to so many empty blocks need no key of their own.
 SLACK = 1
+#: Least shingles of a block, on average, for blocks to be keys.
+DENSE = 4
 #: Members of a bucket's main component that each member outside it is compared with before the search.
 PARTNERS = 4
 #: Members of a bucket block that one search task holds at most, on average.
@@ -74,6 +78,9 @@ def routing_keys(members: np.ndarray, num: int, den: int) -> np.ndarray:
         if r == 0:
             continue  # such sets link only with equal ones
         blocks = r + 1 + SLACK
+        if _band(k, num, den)[0] < DENSE * blocks:
+            out.append(W.mix(members[: n + num * -n // den + 1] + W.mix(np.array([k << 32 | 0xF00D], _U))))
+            continue
         edges = (np.arange(1, blocks, dtype=np.float64) * (2.0**64 / blocks)).astype(_U)
         at = np.concatenate([[0], np.searchsorted(members, edges), [n]])
         sums = total[at[1:]] - total[at[:-1]]
@@ -237,15 +244,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     an id.  Equal sets link whatever ids repeat; other columns are not read;
     an empty table gives no rows.  Sets are compared by 64-bit hashes.
     """
+    with scratch(docs.sparkSession):
+        return kept(_components(docs, id_col, text_col, n, num, den), "components")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
     names = ["id", "node", "n", "keys", "vec"]
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("vec", T.BinaryType())])
     sets = written(docs.select(id_col, text_col).mapInArrow(_features(num, den, n, names), schema), "shingles")
-    classes = sets.filter("node is not null and id is not null").groupBy("node").agg(F.min(F.struct("id", "n", "vec", "keys")).alias("r"))
-    reps = written(classes.select("node", "r.*"), "nodes")
+    some = sets.filter("node is not null and id is not null")
+    reps = written(some.groupBy("node").agg(F.min(F.struct("id", "n", "vec")).alias("r")).select("node", "r.*"), "nodes")
 
-    keyed = reps.select("node", F.explode("keys").alias("key"))
-    heads = written(keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("m")).filter("m > 1"), "buckets")
-    members = written(keyed.join(heads.filter("m > 2").select("key", "pivot"), "key"), "members")
+    keyed = some.select("node", F.explode("keys").alias("key"))
+    heads = written(keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("m")).filter("pivot < last"), "buckets")
+    # copies of a set have its keys too: each node once
+    members = written(keyed.join(heads.filter("m > 2").select("key", "pivot"), "key").distinct(), "members")
     pairs = heads.filter("m = 2").select(F.col("last").alias("a"), F.col("pivot").alias("b")).union(members.filter("node <> pivot").select("node", "pivot")).distinct()
     edges = cut(_verified(cut(_bounded(pairs, reps, num, den)), reps, docs, id_col, text_col, n, num, den))
     roots = connected_components(edges)
