@@ -183,3 +183,9 @@ def geodesic_metres(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radi
 
 def gaussian_weight(distance: Column, sigma: Column) -> Column:
     return F.exp(-F.pow(distance / sigma, 2))
+
+
+def shrunk_negatives(a: Column) -> Column:
+    """Negative elements times the sigmoid of the row's mean."""
+    k = sigmoid(total(a) / F.size(a))
+    return F.transform(a, lambda x: F.when(x < 0, x * k).otherwise(x))

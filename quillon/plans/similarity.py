@@ -331,3 +331,9 @@ def above_median(spark, d):
     c = mark(table(spark, d, "customer").select(F.col("c_acctbal").alias("label")))
     m = c.agg(F.sum("above").alias("above"), F.expr("percentile(label, 0.5)").alias("median"))
     return m.select(r6("median").alias("median"), F.col("above").cast("long").alias("above"))
+
+
+@query(f"""WITH {_E}, l AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS k, 1 / (1 + exp(-list_avg(v))) AS s FROM e) SELECT vec_id, list(round(CASE WHEN x < 0 THEN x * s ELSE x END, 6) ORDER BY k) AS x FROM l GROUP BY 1""")
+def shrunk_features(spark, d):
+    """Negative features times the sigmoid of the row's mean."""
+    return rounded(_vectors(spark, d).select("vec_id", V.shrunk_negatives(F.col("v")).alias("x")))
