@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from . import words as W
 from .components import connected_components
 from .rtree import CountTree
-from .store import cut, kept, scratch, written
+from .store import cut, kept, release, scratch, written
 
 GROUPS = 128
 BAND = 1.5
@@ -43,7 +43,7 @@ DENSE = 4
 #: Members of a bucket's main component that each member outside it is compared with before the search.
 PARTNERS = 4
 #: Members of a bucket block that one search task holds at most, on average.
-BLOCK = 1024
+BLOCK = 768
 #: Ids that may be broadcast to filter the texts at the scan; beyond, a shuffle join does it.
 BROADCAST_IDS = 1_000_000
 _U = np.uint64
@@ -120,7 +120,7 @@ def _features(num: int, den: int, n: int, names: list[str]):
                 node.append(_node(s) if len(s) else None)
                 size.append(len(s))
                 keys.append(W.signed(routing_keys(s, num, den)) if len(s) else np.zeros(0, np.int64))
-                vec.append(np.bincount((s >> shift).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes())
+                vec.append(_packed(np.bincount((s >> shift).astype(np.int64), minlength=GROUPS)))
             edge = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
             lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int64()), lists, pa.array(vec, pa.binary())], names=names)
@@ -128,9 +128,18 @@ def _features(num: int, den: int, n: int, names: list[str]):
     return run
 
 
-def _vectors(column: pa.Array) -> np.ndarray:
-    data, _ = W.string_buffers(column)
-    return data.view("<u4").reshape(-1, GROUPS) if len(column) else np.zeros((0, GROUPS), "<u4")
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts as single bytes where they fit, else as four."""
+    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else "<u4").tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8 if len(raw) == GROUPS else "<u4").astype(np.int32)
+
+
+def _vectors(column: pa.Array | pd.Series) -> np.ndarray:
+    rows = column.to_pylist() if isinstance(column, pa.Array) else column
+    return np.array([_unpacked(x) for x in rows], np.int32).reshape(-1, GROUPS)
 
 
 def _bounded(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
@@ -223,8 +232,7 @@ def _searched(rows: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         i, j = frame["i"].iloc[0], frame["j"].iloc[0]
         left, right = frame[frame["c"] == i], frame[frame["c"] == j]
-        points = lambda f: np.frombuffer(b"".join(f["vec"]), "<u4").reshape(-1, GROUPS).astype(np.int32)
-        q, p = CountTree(points(right), right["n"].to_numpy()).search(points(left), left["n"].to_numpy(), num, den)
+        q, p = CountTree(_vectors(right["vec"]), right["n"].to_numpy()).search(_vectors(left["vec"]), left["n"].to_numpy(), num, den)
         a, b = left["node"].to_numpy()[q], right["node"].to_numpy()[p]
         keep = left["root"].to_numpy()[q] != right["root"].to_numpy()[p]
         return pd.DataFrame({"a": np.maximum(a, b)[keep], "b": np.minimum(a, b)[keep]}).drop_duplicates()
@@ -259,9 +267,11 @@ def _components(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, d
     heads = written(keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("m")).filter("pivot < last"), "buckets")
     # copies of a set have its keys too: each node once
     members = written(keyed.join(heads.filter("m > 2").select("key", "pivot"), "key").distinct(), "members")
+    release(docs.sparkSession)
     pairs = heads.filter("m = 2").select(F.col("last").alias("a"), F.col("pivot").alias("b")).union(members.filter("node <> pivot").select("node", "pivot")).distinct()
     edges = cut(_verified(cut(_bounded(pairs, reps, num, den)), reps, docs, id_col, text_col, n, num, den))
     roots = connected_components(edges)
+    release(docs.sparkSession)
     for find in (_partnered, lambda rows: _searched(rows, reps, num, den)):
         rows = _open(members, roots)
         if rows.isEmpty():
@@ -270,6 +280,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, d
         if not more.isEmpty():
             edges = cut(edges.union(_verified(more, reps, docs, id_col, text_col, n, num, den)))
             roots = connected_components(edges)
+        release(docs.sparkSession)
 
     linked = roots.join(reps.select("node", "id"), "node")
     least = cut(linked.groupBy("root").agg(F.min("id").alias("least")))

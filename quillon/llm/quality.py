@@ -22,7 +22,7 @@ from . import words as W
 
 BITS = 18
 #: At most so many labelled rows are fitted on (a documented bound), in the order of a hash of the id.
-FIT_ROWS = 12_000
+FIT_ROWS = 8_000
 _U = np.uint64
 
 _b = np.arange(256)

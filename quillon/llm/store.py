@@ -7,6 +7,7 @@ tests, a folder of this session's own is set.
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().get().rstrip("/")
 
 
+#: Rows of an Arrow batch while a scratch folder is in use.
+BATCH_ROWS = 2_000
 _scratch: list[str] = []
 
 
@@ -33,15 +36,28 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
-    """Tables written inside go away at its end; give what must stay to `kept`."""
-    folder = new_path(spark, "scratch")
+    """Tables written inside go away at its end; give what must stay to `kept`.
+
+    Arrow batches are short meanwhile: rows here may hold a text or two.
+    """
+    folder, size = new_path(spark, "scratch"), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
     _scratch.append(folder)
     try:
         yield
     finally:
+        spark.conf.set(size, before)
         _scratch.remove(folder)
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished work now; it waits for the driver's garbage collection else."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
