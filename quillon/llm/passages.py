@@ -29,6 +29,8 @@ from .jaccard import BROADCAST_IDS
 from .store import cut, kept, release, scratch, written
 
 _U = np.uint64
+#: Places of equal shingles in two texts that are looked at together.
+PAIRS = 1 << 20
 _SALTS = W.mix(np.arange(1, 65, dtype=_U) * _U(0xABCDEF123456789))
 
 
@@ -128,52 +130,136 @@ def _shingles(raw: memoryview | bytes, gram: int) -> tuple[np.ndarray, W.Words]:
     return W.ngram_hashes(w.hashes(), gram), w
 
 
+def _matches(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in a, place in b, length) of the maximal equal runs of a and b, over all occurrences, by their place in a."""
+    order = np.argsort(b, kind="stable")
+    ordered = b[order]
+    low = np.searchsorted(ordered, a)
+    n = np.searchsorted(ordered, a, side="right") - low
+    total = np.cumsum(n)
+    runs, at = [], 0
+    while at < len(a):  # places of a with about PAIRS places of b at a time
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, side="right")))
+        i = np.repeat(np.arange(at, end), n[at:end])
+        nth = np.arange(len(i)) - np.repeat(np.cumsum(n[at:end]) - n[at:end], n[at:end])
+        runs.append(_joined((order[low[i] + nth] - i + len(a)) * np.int64(len(a) + 1) + i, 1))
+        at = end
+    if len(runs) != 1:
+        runs = [_joined(*(np.concatenate([r[k] for r in runs]) for k in (0, 1)))] if runs else [(np.zeros(0, np.int64),) * 2]
+    key, size = runs[0]
+    i = key % (len(a) + 1)
+    j = key // (len(a) + 1) - len(a) + i
+    by = np.lexsort((j, i))
+    return i[by], j[by], size[by]
+
+
+def _joined(key: np.ndarray, size: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of keys joined where one ends as the next begins: a key is a diagonal and a place on it."""
+    size = np.broadcast_to(size, key.shape)
+    by = np.argsort(key, kind="stable")
+    key, size = key[by], size[by]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1] + size[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(size, first) if len(first) else np.zeros(0, np.int64)
+
+
 def verify(a: np.ndarray, b: np.ndarray, width: int, num: int, den: int, gap: int) -> list[tuple[int, int, int, int, float]]:
     """Near-duplicate passages of two shingle sequences: (start, length, start, length, similarity), in shingles.
 
-    Shared shingles of `a`, joined over gaps of at most gap places, make runs;
-    a run of at least width places is held against the places of `b` where its
-    shingles stand.  A run that is not similar enough as a whole is cut where
-    those places jump, then at every gap, and its parts that are wide enough
-    stand each for itself.
+    Maximal equal runs, over all occurrences of a shingle, are chained in
+    order over gaps of at most gap places.  A shared shingle earns den - num
+    and a place in a gap, on either side, costs num, so a stretch of a chain
+    is similar enough if it earns what it costs; where shingles repeat, the
+    distinct ones decide.  Of each chain so many of the longest such stretches
+    of at least width places are taken that they hold all others' runs.  All
+    places of equal runs of at least width places are in passages.
     """
-    order = np.argsort(b, kind="stable")
-    ordered = b[order]
-    at = np.searchsorted(ordered, a)
-    at[at == len(b)] = 0
-    shared = np.flatnonzero(ordered[at] == a) if len(b) else np.zeros(0, np.int64)
-    if len(shared) < width * num // den // 2:
+    if not len(a) or not len(b):
+        return []
+    i, j, size = _matches(a, b)
+    if size.sum() < width * num // den // 2:
         return []
-    there = order[at]  # the first place in b of each shared shingle
-    found = []
-
-    def runs(places, most, jump=None):
-        breaks = np.diff(places) > most
-        if jump is not None:
-            breaks |= np.abs(np.diff(there[places] - places)) > jump
-        return [p for p in np.split(places, np.flatnonzero(breaks) + 1) if p[-1] - p[0] + 1 >= width]
-
-    def match(p):
-        s, e = int(p[0]), int(p[-1])
-        near = there[p] - p
-        mid = int(np.sort(near)[len(near) // 2])
-        q = there[p][np.abs(near - mid) <= gap + (e - s) // 4]
-        s2, e2 = int(q.min()), int(q.max())
-        x, y = np.unique(a[s : e + 1]), np.unique(b[s2 : e2 + 1])
-        common = len(np.intersect1d(x, y, assume_unique=True))
-        union = len(x) + len(y) - common
-        return (s, e - s + 1, s2, e2 - s2 + 1, common / union) if den * common >= num * union else None
-
-    for p in runs(shared, gap + 1):
-        if (m := match(p)) is not None:
-            found.append(m)
+    found: list[tuple[int, int, int, int, float]] = []
+    if len(i) > 1:
+        for chain in _chains(i, j, size, num, den, gap):
+            _stretches(a, b, chain, width, num, den, found)
+    wide = np.flatnonzero(size >= width)
+    first, last, done = i[wide], i[wide] + size[wide], 0
+    for f in found:
+        last[(f[0] <= first) & (last <= f[0] + f[1])] = 0
+    for k in range(len(wide)):  # as few as hold the places of all
+        if last[k] > done:
+            reach = np.where(first <= max(first[k], done), last, 0)
+            m = wide[int(reach.argmax())]
+            found.append((int(i[m]), int(size[m]), int(j[m]), int(size[m]), 1.0))
+            done = int(reach.max())
+    return sorted(found)
+
+
+def _chains(i: np.ndarray, j: np.ndarray, size: np.ndarray, num: int, den: int, gap: int):
+    """(place in a, place in b, length) of runs chained in order; a run that overlaps the one before it begins behind it."""
+    n = len(i)
+    last, last2 = i + size, j + size
+    reach = gap
+    best, back, over = (den - num) * size, np.full(n, -1), np.zeros(n, np.int64)
+    ends = np.maximum.accumulate(last)
+    for t in range(1, n):
+        q = np.arange(int(np.searchsorted(ends[:t], i[t] - reach)), t)
+        q = q[(i[q] < i[t]) & (j[q] < j[t])]
+        if not len(q):
             continue
-        for part in runs(p, gap + 1, gap):
-            if (m := match(part)) is not None:
-                found.append(m)
+        o = np.maximum(0, np.maximum(last[q] - i[t], last2[q] - j[t]))
+        x, y = i[t] + o - last[q], j[t] + o - last2[q]
+        gain = best[q] + (den - num) * (size[t] - o) - num * (x + y)
+        ok = (o < size[t]) & (x <= reach) & (y <= reach)
+        if ok.any():
+            k = int(np.where(ok, gain, np.iinfo(np.int64).min).argmax())
+            back[t], over[t] = q[k], o[k]
+            best[t] = max(best[t], gain[k])
+    leaf = np.ones(n, bool)
+    leaf[back[back >= 0]] = False
+    for t in np.flatnonzero(leaf & (back >= 0)).tolist():
+        path = [t]
+        while back[path[-1]] >= 0:
+            path.append(int(back[path[-1]]))
+        k = np.array(path[::-1])
+        o = over[k]
+        yield i[k] + o, j[k] + o, size[k] - o
+
+
+def _stretches(a: np.ndarray, b: np.ndarray, chain: tuple, width: int, num: int, den: int, found: list) -> None:
+    """Adds the stretches of a chain that are similar enough to found."""
+    i, j, size = chain
+    last, last2 = i + size, j + size
+    cost = np.concatenate([[0], num * (i[1:] - last[:-1] + j[1:] - last2[:-1])])
+    after = np.cumsum((den - num) * size - cost)
+    before = after - (den - num) * size
+    # the furthest run with which each run's stretch still earns its costs: the greatest of what follows decides
+    top = np.maximum.accumulate(after[::-1])[::-1]
+    far = np.array([len(top) - 1 - int(np.searchsorted(top[p:][::-1], before[p])) for p in range(len(i))])
+    wide = last[far] - i >= width
+    cur = 0
+    while cur < len(i):
+        starts = np.flatnonzero(wide[: cur + 1] & (far[: cur + 1] >= cur))
+        if not len(starts):
+            cur += 1
+            continue
+        p = int(starts[far[starts].argmax()])
+        q = int(far[p])
+        while p <= q and last[q] - i[p] >= width:
+            s, e, s2, e2 = int(i[p]), int(last[q]), int(j[p]), int(last2[q])
+            x, y = np.unique(a[s:e]), np.unique(b[s2:e2])
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            union = len(x) + len(y) - common
+            if den * common >= num * union:
+                if not any(f[0] <= s and e <= f[0] + f[1] for f in found):
+                    found.append((s, e - s, s2, e2 - s2, common / union))
+                break
+            # the end whose run earns less over its gap goes
+            if p < q and after[p] - before[p] - cost[p + 1] < after[q] - before[q] - cost[q]:
+                p += 1
             else:
-                found += [m for exact in runs(part, 1, 0) if (m := match(exact)) is not None]
-    return found
+                q -= 1
+        cur = max(cur, q) + 1
 
 
 def repeated_passages(

@@ -309,3 +309,29 @@ def test_verify_finds_long_runs(seed):
     got = passages.verify(x, y, 10, 80, 100, 5)
     assert all(0 <= s and s + n <= len(x) and 0 <= s2 and s2 + n2 <= len(y) and sim >= 0.8 for s, n, s2, n2, sim in got)
     assert any(s < len(a) + 12 and s + n > len(a) for s, n, *_ in got)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.integers(0, 10**6))
+def test_verify_sees_every_place_of_a_shingle(seed):
+    """Where b repeats parts of the passage before or behind it, all places of equal runs (brute force) are in matches."""
+    rng = np.random.default_rng(seed)
+    run = rng.integers(100, 10**6, int(rng.integers(12, 40)))
+    parts = [rng.integers(0, 30, rng.integers(0, 15)) for _ in range(5)]
+    cuts = [run[: rng.integers(0, len(run))], run[rng.integers(0, len(run)) :]]
+    x = np.concatenate([parts[0], run, parts[1]]).astype(np.uint64)
+    y = np.concatenate([parts[2], cuts[0], parts[3], run, parts[4], cuts[1]]).astype(np.uint64)
+    there = {tuple(y[k : k + 12].tolist()) for k in range(len(y) - 11)}
+    want = {k + n for k in range(len(x) - 11) if tuple(x[k : k + 12].tolist()) in there for n in range(12)}
+    got = passages.verify(x, y, 12, 80, 100, 5)
+    assert want and want <= {k for s, n, *_ in got for k in range(s, s + n)}
+    for s, n, s2, n2, sim in got:
+        u, v = set(x[s : s + n].tolist()), set(y[s2 : s2 + n2].tolist())
+        assert n >= 12 and abs(sim - len(u & v) / len(u | v)) < 1e-9 and sim >= 0.8
+
+
+def test_verify_with_a_teaser():
+    """b has the first half of the passage as a teaser before the whole."""
+    run, other = np.arange(56), np.arange(1000, 1040)
+    x, y = (np.concatenate(p).astype(np.uint64) for p in ((other, run), (run[:26], other + 500, run)))
+    assert passages.verify(x, y, 46, 80, 100, 5) == [(40, 56, 66, 56, 1.0)]
