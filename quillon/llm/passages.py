@@ -29,6 +29,7 @@ from .jaccard import BROADCAST_IDS
 from .store import cut, kept, release, scratch, written
 
 _U = np.uint64
+_NEVER = np.iinfo(np.int64).min >> 1
 #: Places of equal shingles in two texts that are looked at together.
 PAIRS = 1 << 20
 _SALTS = W.mix(np.arange(1, 65, dtype=_U) * _U(0xABCDEF123456789))
@@ -162,14 +163,14 @@ def _joined(key: np.ndarray, size: np.ndarray | int) -> tuple[np.ndarray, np.nda
     return key[first], np.add.reduceat(size, first) if len(first) else np.zeros(0, np.int64)
 
 
-def verify(a: np.ndarray, b: np.ndarray, width: int, num: int, den: int, gap: int) -> list[tuple[int, int, int, int, float]]:
+def verify(a: np.ndarray, b: np.ndarray, width: int, num: int, den: int, gap: int = 0) -> list[tuple[int, int, int, int, float]]:
     """Near-duplicate passages of two shingle sequences: (start, length, start, length, similarity), in shingles.
 
     Maximal equal runs, over all occurrences of a shingle, are chained in
-    order over gaps of at most gap places.  A shared shingle earns den - num
-    and a place in a gap, on either side, costs num, so a stretch of a chain
-    is similar enough if it earns what it costs; where shingles repeat, the
-    distinct ones decide.  Of each chain so many of the longest such stretches
+    order.  A shared shingle earns den - num and a place in a gap, on either
+    side, costs num, so a stretch of a chain is similar enough if it earns
+    what it costs, however long a gap is (gap sets no bound and is not read);
+    where shingles repeat, the distinct ones decide.  Of each chain so many of the longest such stretches
     of at least width places are taken that they hold all others' runs.  All
     places of equal runs of at least width places are in passages.
     """
@@ -180,7 +181,7 @@ def verify(a: np.ndarray, b: np.ndarray, width: int, num: int, den: int, gap: in
         return []
     found: list[tuple[int, int, int, int, float]] = []
     if len(i) > 1:
-        for chain in _chains(i, j, size, num, den, gap):
+        for chain in _chains(i, j, size, num, den):
             _stretches(a, b, chain, width, num, den, found)
     wide = np.flatnonzero(size >= width)
     first, last, done = i[wide], i[wide] + size[wide], 0
@@ -195,26 +196,46 @@ def verify(a: np.ndarray, b: np.ndarray, width: int, num: int, den: int, gap: in
     return sorted(found)
 
 
-def _chains(i: np.ndarray, j: np.ndarray, size: np.ndarray, num: int, den: int, gap: int):
-    """(place in a, place in b, length) of runs chained in order; a run that overlaps the one before it begins behind it."""
-    n = len(i)
+def _links(i: np.ndarray, j: np.ndarray, size: np.ndarray, num: int, den: int, most: int, allowed=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(earned at best up to each run's end, the run before it, their overlap): runs chained in order, by i.
+
+    Without `allowed` a chain begins anew where what is before it costs more
+    than it earned; else each run keeps the best of all links that cost at
+    most what the chain before earned and allowed[t] together.
+    """
+    n, earn = len(i), den - num
     last, last2 = i + size, j + size
-    reach = gap
-    best, back, over = (den - num) * size, np.full(n, -1), np.zeros(n, np.int64)
     ends = np.maximum.accumulate(last)
+    best, back, over = earn * size, np.full(n, -1), np.zeros(n, np.int64)
+    low = np.searchsorted(ends, i - most // num)
     for t in range(1, n):
-        q = np.arange(int(np.searchsorted(ends[:t], i[t] - reach)), t)
-        q = q[(i[q] < i[t]) & (j[q] < j[t])]
-        if not len(q):
+        q = slice(int(low[t]), t)
+        if q.start >= t:
             continue
         o = np.maximum(0, np.maximum(last[q] - i[t], last2[q] - j[t]))
-        x, y = i[t] + o - last[q], j[t] + o - last2[q]
-        gain = best[q] + (den - num) * (size[t] - o) - num * (x + y)
-        ok = (o < size[t]) & (x <= reach) & (y <= reach)
-        if ok.any():
-            k = int(np.where(ok, gain, np.iinfo(np.int64).min).argmax())
-            back[t], over[t] = q[k], o[k]
-            best[t] = max(best[t], gain[k])
+        gain = best[q] - earn * o - num * (i[t] + j[t] + 2 * o - last[q] - last2[q])
+        gain[(i[q] >= i[t]) | (j[q] >= j[t]) | (o >= size[t])] = _NEVER
+        k = int(gain.argmax())
+        if gain[k] > 0 if allowed is None else gain[k] + allowed[t] >= 0:
+            back[t], over[t] = q.start + k, o[k]
+            best[t] = max(best[t], gain[k] + earn * size[t])
+    return best, back, over
+
+
+def _chains(i: np.ndarray, j: np.ndarray, size: np.ndarray, num: int, den: int):
+    """(place in a, place in b, length) of runs chained in order; a run that overlaps the one before it begins behind it.
+
+    Two runs are linked if the best chain up to the first and the best from
+    the second on earn the gap between them: no stretch that is similar enough
+    has any other link.
+    """
+    n = len(i)
+    most = (den - num) * int(size.sum())
+    # from the end: the same over the mirrored places
+    mirror = np.lexsort((-(j + size), -(i + size)))
+    ahead = np.empty(n, np.int64)
+    ahead[mirror] = _links(-(i + size)[mirror], -(j + size)[mirror], size[mirror], num, den, most)[0]
+    _, back, over = _links(i, j, size, num, den, most, ahead)
     leaf = np.ones(n, bool)
     leaf[back[back >= 0]] = False
     for t in np.flatnonzero(leaf & (back >= 0)).tolist():

@@ -335,3 +335,27 @@ def test_verify_with_a_teaser():
     run, other = np.arange(56), np.arange(1000, 1040)
     x, y = (np.concatenate(p).astype(np.uint64) for p in ((other, run), (run[:26], other + 500, run)))
     assert passages.verify(x, y, 46, 80, 100, 5) == [(40, 56, 66, 56, 1.0)]
+
+
+def test_verify_over_phrase_edits():
+    """Passages with phrases of 2 or 3 words changed, put in or left out are found whole where their shingles' Jaccard is at least 0.8."""
+    rng, tried = random.Random(5), 0
+    grams = lambda v: W.ngram_hashes(W.mix(np.array(v, np.uint64)), 5)
+    for _ in range(600):
+        n, new = rng.randint(55, 200), lambda k: [rng.randrange(10**6, 10**9) for _ in range(k)]
+        passage = new(n)
+        other = passage[:]
+        for at in sorted(rng.sample(range(5, n - 8), rng.randint(1, 3)), reverse=True):
+            k = rng.randint(2, 3)
+            other[at : at + rng.choice([0, k])] = new(rng.choice([0, k]))
+        u, v = (set(grams(p).tolist()) for p in (passage, other))
+        if len(u & v) < 0.8 * len(u | v) or len(other) < 50:
+            continue
+        tried += 1
+        head, tail = new(30), new(30)
+        got = passages.verify(grams(head + other + tail), grams(new(11) + passage + new(50)), 46, 80, 100, 5)
+        assert any(s <= 30 and s + k >= 30 + len(other) - 4 for s, k, *_ in got), (n, len(other), got)
+    assert tried > 200
+    x, y = list(range(90)), list(range(90))
+    x[44:46] = 1000, 1001
+    assert [(s, k) for s, k, *_ in passages.verify(grams(x), grams(y), 46, 80, 100, 5)] == [(0, 86)]
