@@ -11,9 +11,12 @@ Windows meet by their centre's hash; each is joined with the smallest document
 that has it, never with all others, so a passage that very many documents
 share costs one pair per document.  Window pairs of two documents are joined
 by their intervals, counted over the functions, and verified on the texts.
-Windows of verified pairs are settled; the others meet again in a second
+Windows of verified pairs are settled; keys with others meet again in a second
 round, by their centre together with the shingles before or behind it (16 bits
 of each are kept with every window), which parts chance meetings from passages.
+Keys that are still open meet by every run of min_words words around their
+centre, so that shorter fragments in smaller documents cannot keep documents
+with a verbatim passage apart.
 """
 
 from __future__ import annotations
@@ -318,16 +321,20 @@ def _found(docs: DataFrame, id_col: str, text_col: str, width: int, gram: int, n
 
     shared = written(_met(windows), "shared")
     release(docs.sparkSession)
-    found = None
-    for turn in range(rounds):
-        pairs = cut(_candidates(shared, width, enough if turn == 0 else 1))
+    found = tried = None
+    for turn in range(rounds + 1):
+        pairs = _candidates(shared, width, enough if turn == 0 else 1)
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["id", "match"], "left_anti"))
+        tried = pairs if tried is None else tried.union(pairs)
         new = kept(_verify_pairs(base, pairs, id_type, width, gram, num, den), f"passages{turn}")
         found = new if found is None else found.union(new)
-        if turn + 1 == rounds:
+        if turn == rounds:
             break
-        shared = written(_met(_contexts(_unsettled(shared, new))), f"shared{turn}")
-        if shared.isEmpty():
+        open_keys = cut(_unsettled(shared, found))
+        if open_keys.isEmpty():
             break
+        again = _contexts(open_keys) if turn + 1 < rounds else _exact_runs(base, open_keys, id_type, width, gram)
+        shared = written(_met(again), f"shared{turn}")
     return found
 
 
@@ -391,12 +398,39 @@ def _verify_pairs(base: DataFrame, pairs: DataFrame, id_type: T.DataType, width:
 
 
 def _unsettled(shared: DataFrame, passages: DataFrame) -> DataFrame:
-    """Windows that lie in no verified passage of their pair, and those of their keys' smallest documents."""
+    """All windows of the keys that have a window in no verified passage of its pair: a settled member may hold what another looks for."""
     spans = passages.select("id", F.col("match_id").alias("match"), "start_word", (F.col("start_word") + F.col("n_words")).alias("end_word")).groupBy("id", "match").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
     later = shared.filter("id > match").join(spans, ["id", "match"], "left")
-    later = cut(later.filter("spans is null or not exists(spans, s -> s.start_word <= centre and centre < s.end_word)").select(*shared.columns))
-    first = shared.filter("id = match").join(later.select("key").distinct(), "key", "left_semi").select(*shared.columns)
-    return later.union(first).drop("match")
+    later = later.filter("spans is null or not exists(spans, s -> s.start_word <= centre and centre < s.end_word)")
+    return shared.join(cut(later.select("key").distinct()), "key", "left_semi").drop("match")
+
+
+def _exact_runs(base: DataFrame, windows: DataFrame, id_type: T.DataType, width: int, gram: int) -> DataFrame:
+    """The windows keyed anew by every run of width shingles around their centre.
+
+    Two texts with such a key share the whole run word by word, so the
+    smallest document of a key settles all its members, and no shorter
+    fragment can take the key.
+    """
+    lists = cut(windows.select("id", "left", "centre", "right").distinct().groupBy("id").agg(F.collect_list("left").alias("left"), F.collect_list("centre").alias("centre"), F.collect_list("right").alias("right")))
+    schema = T.StructType([T.StructField("id", id_type), T.StructField("key", T.LongType()), *(T.StructField(n, T.IntegerType()) for n in ("left", "centre", "right", "ctx"))])
+
+    def run(batches):
+        for t in batches:
+            for k in range(t.num_rows):
+                grams = _shingles(t.column(1)[k].as_buffer(), gram)[0]
+                left, centre, right = (t.column(n)[k].values.to_numpy() for n in (2, 3, 4))
+                right = np.minimum(right, len(grams) - 1)  # another row's text with this id may be shorter
+                first, last = np.maximum(left, centre - width + 1), np.minimum(centre, right - width + 1)
+                at = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.arange(x, y + 1) for x, y in zip(first.tolist(), last.tolist()))]))
+                if not len(at):
+                    continue
+                keys = W.ngram_hashes(grams, width)[at]
+                place, zero = pa.array(at.astype(np.int32)), pa.array(np.zeros(len(at), np.int32))
+                ids = pa.array([t.column(0)[k].as_py()] * len(at), t.column(0).type)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(W.signed(keys)), place, place, pa.array((at + width - 1).astype(np.int32)), zero], names=schema.names)
+
+    return base.join(lists, "id").select("id", "text", "left", "centre", "right").mapInArrow(run, schema)
 
 
 def _contexts(windows: DataFrame) -> DataFrame:

@@ -359,3 +359,15 @@ def test_verify_over_phrase_edits():
     x, y = list(range(90)), list(range(90))
     x[44:46] = 1000, 1001
     assert [(s, k) for s, k, *_ in passages.verify(grams(x), grams(y), 46, 80, 100, 5)] == [(0, 86)]
+
+
+def test_fragments_do_not_keep_copies_apart(spark):
+    """Smaller documents with the first and the last words of a passage take its keys; the full copies still meet."""
+    rng, words = random.Random(21), vocabulary(21, 3000)
+    texts = [[], [], [], []]
+    for _ in range(40):
+        passage = sentence(rng, words, 60).split()
+        for t, part in zip(texts, (passage[:49], passage[-49:], passage, passage)):
+            t.append(f"{sentence(rng, words, 20)} {' '.join(part)} {sentence(rng, words, 20)}")
+    got = {(r["doc_id"], r["match_id"]) for r in rows(passages.repeated_passages(table(spark, sum(texts, []))))}
+    assert {(120 + k, 80 + k) for k in range(40)} <= got
