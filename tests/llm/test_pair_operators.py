@@ -371,3 +371,17 @@ def test_fragments_do_not_keep_copies_apart(spark):
             t.append(f"{sentence(rng, words, 20)} {' '.join(part)} {sentence(rng, words, 20)}")
     got = {(r["doc_id"], r["match_id"]) for r in rows(passages.repeated_passages(table(spark, sum(texts, []))))}
     assert {(120 + k, 80 + k) for k in range(40)} <= got
+
+
+def test_leak_copied_into_a_third_of_the_rows(spark):
+    """Copies of a leak make its words common; they are found all the same, and so is an item of common words in every row."""
+    rng, words = random.Random(31), vocabulary(31, 2500)
+    items = [sentence(rng, words, 30) for _ in range(12)]
+    hot = f"{sentence(rng, words, 40)} {items[0]} {sentence(rng, words, 40)}"
+    texts = [hot if i % 3 == 0 else sentence(rng, words, 400) for i in range(240)]
+    benchmark = spark.createDataFrame([*enumerate(items)], "item_id int, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in rows(contamination.find_leaks(table(spark, texts), benchmark))}
+    assert got == {(i, 0) for i in range(0, 240, 3)}
+    texts = [f"{sentence(rng, words, 100)} {items[1]} {sentence(rng, words, 100)}" for _ in range(60)]
+    got = {(r["doc_id"], r["item_id"]) for r in rows(contamination.find_leaks(table(spark, texts), benchmark))}
+    assert got == {(i, 1) for i in range(60)}
