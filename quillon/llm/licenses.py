@@ -20,6 +20,16 @@ NOTICES = {
     "affero general public license": "agpl",
     "eclipse public license": "epl",
     "creative commons attribution": "cc-by",
+    "attribution noncommercial": "cc-by-nc",
+    "attribution non commercial": "cc-by-nc",
+    "attribution noderivatives": "cc-by-nd",
+    "attribution no derivatives": "cc-by-nd",
+    "attribution noderivs": "cc-by-nd",
+    "attribution sharealike": "cc-by-sa",
+    "attribution share alike": "cc-by-sa",
+    "cc by nc": "cc-by-nc",
+    "cc by nd": "cc-by-nd",
+    "cc by sa": "cc-by-sa",
     "creative commons zero": "cc0",
     "cc0": "cc0",
     "public domain": "public-domain",
@@ -30,7 +40,7 @@ NOTICES = {
     "redistribution and use in source and binary forms": "bsd",
 }
 TAG = "spdx license identifier"
-#: Labels under which a text may be kept by `allowed`; all others are not.
+#: Families that bind a text's use no further than by a notice; all others do.
 PERMISSIVE = frozenset({"apache", "mit", "bsd", "cc-by", "cc0", "public-domain", "bsl", "isc", "unlicense"})
 
 #: Lower-cases A-Z and turns every byte between words into a space.
@@ -43,7 +53,8 @@ _RANK = {"or": 1, "and": 2, "with": 3}
 def to_postfix(expression: str) -> list[str]:
     """A licence expression in postfix order, by two stacks; with binds before and, and before or.
 
-    Reading stops at the first token that cannot follow; unbalanced brackets
+    Reading stops at the first token that cannot follow; brackets and an
+    operator that still wait for an operand then are dropped, other brackets
     close at the end.  No expression gives an empty list.
     """
     out: list[str] = []
@@ -73,33 +84,34 @@ def to_postfix(expression: str) -> list[str]:
                 break
             out.append(word.rstrip(".:-"))
             operand_next = False
-    if operand_next and stack and stack[-1] in _RANK:
-        stack.pop()
+    while operand_next and stack:
+        operand_next = stack.pop() == "("
     out += [x for x in reversed(stack) if x != "("]
     return out
 
 
 #: First parts of identifiers and the label they count as.
 FAMILIES = {"apache": "apache", "mit": "mit", "bsd": "bsd", "mpl": "mpl", "gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl", "epl": "epl", "cc0": "cc0", "isc": "isc", "bsl": "bsl", "unlicense": "unlicense", "0bsd": "bsd"}
+_CLAUSES = re.compile(r"cc-by(?:-(?:nc|nd|sa))*")
 
 
 def family(identifier: str) -> str:
-    if identifier.startswith("cc-by"):
-        return "cc-by"
+    """The label that decides about an identifier: without version; cc-by keeps its clauses, as they bind."""
+    if m := _CLAUSES.match(identifier):
+        return m[0]
     return FAMILIES.get(identifier.split("-")[0], identifier)
 
 
 def read_expression(expression: str, allowed: frozenset[str] = PERMISSIVE) -> tuple[set[str], bool | None]:
-    """(labels named, whether the expression can be met by allowed labels alone; None without an expression).
+    """(identifiers named, whether the expression can be met by allowed families alone; None without an expression).
 
     a or b: either suffices; a and b: both are needed; a with e: as a, the
-    exception e is no label.
+    exception e is not named.
     """
     stack: list[tuple[set[str], bool]] = []
     for token in to_postfix(expression):
         if token not in _RANK:
-            name = family(token)
-            stack.append(({name}, name in allowed))
+            stack.append(({token}, family(token) in allowed))
             continue
         right, left = stack.pop(), stack.pop()
         if token == "with":
@@ -157,9 +169,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     n_words, n_base (all places of base phrases), first_word and last_word
     (their smallest and largest start, else null), base_labels, labels (base
-    and own, distinct, sorted, comma-joined; empty without any), score (0 to 1)
-    and permissive (whether the evidence can be met by permissive licences;
-    null without evidence).  Null texts count as empty; null ids stay null;
+    and own: of notice phrases, and the identifiers of tags whole; distinct,
+    sorted, comma-joined; empty without any), score (0 to 1) and permissive
+    (whether the evidence can be met by permissive licences; tags decide before
+    notices; null without evidence).  Very long texts are scanned whole; null texts count as empty; null ids stay null;
     repeated rows are scanned each for itself; an empty table gives no rows.
     """
     schema = T.StructType(

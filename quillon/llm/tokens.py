@@ -3,9 +3,10 @@
 The ids are those of the library that a file belongs to: `tokenizers` for
 .json, `sentencepiece` for .model, without begin, end or added special tokens.
 A .tiktoken file of the same name beside a .json one holds the same
-vocabulary; texts without a special string then take that faster encoder,
-whose ids are the same (tests compare both).  Special strings inside texts are
-handled as the library does by default.
+vocabulary; texts then take that faster encoder, whose ids are the same (tests
+compare both).  Texts with a special string, or with a run of white space so
+long that the faster encoder's backtracking would exhaust the stack, go to the
+library itself.  Special strings inside texts are handled as it does by default.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import functools
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +26,17 @@ from pyspark.sql import types as T
 
 from . import words as W
 
-#: Bytes of text handed to an encoder at once, and the length from which a text is split.
+#: Bytes of text handed to an encoder at once, and the characters from which a text is split.
 BATCH_BYTES = 1 << 18
-SPLIT_BYTES = 1 << 16
+SPLIT_CHARS = 1 << 16
 
 #: The split pattern of byte-level vocabularies (fixed value).
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: A place where a byte-level encoder starts a new piece whatever follows: a single space between two other characters.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: White space that the faster encoder does not get.
+_LONG_RUN = re.compile(r"\s{1000}")
 
 
 class Encoder:
@@ -66,11 +69,11 @@ class Encoder:
             self.fast = tiktoken.Encoding(os.path.basename(path), pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def parts(self, text: str) -> list[str]:
-        """text in pieces that encode independently, of about SPLIT_BYTES characters."""
-        if not self.splits or len(text) <= SPLIT_BYTES:
+        """text in pieces that encode independently, of about SPLIT_CHARS characters."""
+        if not self.splits or len(text) <= SPLIT_CHARS:
             return [text]
         found, at = [], 0
-        while len(text) - at > SPLIT_BYTES and (m := _SAFE.search(text, at + SPLIT_BYTES)):
+        while len(text) - at > SPLIT_CHARS and (m := _SAFE.search(text, at + SPLIT_CHARS)):
             found.append(text[at : m.start()])
             at = m.start()
         return [*found, text[at:]]
@@ -81,51 +84,44 @@ class Encoder:
         if self.fast is None:
             return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         plain = self.fast._core_bpe.encode_ordinary
-        return [self.library.encode(x, add_special_tokens=False).ids if self.special and self.special.search(x) else plain(x) for x in texts]
+        return [self.library.encode(x, add_special_tokens=False).ids if self._apart(x) else plain(x) for x in texts]
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text, in order; only about BATCH_BYTES of text are in work at a time."""
-        waiting: list[tuple[int, str]] = []
-
-        def flush():
-            out, last = [], None
-            for (k, _), ids in zip(waiting, self._encode([x for _, x in waiting])):
-                if k == last:
-                    out[-1].append(ids)
-                else:
-                    out.append([ids])
-                    last = k
-            waiting.clear()
-            for parts in out:
-                yield np.fromiter((x for ids in parts for x in ids), np.uint32, sum(map(len, parts))) if len(parts) > 1 else np.array(parts[0], np.uint32)
+    def _apart(self, text: str) -> bool:
+        """Whether a text is the library's own to encode."""
+        return bool(self.special and self.special.search(text) or _LONG_RUN.search(text))
 
+    def _batches(self, texts: Iterable[str]) -> Iterator[list[tuple[int, list[int]]]]:
+        """(number of the text, ids of a part of it), in order, in batches of about BATCH_BYTES of text."""
+        waiting: list[tuple[int, str]] = []
         size = 0
         for k, text in enumerate(texts):
             for part in self.parts(text):
                 waiting.append((k, part))
-                size += len(part)
-            if size >= BATCH_BYTES:
-                yield from flush()
-                size = 0
-        yield from flush()
-
-    def lengths(self, texts: list[str]) -> np.ndarray:
-        """The number of ids of each text; ids are dropped batch by batch."""
-        total, waiting, size = np.zeros(len(texts), np.int64), [], 0
-
-        def flush():
-            for (k, _), ids in zip(waiting, self._encode([x for _, x in waiting])):
-                total[k] += len(ids)
-            waiting.clear()
-
-        for k, text in enumerate(texts):
-            for part in self.parts(text):
-                waiting.append((k, part))
-                size += len(part)
+                size += len(part) if part.isascii() else len(part.encode("utf-8", "surrogatepass"))
                 if size >= BATCH_BYTES:
-                    flush()
-                    size = 0
-        flush()
+                    yield list(zip((k for k, _ in waiting), self._encode([x for _, x in waiting])))
+                    waiting, size = [], 0
+        if waiting:
+            yield list(zip((k for k, _ in waiting), self._encode([x for _, x in waiting])))
+
+    def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, in order; only about BATCH_BYTES of text and one text's ids are in work at a time."""
+        now, parts = 0, []
+        for batch in self._batches(texts):
+            for k, ids in batch:
+                if k != now:
+                    yield np.concatenate(parts)
+                    now, parts = k, []
+                parts.append(np.array(ids, np.uint32))
+        if parts:
+            yield np.concatenate(parts)
+
+    def lengths(self, texts: Iterable[str], n: int) -> np.ndarray:
+        """The number of ids of each of n texts; ids are dropped batch by batch."""
+        total = np.zeros(n, np.int64)
+        for batch in self._batches(texts):
+            for k, ids in batch:
+                total[k] += len(ids)
         return total
 
 
@@ -134,17 +130,20 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def texts_of(column: pa.Array) -> list[str]:
-    return [x or "" for x in column.to_pylist()]
+def texts_of(column: pa.Array) -> Iterator[str]:
+    """One text after the other; null is empty."""
+    return (x.as_py() or "" for x in column)
 
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
     """Bytes and tokens of every whole text: (id, n_bytes, n_tokens, over_limit).
 
     Arrow batches go to the encoder in pieces balanced by bytes; only lengths
-    come back.  A null or empty text has 0 bytes and 0 tokens; a null id stays
-    null; repeated rows are counted each for itself; other columns are not
-    read; an empty table gives no rows.
+    come back.  A null or empty text has 0 bytes and 0 tokens; very long texts
+    are split at single spaces between other characters, and what has none (one
+    word, one run of white space) is encoded whole; a null id stays null;
+    repeated rows are counted each for itself; other columns are not read; an
+    empty table gives no rows.
     """
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
@@ -153,6 +152,6 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             column = batch.column(1)
             _, offsets = W.string_buffers(column)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(enc.lengths(texts_of(column)))], names=[id_col, "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(enc.lengths(texts_of(column), len(column)))], names=[id_col, "n_bytes", "n_tokens"])
 
     return docs.select(id_col, text_col).mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > F.lit(limit))

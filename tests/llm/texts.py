@@ -20,6 +20,10 @@ TEXTS = [
     LONG,
     "a b c a b c a b c d e f a b",
     "# $ % & | < > * symbols ## ** |||",
+    "x" + " " * 1_000_000 + "y",
+    "\n" * 1_000_000,
+    "ab" * 500_000,
+    "SPDX-License-Identifier: MIT AND (\nSPDX-License-Identifier: CC-BY-NC-4.0",
 ]
 
 
