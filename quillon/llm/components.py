@@ -14,11 +14,6 @@ from pyspark.sql import functions as F
 from .store import cut
 
 
-def _mark(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-    return tuple(r)
-
-
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("v", "u")).toDF("x", "y")
     least = cut(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")))
@@ -31,6 +26,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.toDF("u", "v")).distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every edge leads to a node that has no edge on, and every node has one edge: then it is its root."""
+    return edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() and edges.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node with an edge to another node; root is the smallest node that it reaches.
 
@@ -39,12 +39,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     real = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     now = cut(real.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    mark = _mark(now)
-    while mark[0]:
-        new = cut(_small_star(cut(_large_star(now))))
-        seen = _mark(new)
-        now, same = new, seen == mark
-        mark = seen
-        if same:
-            break
+    while not _stars(now):
+        now = cut(_small_star(cut(_large_star(now))))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())

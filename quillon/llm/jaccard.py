@@ -2,28 +2,25 @@
 
 A document's set of word shingles becomes a point: its counts by hash group.
 Equal sets are one node from the start.  The top of the tree is spread over
-the cluster by pigeonhole: two sets that differ in at most r shingles agree
-wholly in some of any r + 1 blocks of the hash space, so the routing key of a
-block (size band, block, hash of the shingles in it) brings every linked pair
-together; where blocks would hold under DENSE shingles, the first n -
-ceil(t n) + 1 shingles in hash order are the keys, of which linked sets share
-one as well; a single coordinate prunes nothing at usual sizes (its spread is
-below the allowed difference), all coordinates summed do.  Within a bucket,
-pairs pass the bound by summed coordinate minima and are then verified on the
-sets themselves.
+the cluster by keys that linked sets share: of a set of n shingles, the
+n - ceil(t n) + 1 rarest are its keys (two sets of a Jaccard of at least t
+agree in one of these, whatever the order, if it is the same for all).  Rarity
+is read from counts of hash buckets over the whole corpus, a table of fixed
+size, so that passages which very many documents share come last and bring
+nobody together.  A single coordinate prunes nothing at usual sizes (its
+spread is below the allowed difference), all coordinates summed do: in the
+buckets of the keys, pairs pass the bound by summed coordinate minima and are
+then verified on the sets themselves.
 
 Large buckets are not expanded into pairs: members are first compared with
 the bucket's smallest node, then those outside its component with a few of the
-component's members, which joins near copies into one; only what is still in
-other components is searched with the tree, in blocks.
+component's members, which joins near copies into one; what is still in other
+components is searched with a tree for each bucket, in blocks.
 """
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,59 +32,51 @@ from .rtree import CountTree
 from .store import cut, kept, release, scratch, written
 
 GROUPS = 128
-BAND = 1.5
-#: Blocks beyond r + 1, so that up to so many empty blocks need no key of their own.
-SLACK = 1
-#: Least shingles of a block, on average, for blocks to be keys.
-DENSE = 4
+#: Hash buckets whose shingles are counted, as a power of two; a rank a bucket is broadcast, whatever the corpus.
+RANK_BITS = 18
 #: Members of a bucket's main component that each member outside it is compared with before the search.
 PARTNERS = 4
-#: Members of a bucket block that one search task holds at most, on average.
+#: Members of a bucket block that one search holds at most, on average.
 BLOCK = 768
+#: So many of a node's first buckets go with it: pairs that share one of these are looked at there alone.
+FIRST = 4
 #: Ids that may be broadcast to filter the texts at the scan; beyond, a shuffle join does it.
 BROADCAST_IDS = 1_000_000
 _U = np.uint64
+_RANK_SHIFT = _U(64 - RANK_BITS)
+
+
+def shingle_ranks(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
+    """How common the shingles of each hash bucket are: eight steps an octave, from all texts."""
+
+    def count(batches):
+        total = np.zeros(1 << RANK_BITS, np.int64)
+        for batch in batches:
+            for _, _, w in W.batches_of(batch.column(0), lower=True):
+                grams, own = W.ngram_hashes(w.hashes(), n), w.text_of_word()
+                inside = own[: len(grams)] == own[n - 1 :] if len(grams) else np.zeros(0, bool)
+                total += np.bincount((grams[inside] >> _RANK_SHIFT).astype(np.int64), minlength=len(total))
+        place = np.flatnonzero(total)
+        for at in range(0, len(place), 1 << 14):
+            part = place[at : at + (1 << 14)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["place", "n"])
+
+    def pack(batches):
+        for batch in batches:
+            steps = np.minimum(255, 8 * np.log2(1 + batch.column(1).to_numpy())).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().astype("<i4").tobytes()]), pa.array([steps.tobytes()])], names=["place", "step"])
+
+    counts = docs.select(text_col).mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    ranks = np.zeros(1 << RANK_BITS, np.uint8)
+    for r in counts.mapInArrow(pack, "place binary, step binary").toLocalIterator():  # 2**RANK_BITS places in all
+        ranks[np.frombuffer(r["place"], "<i4")] = np.frombuffer(r["step"], np.uint8)
+    return ranks
 
 
-@functools.lru_cache(maxsize=4096)
-def _band(k: int, num: int, den: int) -> tuple[int, int, int]:
-    """(smallest size, largest size, most differing shingles) of band k."""
-    lo = 1 if k == 0 else int(np.ceil(BAND**k))
-    hi = max(lo, int(np.ceil(BAND ** (k + 1))) - 1)
-    return lo, hi, hi * (den - num) // num
-
-
-def _bands(n: int, num: int, den: int) -> list[int]:
-    """Bands that hold the smaller size of a linked pair in which the other, or this, is n."""
-    least = -(-n * num // den)
-    k = max(0, int(np.log(least) / np.log(BAND)) - 1)
-    out = []
-    while _band(k, num, den)[0] <= n:
-        if _band(k, num, den)[1] >= least:
-            out.append(k)
-        k += 1
-    return out
-
-
-def routing_keys(members: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Block keys of a sorted set of shingle hashes."""
-    n, out = len(members), []
-    total = np.concatenate([np.zeros(1, _U), np.cumsum(W.mix(members + _U(0x5EED)))])
-    for k in _bands(n, num, den):
-        r = _band(k, num, den)[2]
-        if r == 0:
-            continue  # such sets link only with equal ones
-        blocks = r + 1 + SLACK
-        if _band(k, num, den)[0] < DENSE * blocks:
-            out.append(W.mix(members[: n + num * -n // den + 1] + W.mix(np.array([k << 32 | 0xF00D], _U))))
-            continue
-        edges = (np.arange(1, blocks, dtype=np.float64) * (2.0**64 / blocks)).astype(_U)
-        at = np.concatenate([[0], np.searchsorted(members, edges), [n]])
-        sums = total[at[1:]] - total[at[:-1]]
-        keys = W.mix(sums + W.mix(np.arange(blocks, dtype=_U) + _U(k << 32)))
-        full = at[1:] > at[:-1]
-        out.append(keys if (~full).sum() > SLACK else keys[full])
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, _U)
+def routing_keys(members: np.ndarray, ranks: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The rarest shingles of a sorted set of shingle hashes, so many that linked sets share one."""
+    order = np.argsort(ranks[(members >> _RANK_SHIFT).astype(np.int64)], kind="stable")
+    return members[order[: len(members) + num * -len(members) // den + 1]]
 
 
 def shingle_sets(column: pa.Array, n: int):
@@ -110,16 +99,17 @@ def _node(members: np.ndarray) -> int:
     return int(W.signed(W.mix(W.mix(members ^ _U(0xA5A5A5A5)).sum(dtype=_U).reshape(1) + _U(len(members))))[0])
 
 
-def _features(num: int, den: int, n: int, names: list[str]):
+def _features(num: int, den: int, n: int, names: list[str], shared):
     shift = _U(64 - int(GROUPS).bit_length() + 1)
 
     def run(batches):
+        ranks = shared.value
         for batch in batches:
             node, size, keys, vec = [], [], [], []
             for s in shingle_sets(batch.column(1), n):
                 node.append(_node(s) if len(s) else None)
                 size.append(len(s))
-                keys.append(W.signed(routing_keys(s, num, den)) if len(s) else np.zeros(0, np.int64))
+                keys.append(W.signed(routing_keys(s, ranks, num, den)))
                 vec.append(_packed(np.bincount((s >> shift).astype(np.int64), minlength=GROUPS)))
             edge = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
             lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
@@ -137,9 +127,11 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint8 if len(raw) == GROUPS else "<u4").astype(np.int32)
 
 
-def _vectors(column: pa.Array | pd.Series) -> np.ndarray:
-    rows = column.to_pylist() if isinstance(column, pa.Array) else column
-    return np.array([_unpacked(x) for x in rows], np.int32).reshape(-1, GROUPS)
+def _vectors(column: pa.Array) -> np.ndarray:
+    data, offsets = W.string_buffers(column)
+    if (np.diff(offsets) == GROUPS).all():
+        return data.reshape(-1, GROUPS).astype(np.int32)
+    return np.array([_unpacked(x) for x in column.to_pylist()], np.int32).reshape(-1, GROUPS)
 
 
 def _bounded(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
@@ -220,24 +212,58 @@ def _searched(rows: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
     """Pairs of different components that share an open bucket and pass the tree's bound.
 
     A bucket's members in its pivot's component meet only those outside it, and
-    these one another, in blocks of about BLOCK by a hash of the node.
+    these one another, in blocks of about BLOCK by a hash of the node.  A task
+    reads its block pairs one after the other, in order of their keys.  Two
+    nodes that share one of their first buckets are left to that bucket.
     """
     outside = F.col("outside")
-    rows = rows.join(reps.select("node", "n", "vec"), "node")
+    first = F.slice(F.array_sort(F.collect_list("key")), 1, FIRST)
+    firsts = rows.groupBy("node").agg(first.alias("f")).select("node", *(F.coalesce(F.get("f", F.lit(k)), F.lit((1 << 63) - 1)).alias(f"f{k}") for k in range(FIRST)))
+    rows = rows.join(firsts, "node").join(reps.select("node", "n", "vec"), "node")
     cs, ct = F.ceil(F.col("s") / BLOCK), F.ceil(F.col("t") / BLOCK)
     spot = F.pmod(F.xxhash64("node"), F.when(outside, cs).otherwise(F.greatest(ct, F.lit(1)))).cast("long")
     rows = rows.withColumn("c", F.when(outside, spot).otherwise(cs + spot)).withColumn("j", F.explode(F.when(outside, F.sequence(F.lit(0).cast("long"), cs + ct - 1)).otherwise(F.sequence(F.lit(0).cast("long"), cs - 1))))
-    rows = rows.select("key", F.least("c", "j").alias("i"), F.greatest("c", "j").alias("j"), "c", "node", "root", "n", "vec")
+    rows = rows.select("key", F.least("c", "j").alias("i"), F.greatest("c", "j").alias("j"), "c", "node", "root", "n", "vec", *(f"f{k}" for k in range(FIRST))).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def search(block: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        key, i, j = (block.column(k)[0].as_py() for k in range(3))
+        c, node, root, size = (block.column(k).to_numpy() for k in (3, 4, 5, 6))
+        left, right = np.flatnonzero(c == i), np.flatnonzero(c == j)
+        wanted = root[left][:, None] != root[right][None, :]
+        for f in range(8, 8 + FIRST):
+            x = block.column(f).to_numpy()[left]
+            for g in range(8, 8 + FIRST):
+                wanted &= (x >= key)[:, None] | (x[:, None] != block.column(g).to_numpy()[right][None, :])
+        if not wanted.any():
+            return node[:0], node[:0]
+        points = _vectors(block.column(7))
+        q, p = CountTree(points[right], size[right]).search(points[left], size[left], num, den, wanted)
+        return node[left[q]], node[right[p]]
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        i, j = frame["i"].iloc[0], frame["j"].iloc[0]
-        left, right = frame[frame["c"] == i], frame[frame["c"] == j]
-        q, p = CountTree(_vectors(right["vec"]), right["n"].to_numpy()).search(_vectors(left["vec"]), left["n"].to_numpy(), num, den)
-        a, b = left["node"].to_numpy()[q], right["node"].to_numpy()[p]
-        keep = left["root"].to_numpy()[q] != right["root"].to_numpy()[p]
-        return pd.DataFrame({"a": np.maximum(a, b)[keep], "b": np.minimum(a, b)[keep]}).drop_duplicates()
+    def run(batches):
+        waiting: list[pa.RecordBatch] = []  # the last block pair so far, which may go on
+        for batch in _with_end(batches):
+            if batch is not None and not batch.num_rows:
+                continue
+            if batch is None:
+                blocks, waiting = [waiting], []
+            else:
+                names = np.stack([batch.column(k).to_numpy() for k in range(3)])
+                edges = [0, *(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+                parts = [batch.slice(a, b - a) for a, b in zip(edges, edges[1:])]
+                same = waiting and all(waiting[-1].column(k)[0] == parts[0].column(k)[0] for k in range(3))
+                blocks = [[*waiting, parts[0]], *([x] for x in parts[1:])] if same or not waiting else [waiting, *([x] for x in parts)]
+                waiting = blocks.pop()
+            found = [search(pa.concat_batches(x)) for x in blocks if x]
+            a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
-    return rows.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
+
+def _with_end(batches):
+    yield from batches
+    yield None
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -257,16 +283,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(shingle_ranks(docs, text_col, n))  # 2**RANK_BITS bytes
     names = ["id", "node", "n", "keys", "vec"]
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("vec", T.BinaryType())])
-    sets = written(docs.select(id_col, text_col).mapInArrow(_features(num, den, n, names), schema), "shingles")
+    sets = written(docs.select(id_col, text_col).mapInArrow(_features(num, den, n, names, shared), schema), "shingles")
     some = sets.filter("node is not null and id is not null")
-    reps = written(some.groupBy("node").agg(F.min(F.struct("id", "n", "vec")).alias("r")).select("node", "r.*"), "nodes")
-
-    keyed = some.select("node", F.explode("keys").alias("key"))
-    heads = written(keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("m")).filter("pivot < last"), "buckets")
-    # copies of a set have its keys too: each node once
-    members = written(keyed.join(heads.filter("m > 2").select("key", "pivot"), "key").distinct(), "members")
+    nodes = written(some.groupBy("node").agg(F.min(F.struct("id", "n", "vec", "keys")).alias("r")).select("node", "r.*"), "nodes")
+    reps = nodes.drop("keys")
+
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"_{k}") for k in range(2)]
+    heads = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("m"), *marks).filter("m > 1")
+    # keys with the same members are one bucket
+    heads = written(heads.groupBy("pivot", "last", "m", "_0", "_1").agg(F.min("key").alias("key")).select("key", "pivot", "last", "m"), "buckets")
+    release(docs.sparkSession)
+    members = written(keyed.join(heads.filter("m > 2").select("key", "pivot"), "key"), "members")
     release(docs.sparkSession)
     pairs = heads.filter("m = 2").select(F.col("last").alias("a"), F.col("pivot").alias("b")).union(members.filter("node <> pivot").select("node", "pivot")).distinct()
     edges = cut(_verified(cut(_bounded(pairs, reps, num, den)), reps, docs, id_col, text_col, n, num, den))

@@ -46,17 +46,27 @@ class CountTree:
             at = np.arange(0, len(top), fan)
             self.levels.append((np.maximum.reduceat(top, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
 
-    def search(self, points: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, point) pairs whose bound allows den * intersection >= num * union."""
+    def search(self, points: np.ndarray, sizes: np.ndarray, num: int, den: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, point) pairs whose bound allows den * intersection >= num * union; only those wanted, if that matrix is given."""
         points, sizes = np.asarray(points, np.int32), np.asarray(sizes)
         if not len(self.points) or not len(points):
             z = np.zeros(0, np.int64)
             return z, z
+        if len(self.levels) == 1 and wanted is not None:  # a leaf alone
+            query, at = np.nonzero(wanted[:, self.order])
+            low = np.minimum(points[query], self.points[at]).sum(1, dtype=np.int64)
+            a, b = sizes[query], self.sizes[at]
+            keep = (den * a >= num * b) & (den * b >= num * a) & ((num + den) * low >= num * (a + b))
+            return query[keep], self.order[at[keep]]
         node = np.arange(len(self.levels[-1][0]))
         open_ = np.ones((len(points), len(node)), bool)
         for k in reversed(range(len(self.levels))):
             top, low, high = (x[node] for x in self.levels[k])
             open_ &= (den * sizes[:, None] >= num * low) & (den * high >= num * sizes[:, None])
+            if not k and wanted is not None:
+                open_ &= wanted[:, self.order[node]]
+                some = np.flatnonzero(open_.any(0))
+                node, open_, top, low = node[some], open_[:, some], top[some], low[some]
             # union = n + m - overlap for a size m in low..high; the smallest m that can match decides
             m = np.maximum(low, -(-num * sizes[:, None] // den))
             open_ &= (num + den) * summed_minima(points, top) >= num * (sizes[:, None] + m)

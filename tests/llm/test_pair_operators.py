@@ -130,8 +130,9 @@ def test_routing_keys_meet(seed, n, r):
     a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
     b = np.unique(np.concatenate([a[: max(1, len(a) - r // 2)], rng.integers(0, 2**64, r - r // 2, dtype=np.uint64)]))
     common = len(np.intersect1d(a, b))
-    if 100 * common >= 90 * (len(a) + len(b) - common) and not np.array_equal(a, b):
-        assert len(np.intersect1d(jaccard.routing_keys(a, 90, 100), jaccard.routing_keys(b, 90, 100)))
+    ranks = rng.integers(0, 4, 1 << jaccard.RANK_BITS).astype(np.uint8)
+    if 100 * common >= 90 * (len(a) + len(b) - common) and len(a):
+        assert len(np.intersect1d(jaccard.routing_keys(a, ranks, 90, 100), jaccard.routing_keys(b, ranks, 90, 100)))
 
 
 def test_tree_bound_loses_nothing():
@@ -149,6 +150,10 @@ def test_tree_bound_loses_nothing():
             low = np.minimum(points[i], points[j]).sum()
             assert ((i, j) in found) == (100 * min(sizes[i], sizes[j]) >= 90 * max(sizes[i], sizes[j]) and 190 * low >= 90 * (sizes[i] + sizes[j]))
     assert len(found) < len(sets) ** 2 / 4
+    wanted = rng.random((len(sets), len(sets))) < 0.5
+    for fan in (4, 10**6):  # a tree, and a leaf alone
+        q, p = rtree.CountTree(points, sizes, fan=fan).search(points, sizes, 90, 100, wanted)
+        assert set(zip(q.tolist(), p.tolist())) == {(i, j) for i, j in found if wanted[i, j]}
 
 
 def test_near_copies_of_the_table(spark, sf):
@@ -163,6 +168,7 @@ def test_near_copies_of_the_table(spark, sf):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 6), max_size=14), min_size=1, max_size=3), st.integers(1, 5))
 def test_compact_windows(texts, width):
+    texts = [[x << 40 for x in t] for t in texts]
     h = np.array([x for t in texts for x in t], np.uint64)
     own = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     left, centre, right = passages.compact_windows(h, own, width)
@@ -235,6 +241,49 @@ def test_second_round_parts_a_shared_shingle(spark):
     assert {r["doc_id"] for r in got} == {2, 3, 4, 5, 6} and {r["match_id"] for r in got} == {1}
 
 
+def near_windows(a, b, width=46, num=80, den=100):
+    """First places of the windows of a's shingles whose Jaccard with some window of b of the same width is at least num / den, by trying all."""
+    at = {}
+    for j, x in enumerate(b):
+        at.setdefault(x, []).append(j)
+    found = []
+    for s in range(len(a) - width + 1):
+        own = set(a[s : s + width])
+        reach = {}
+        for x in own:
+            for t in {t for j in at.get(x, ()) for t in range(max(0, j - width + 1), min(j, len(b) - width) + 1)}:
+                reach[t] = reach.get(t, 0) + 1
+        for t, common in reach.items():
+            if den * common >= num * len(own) and den * common >= num * (len(own) + len(set(b[t : t + width])) - common):
+                found.append(s)
+                break
+    return found
+
+
+def test_passages_of_the_table(spark, sf):
+    """Of all 50-word windows that nearly stand in an earlier document, by brute force over all pairs of documents, nine in ten are in a reported passage at least by half."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    grams = {}
+    for i, t in texts.items():
+        w = SPACE.findall(lower(t))
+        grams[i] = [hash(tuple(w[k : k + 5])) for k in range(len(w) - 4)]
+    sets = {i: set(g) for i, g in grams.items()}
+    got = rows(passages.repeated_passages(spark.read.parquet(f"{sf}/documents.parquet")))
+    inside = {}
+    for r in got:
+        inside.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["start_word"] + r["n_words"]))
+    want = hit = 0
+    ids = sorted(texts)
+    for k, i in enumerate(ids):
+        near = set()
+        for j in ids[:k]:
+            if len(grams[i]) >= 46 and len(grams[j]) >= 46 and len(sets[i] & sets[j]) >= 30:
+                near.update(near_windows(grams[i], grams[j]))
+        want += len(near)
+        hit += sum(len(inside.get(i, set()) & set(range(s, s + 50))) >= 25 for s in near)
+    assert want > 500 and hit >= 0.9 * want, (hit, want)
+
+
 def test_passages_edges(spark):
     assert passages.repeated_passages(clashing(spark).limit(0)).count() == 0
     long = " ".join(f"w{k}" for k in range(70))
@@ -385,3 +434,43 @@ def test_leak_copied_into_a_third_of_the_rows(spark):
     texts = [f"{sentence(rng, words, 100)} {items[1]} {sentence(rng, words, 100)}" for _ in range(60)]
     got = {(r["doc_id"], r["item_id"]) for r in rows(contamination.find_leaks(table(spark, texts), benchmark))}
     assert got == {(i, 1) for i in range(60)}
+
+
+@pytest.mark.parametrize("docs, holding", [(1, 1), (150, 30), (150, 150)])
+def test_verbatim_leaks_in_few_and_in_all(spark, docs, holding):
+    rng, words = random.Random(docs + holding), vocabulary(41, 2500)
+    items = [sentence(rng, words, 30) for _ in range(5)]
+    texts = [f"{sentence(rng, words, 50)} {items[2] if i < holding else ''} {sentence(rng, words, 50)}" for i in range(docs)]
+    benchmark = spark.createDataFrame([*enumerate(items)], "item_id smallint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in rows(contamination.find_leaks(table(spark, texts), benchmark))}
+    assert got == {(i, 2) for i in range(holding)}
+
+
+def test_leaks_of_long_short_and_paraphrased_items(spark):
+    """Every pair that brute force accepts (whole texts against items), of items from 6 to 600 words, verbatim or with up to half of the words replaced."""
+    rng, words = random.Random(51), vocabulary(51, 2500)
+    items = [sentence(rng, words, n) for n in (6, 8, 12, 20, 30, 45, 60, 90, 150, 330, 600) for _ in range(4)]
+    texts = []
+    for k, item in enumerate(items * 3):
+        w = item.split()
+        for _ in range((0, len(w) // 5, int(len(w) * 0.42))[k // len(items)]):
+            w[rng.randrange(max(1, len(w) - 5))] = rng.choice(words)
+        texts.append(f"{sentence(rng, words, rng.randint(5, 150))} {' '.join(w)} {sentence(rng, words, rng.randint(5, 150))}")
+    texts += [sentence(rng, words, 300) for _ in range(60)]
+    ids = [None, *range(1, len(texts) - 1), 1]  # a null id and a repeated one
+    found = rows(contamination.find_leaks(table(spark, texts, ids), spark.createDataFrame([(f"i{k}", t) for k, t in enumerate(items)], "item_id string, text string")))
+    got = {(r["doc_id"], r["item_id"]) for r in found}
+    want = set()
+    for i, text in zip(ids, texts):
+        t = text.split()
+        for k, item in enumerate(items):
+            w, best = item.split(), (0, 0)
+            for at in range(0, len(t), max(1, len(w) // 8)):  # stretches a little longer than the item
+                part = t[at : at + len(w) + len(w) // 4]
+                masks = contamination._masks
+                best = max(best, (contamination.common_subsequence(masks(w), len(w), part) / len(w), contamination.common_subsequence(masks(w[-5:]), min(5, len(w)), part) / min(5, len(w))))
+            if best[0] >= 0.8 or (best[0] >= 0.5 and best[1] >= 0.75 and len(w) >= 10):
+                want.add((i, f"i{k}"))
+    assert len(want) > 100 and len(want & got) >= 0.95 * len(want)
+    assert got <= {(i, f"i{k % len(items)}") for k, i in enumerate(ids[: 3 * len(items)])} | want
+    assert {r["item_id"] for r in found if r["doc_id"] is None} == {"i0"}
