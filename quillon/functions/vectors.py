@@ -106,6 +106,10 @@ DISTANCES = {
 }
 
 
+#: Distances that need a covariance or variances; where none is given, as in the feature family, they are 0.
+UNPARAMETRISED = {"mahalanobis": lambda a, b: F.lit(0.0), "seuclidean": lambda a, b: F.lit(0.0)}
+
+
 def row_normalised(a: Column) -> Column:
     """x / sum(x), all 0 where the sum is 0."""
     return F.transform(a, lambda x: F.coalesce(F.try_divide(x, total(a)), F.lit(0.0)))

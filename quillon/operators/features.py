@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import vectors as V
@@ -117,18 +117,28 @@ def principal_components(df: DataFrame, key: str, vec: str, k: int) -> DataFrame
     return PCA(k=k, inputCol="_v", outputCol="_o").fit(prepared).transform(prepared).select(key, vector_to_array("_o").alias("x"))
 
 
-def boosted_folds(df: DataFrame, features: list[str], label: str, fold: str, key: str, rounds: int = 20, depth: int = 4) -> DataFrame:
-    """(key, prob): out-of-fold probabilities of gradient-boosted trees, one model a fold, null features as -1."""
+def boosted_folds(df: DataFrame, features: list[str], label: str, fold: str, key: str, rounds: int = 20, depth: int = 4, patience: float = 0.01) -> tuple[DataFrame, DataFrame]:
+    """Out-of-fold probabilities (key, prob) of gradient-boosted trees, and importances (fold, feature, importance, trees).
+
+    One model a fold, null features as -1.  The held fold is the validation
+    set: boosting stops when its error no longer falls by `patience`, and
+    `trees` says how many were kept.
+    """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    prepared = VectorAssembler(inputCols=features, outputCol="_v").transform(df.fillna(-1.0, features).withColumn(label, F.col(label).cast("double"))).cache()
-    out = None
+    from quillon.sources.tables import cut
+
+    plain = df.fillna(-1.0, features).select(key, fold, F.col(label).cast("double").alias(label), *features)
+    prepared = VectorAssembler(inputCols=features, outputCol="_v").transform(cut(plain))
+    out, weights = None, []
     for (k,) in prepared.select(fold).distinct().orderBy(fold).collect():  # one row a fold
-        model = GBTClassifier(labelCol=label, featuresCol="_v", maxIter=rounds, maxDepth=depth, seed=2024).fit(prepared.filter(F.col(fold) != k))
-        part = model.transform(prepared.filter(F.col(fold) == k)).select(key, F.get(vector_to_array("probability"), F.lit(1)).alias("prob"))
+        marked = prepared.withColumn("_held", F.col(fold) == k)
+        model = GBTClassifier(labelCol=label, featuresCol="_v", maxIter=rounds, maxDepth=depth, seed=2024, validationIndicatorCol="_held", validationTol=patience).fit(marked)
+        part = model.transform(marked.filter("_held")).select(key, F.get(vector_to_array("probability"), F.lit(1)).alias("prob"))
         out = part if out is None else out.unionByName(part)
-    return out
+        weights += [(int(k), name, float(x), int(model.getNumTrees)) for name, x in zip(features, model.featureImportances.toArray())]
+    return out, df.sparkSession.createDataFrame(weights, f"{fold} int, feature string, importance double, trees int")
 
 
 def clusters(df: DataFrame, key: str, vec: str, k: int, seed: int = 1) -> DataFrame:
@@ -138,6 +148,140 @@ def clusters(df: DataFrame, key: str, vec: str, k: int, seed: int = 1) -> DataFr
     return KMeans(k=k, seed=seed).fit(prepared).transform(prepared).select(key, F.col("prediction").alias("cluster"))
 
 
+def spectral_clusters(edges: DataFrame, k: int, seed: int = 1) -> DataFrame:
+    """(id, cluster): k-means of the rows, of length 1, of the leading singular directions of the normalised adjacency with loops."""
+    from quillon.operators import graph as G
+    from quillon.sources.tables import cut
+
+    both = G.mirrored(G.without_loops(edges)).withColumn("w", F.lit(1.0))
+    nodes = both.select(F.col("src").alias("id")).distinct()
+    a = G.weighted_normalised(both, nodes).select(F.col("src").alias("id"), F.col("dst").cast("string").alias("term"), F.col("w").alias("weight"))
+    rows = cut(truncated_svd(cut(a), "id", k, places=1 << 12))
+    return clusters(rows.select("id", V.unit(F.col("x")).alias("x")), "id", "x", k, seed)
+
+
+def best_mapping(gain: np.ndarray) -> np.ndarray:
+    """The column of each row of a square matrix, each taken once, with the largest sum (the Hungarian method, by shortest paths)."""
+    n = len(gain)
+    cost = float(gain.max(initial=0)) - np.asarray(gain, float)
+    u, v, row_of = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1, int)
+    for row in range(1, n + 1):
+        row_of[0], at = row, 0
+        least, came, done = np.full(n + 1, np.inf), np.zeros(n + 1, int), np.zeros(n + 1, bool)
+        while True:
+            done[at] = True
+            slack = np.concatenate([[np.inf], cost[row_of[at] - 1] - u[row_of[at]] - v[1:]])
+            better = ~done & (slack < least)
+            least[better], came[better] = slack[better], at
+            open_ = np.where(done, np.inf, least)
+            open_[0] = np.inf
+            to = int(open_.argmin())
+            step = open_[to]
+            u[row_of[done]] += step
+            v[done] -= step
+            least[~done] -= step
+            at = to
+            if not row_of[at]:
+                break
+        while at:
+            row_of[at] = row_of[came[at]]
+            at = came[at]
+    out = np.zeros(n, int)
+    out[row_of[1:] - 1] = np.arange(n)
+    return out
+
+
+def mapped_clusters(df: DataFrame, cluster: str, label: str) -> DataFrame:
+    """df with `mapped`: each cluster's label under the one-to-one mapping with the most agreement.
+
+    Only the contingency counts (clusters times labels) reach the driver.
+    """
+    cells = df.groupBy(cluster, label).agg(F.count("*").alias("n")).collect()
+    rows, columns = sorted({r[0] for r in cells}), sorted({r[1] for r in cells})
+    n = max(len(rows), len(columns))
+    gain = np.zeros((n, n))
+    for r in cells:
+        gain[rows.index(r[0]), columns.index(r[1])] = r["n"]
+    to = best_mapping(gain)
+    pairs = [(r, columns[to[k]] if to[k] < len(columns) else None) for k, r in enumerate(rows)]
+    schema = f"{cluster} {df.schema[cluster].dataType.simpleString()}, mapped {df.schema[label].dataType.simpleString()}"
+    return df.join(F.broadcast(df.sparkSession.createDataFrame(pairs, schema)), cluster)  # a row a cluster
+
+
+def svm_grid(df: DataFrame, vec: str, label: str, costs: list[float], folds: int = 10, seed: str = "0", key: str = "id") -> DataFrame:
+    """(cost, fold, accuracy): a linear SVM for each cost and fold, rows dealt to folds by md5; labels 0 and 1."""
+    from pyspark.ml.classification import LinearSVC
+
+    from quillon.operators.tables import hashed
+    from quillon.sources.tables import cut
+
+    place = F.conv(F.substring(hashed(seed, F.col(key)), 1, 8), 16, 10).cast("long")
+    plain = cut(df.select(F.col(label).cast("double").alias("label"), F.col(vec).cast("array<double>").alias("_x"), F.pmod(place, F.lit(folds)).alias("fold")))
+    prepared = plain.select("label", "fold", array_to_vector("_x").alias("features"))
+    out = []
+    for cost in costs:
+        for k in range(folds):
+            model = LinearSVC(regParam=1 / cost, maxIter=20).fit(prepared.filter(F.col("fold") != k))
+            right = model.transform(prepared.filter(F.col("fold") == k)).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+            out.append((float(cost), k, right))
+    return df.sparkSession.createDataFrame(out, "cost double, fold int, accuracy double")
+
+
+def top_labels(df: DataFrame, key: str, vec: str, labels: str, fit_on, classes: int) -> DataFrame:
+    """(key, truth, predicted) of the rows that `fit_on` leaves out: one logistic model a class, and as many labels as a row truly has.
+
+    labels is an array of class numbers from 0.
+    """
+    from pyspark.ml.classification import LogisticRegression
+
+    prepared = df.select(key, F.col(labels).alias("truth"), array_to_vector(F.col(vec).cast("array<double>")).alias("features"), fit_on.alias("_fit"))
+    rest = prepared.filter(~F.col("_fit"))
+    for k in range(classes):
+        own = prepared.filter("_fit").withColumn("label", F.array_contains("truth", k).cast("double"))
+        model = LogisticRegression(maxIter=10, regParam=0.01, rawPredictionCol="_r", probabilityCol=f"_{k}", predictionCol="_p").fit(own)
+        rest = model.transform(rest).drop("_r", "_p").withColumn(f"_{k}", F.get(vector_to_array(f"_{k}"), F.lit(1)))
+    ranked = F.sort_array(F.array(*(F.struct((-F.col(f"_{k}")).alias("s"), F.lit(k).alias("c")) for k in range(classes))))
+    return rest.select(key, "truth", F.slice(F.transform(ranked, lambda x: x["c"]), F.lit(1), F.size("truth")).alias("predicted"))
+
+
+def group_documents(df: DataFrame, group: str, order: str, text: str) -> DataFrame:
+    """(group, text): an entity's texts in order, joined by a space."""
+    from quillon.operators.tables import concatenated
+
+    return concatenated(df, group, text, order)
+
+
+def group_embeddings(documents: DataFrame, group: str, text: str, size: int, how: str) -> DataFrame:
+    """(group, x) of an entity's documents: its weights of the `size` most frequent terms (tfidf, counts), these on singular directions (svd), or its mean word vector (words)."""
+    from quillon.sources.tables import cut
+
+    if how == "words":
+        tokens = documents.select(group, F.split(F.lower(text), " ").alias("_t"))
+        return mean_word_vectors(documents.select(group, F.lower(text).alias(text)), group, text, cut(word2vec(tokens, "_t", size)), size)
+    counts = cut(terms(documents, group, text, 1).groupBy(group, "term").agg(F.count("*").cast("double").alias("tf")))
+    if how == "svd":
+        weights = cut(tf_idf(documents, group, text, 1, max_df=1.0))
+        return truncated_svd(weights, group, size, places=1 << 12)
+    top = counts.groupBy("term").agg(F.sum("tf").alias("n")).orderBy(F.desc("n"), "term").limit(size)
+    chosen = cut(top.select("term", (F.row_number().over(Window.orderBy(F.desc("n"), "term")) - 1).alias("at")))  # `size` rows
+    weights = counts if how == "counts" else tf_idf(documents, group, text, 1, max_df=1.0).withColumnRenamed("weight", "tf")
+    cells = weights.join(F.broadcast(chosen), "term").groupBy(group).agg(*(F.coalesce(F.sum(F.when(F.col("at") == k, F.col("tf"))), F.lit(0.0)).alias(f"_{k}") for k in range(size)))
+    zeros = F.array(*(F.lit(0.0) for _ in range(size)))
+    return documents.select(group).distinct().join(cells.select(group, F.array(*(f"_{k}" for k in range(size))).alias("x")), group, "left").select(group, F.coalesce("x", zeros).alias("x"))
+
+
+def save_model(model, path: str) -> None:
+    """A Spark ML model or pipeline under a path that all executors see."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str):
+    """A model that save_model wrote, of the class its metadata names."""
+    from pyspark.ml.util import DefaultParamsReader
+
+    return DefaultParamsReader.loadParamsInstance(path, SparkSession.active())
+
+
 def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     """Normalised mutual information of two labellings: 2 I / (Ha + Hb), from their contingency counts."""
     cells = df.groupBy(a, b).agg(F.count("*").alias("n"))

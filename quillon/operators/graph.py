@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import vectors as V
-from quillon.operators.tables import hashed
+from quillon.operators.tables import hashed, running_total
 from quillon.sources.tables import cut
 
 #: Iterations between two cuts of the lineage.
 EVERY = 3
+#: Graphs of one label that a task pairs with as many others, on average.
+BAG_BLOCK = 1_000
 
 
 def weighted(edges: DataFrame) -> DataFrame:
@@ -103,8 +105,7 @@ def product(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def disjoint_union(nodes: DataFrame) -> DataFrame:
     """Nodes of many graphs with one numbering: local id plus the nodes of the graphs before."""
-    sizes = nodes.groupBy("graph_id").agg((F.max("id") + 1).alias("n"))
-    before = sizes.select("graph_id", F.coalesce(F.sum("n").over(Window.orderBy("graph_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    before = running_total(nodes.groupBy("graph_id").agg((F.max("id") + 1).alias("_n")), [F.asc("graph_id")], "_n", "_before").drop("_n")
     return nodes.join(before, "graph_id").withColumn("global_id", F.col("id") + F.col("_before")).drop("_before")
 
 
@@ -268,18 +269,19 @@ def chebyshev_gaussian(edges: DataFrame, values: DataFrame, order: int = 10, mu:
     return total.withColumnRenamed("s", "v")
 
 
-def personalised_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.5, eps: float = 1e-3, top: int | None = None, most: int = 50) -> DataFrame:
+def personalised_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.5, eps: float = 1e-3, top: int | None = None) -> DataFrame:
     """(seed, id, p): approximate PageRank by synchronous pushes.
 
     In each round every node whose residual is at least alpha * eps * degree
     keeps alpha of it and deals the rest to its neighbours; it ends when no
     residual is that large, so each value is within the bound of the push
-    algorithm.  `top` keeps the largest values of each seed.
+    algorithm: every push takes at least alpha^2 * eps of a seed's residual,
+    so it does end.  `top` keeps the largest values of each seed.
     """
-    out = mirrored(edges)
+    out = cut(mirrored(edges))
     degree = cut(degrees(out))
     state = seeds.select(F.col("id").alias("seed"), "id", F.lit(0.0).alias("p"), F.lit(1.0).alias("r"))
-    for _ in range(most):
+    while True:
         marked = cut(state.join(degree, "id", "left").withColumn("_push", (F.col("r") >= alpha * eps * F.coalesce("degree", F.lit(1))) & F.col("degree").isNotNull()))
         pushing = marked.filter("_push")
         if pushing.isEmpty():
@@ -396,6 +398,15 @@ def sampled_neighbours(edges: DataFrame, seeds: DataFrame, size: int, seed: str
     return own.withColumn("_k", rank).filter(F.col("_k") <= size).drop("_k")
 
 
+def drawn_neighbours(edges: DataFrame, size: int, seed: str = "0") -> DataFrame:
+    """(src, draw, dst): `size` neighbours of each node with edges, with replacement, drawn by md5 from its numbered neighbours."""
+    one = edges.select("src", "dst").distinct()
+    numbered = one.select("src", "dst", (F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1).cast("long").alias("_k"))
+    draws = one.groupBy("src").agg(F.count("*").alias("_n")).select("src", "_n", F.explode(F.sequence(F.lit(1), F.lit(size))).alias("draw"))
+    spot = F.pmod(F.conv(F.substring(hashed(seed, F.col("src"), F.col("draw")), 1, 15), 16, 10).cast("long"), F.col("_n"))
+    return draws.withColumn("_k", spot).join(numbered, ["src", "_k"]).select("src", "draw", "dst")
+
+
 def layered_sample(edges: DataFrame, seeds: DataFrame, sizes: list[int], seed: str = "0") -> DataFrame:
     """(hop, src, dst): edges sampled hop by hop from a growing frontier."""
     front, out = seeds.select("id"), None
@@ -427,6 +438,69 @@ def dropped_edges(edges: DataFrame, rate: float, seed: str = "0") -> DataFrame:
     return edges.filter((at >= rate) | (F.col("src") == F.col("dst")))
 
 
+def _place(seed: str, *key) -> Column:
+    """The place of a key's md5 in 0..1."""
+    return F.conv(F.substring(hashed(seed, *key), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def dropped_nodes(nodes: DataFrame, rate: float, seed: str = "0") -> DataFrame:
+    """Features of nodes whose md5 lies under the rate become zeros; the others are scaled by 1 / (1 - rate)."""
+    gone = _place(seed, F.col("id")) < rate
+    return nodes.withColumn("x", F.transform("x", lambda e: F.when(gone, 0.0).otherwise(e / (1 - rate))))
+
+
+def dropped_features(nodes: DataFrame, width: int, rate: float, seed: str = "0") -> DataFrame:
+    """Feature columns whose number's md5 lies under the rate become zeros, for all nodes alike."""
+    return nodes.withColumn("x", F.array(*(F.when(_place(seed, F.lit(k)) < rate, 0.0).otherwise(F.col("x")[k]) for k in range(width))))
+
+
+def masked_edges(edges: DataFrame, rate: float, seed: str = "0") -> DataFrame:
+    """Edges with `masked`: held back as targets; both directions of a pair share their md5."""
+    return edges.withColumn("masked", _place(seed, F.least("src", "dst"), F.greatest("src", "dst")) < rate)
+
+
+def masked_attributes(nodes: DataFrame, width: int, rate: float, seed: str = "0") -> DataFrame:
+    """Nodes with `masked`, zeros for the features of those masked, and their features as `target`."""
+    zeros = F.array(*(F.lit(0.0) for _ in range(width)))
+    marked = nodes.withColumn("masked", _place(seed, F.col("id")) < rate)
+    return marked.withColumn("target", F.when(F.col("masked"), F.col("x"))).withColumn("x", F.when(F.col("masked"), zeros).otherwise(F.col("x")))
+
+
+def random_partition(nodes: DataFrame, parts: int, seed: str = "0") -> DataFrame:
+    """(id, part): nodes dealt to parts by md5."""
+    spot = F.conv(F.substring(hashed(seed, F.col("id")), 1, 15), 16, 10).cast("long")
+    return nodes.select("id", F.pmod(spot, F.lit(parts)).alias("part"))
+
+
+def partition_subgraphs(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """Edges with both ends in one part, with that part; parts is (id, part), of any partition."""
+    a = parts.select(F.col("id").alias("src"), "part")
+    b = parts.select(F.col("id").alias("dst"), F.col("part").alias("_other"))
+    return edges.join(a, "src").join(b, "dst").filter(F.col("part") == F.col("_other")).drop("_other")
+
+
+def layerwise(edges: DataFrame, nodes: DataFrame, width: int, layers: int, own: float = 0.5) -> DataFrame:
+    """(id, x): layer after layer for all nodes, own share and neighbours' weighted sum, negative values cut.
+
+    Each layer is one join and one aggregate over whole tables, so no node is
+    computed more than once a layer, however many neighbourhoods it is in.
+    """
+    zeros = F.array(*(F.lit(0.0) for _ in range(width)))
+
+    def step(now):
+        g = spmm(edges, now, width).withColumnRenamed("x", "g")
+        mixed = V.plus(V.scaled(F.col("x"), F.lit(own)), V.scaled(F.coalesce("g", zeros), F.lit(1 - own)))
+        return now.join(g, "id", "left").select("id", F.transform(mixed, lambda e: F.greatest(e, F.lit(0.0))).alias("x"))
+
+    return _looped(nodes.select("id", "x"), step, layers)
+
+
+def compressed(edges: DataFrame, line: str = "src", other: str = "dst") -> DataFrame:
+    """(line, pointer, indices): compressed rows (or columns) of an edge table: where each line begins, and its sorted other ends."""
+    lines = edges.groupBy(F.col(line).alias("line")).agg(F.sort_array(F.collect_list(other)).alias("indices"))
+    return running_total(lines.withColumn("_n", F.size("indices").cast("long")), [F.asc("line")], "_n", "pointer").select("line", "pointer", "indices")
+
+
 def top_edges(edges: DataFrame, k: int, by: str = "src") -> DataFrame:
     """The k heaviest edges of each row (or column), weights brought to sum 1 there."""
     other = "dst" if by == "src" else "src"
@@ -456,10 +530,18 @@ def sort_pooled(nodes: DataFrame, graph: str, k: int, width: int) -> DataFrame:
 
 
 def bag_kernel(labels: DataFrame, graph: str = "graph_id", label: str = "label") -> DataFrame:
-    """(a, b, k): for pairs of graphs that share a label, the product of their label counts summed."""
-    c = labels.groupBy(graph, label).agg(F.count("*").alias("n"))
-    other = c.select(F.col(graph).alias("b"), label, F.col("n").alias("_n"))
-    return c.withColumnRenamed(graph, "a").join(other, label).filter("a <= b").groupBy("a", "b").agg(F.sum(F.col("n") * F.col("_n")).alias("k"))
+    """(a, b, k): for pairs of graphs that share a label, the product of their label counts summed.
+
+    The pairs are the result.  Graphs that share a label are dealt to blocks, so
+    that a common label's pairs are made by many tasks, two blocks at a time.
+    """
+    c = cut(labels.groupBy(graph, label).agg(F.count("*").alias("n")))
+    blocks = c.groupBy(label).agg(F.ceil(F.count("*") / BAG_BLOCK).cast("long").alias("_m"))
+    c = c.join(blocks, label).withColumn("_b", F.pmod(F.xxhash64(graph), F.col("_m")))
+    spread = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1))
+    left = c.select(F.col(graph).alias("a"), label, "n", F.col("_b").alias("_i"), spread.alias("_j"))
+    right = c.select(F.col(graph).alias("b"), label, F.col("n").alias("_n"), F.col("_b").alias("_j"), spread.alias("_i"))
+    return left.join(right, [label, "_i", "_j"]).filter("a <= b").groupBy("a", "b").agg(F.sum(F.col("n") * F.col("_n")).alias("k"))
 
 
 def relation_composed(edges: DataFrame, nodes: DataFrame, relations: DataFrame, width: int, op: str = "sub") -> DataFrame:

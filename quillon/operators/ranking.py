@@ -73,15 +73,31 @@ def top_items(scores: DataFrame, user: str = "user", item: str = "item", score:
     return scores.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def scored_queries(queries: DataFrame, rows: DataFrame, score, k: int, query: str = "query", row: str = "row", blocks: int = 8) -> DataFrame:
+#: Rows of each side that a task pairs, on average.
+PAIR_BLOCK = 2_000
+
+
+def beside(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFrame:
+    """Every row of a with every row of b, for operators that are asked for all pairs.
+
+    Both sides are dealt to blocks by hash, as many as their counted rows
+    need, and a pair of blocks is one key of an equi-join: no side is
+    broadcast and no task pairs more than about PAIR_BLOCK rows of each.
+    """
+    many = lambda df: max(1, -(-df.count() // PAIR_BLOCK))
+    m, n = many(a), many(b)
+    spread = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)).cast("array<bigint>"))
+    left = a.withColumn("_i", F.pmod(F.xxhash64(key_a), F.lit(m))).withColumn("_j", spread(n))
+    right = b.withColumn("_j", F.pmod(F.xxhash64(key_b), F.lit(n))).withColumn("_i", spread(m))
+    return left.join(right, ["_i", "_j"]).drop("_i", "_j")
+
+
+def scored_queries(queries: DataFrame, rows: DataFrame, score, k: int, query: str = "query", row: str = "row") -> DataFrame:
     """(query, row, score, rank): the k best rows of a stated query set, searched in blocks.
 
-    Queries are dealt to blocks by hash and every row meets every block, so a
-    pair of one query and one row exists in one task only, and the best k of
-    a block are kept before anything is shuffled to rank.
+    A pair of one query and one row exists in one task only, and the best k of
+    a task are kept before anything is shuffled to rank.
     """
-    q = queries.withColumn("_b", F.pmod(F.xxhash64(query), F.lit(blocks)))
-    r = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-    pairs = q.join(r, "_b").withColumn("score", score)
+    pairs = beside(queries, rows, query, row).withColumn("score", score)
     rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), row))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select(query, row, "score", "rank")

@@ -81,6 +81,20 @@ def vocabulary(df: DataFrame, value: str, order: str) -> DataFrame:
     return dense_positions(counts, [F.desc("n"), F.asc("_first"), F.asc(value)], "index").drop("_first")
 
 
+def _ranged(df: DataFrame, order: list[Column], amount: Column) -> tuple[DataFrame, DataFrame]:
+    """(df range-partitioned in a total order with _part and _at; the sum of `amount` in the partitions before each).
+
+    The sums are one row a partition, whatever the rows.
+    """
+    from quillon.sources.tables import cut
+
+    at = F.monotonically_increasing_id()
+    parted = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_q_at", at)).withColumn("_q_part", F.shiftright("_q_at", 33))
+    sizes = parted.groupBy("_q_part").agg(F.sum(amount).alias("_n"))
+    before = sizes.select("_q_part", (F.coalesce(F.sum("_n").over(Window.orderBy("_q_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_q_before"))
+    return parted, before
+
+
 def dense_positions(df: DataFrame, order: list[Column], name: str, from_: int = 0) -> DataFrame:
     """Rows numbered in a total order without bringing them to one task.
 
@@ -88,14 +102,16 @@ def dense_positions(df: DataFrame, order: list[Column], name: str, from_: int =
     by the counts of the partitions before; those counts are one row a
     partition.
     """
-    from quillon.sources.tables import cut
+    parted, before = _ranged(df, order, F.lit(1))
+    number = F.col("_q_before") + F.col("_q_at").bitwiseAND(F.lit((1 << 33) - 1)) + from_
+    return parted.join(F.broadcast(before), "_q_part").withColumn(name, number).drop("_q_at", "_q_part", "_q_before")  # one row a partition
 
-    parted = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    sizes = parted.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_before"))
-    number = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + from_
-    return parted.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, number).drop("_at", "_part", "_before")  # one row a partition
+
+def running_total(df: DataFrame, order: list[Column], amount: str, name: str) -> DataFrame:
+    """The sum of `amount` over the rows before each in a total order (0 for the first), by ranges as in dense_positions."""
+    parted, before = _ranged(df, order, F.col(amount))
+    inside = F.coalesce(F.sum(amount).over(Window.partitionBy("_q_part").orderBy("_q_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parted.withColumn("_q_inside", inside).join(F.broadcast(before), "_q_part").withColumn(name, F.col("_q_before") + F.col("_q_inside")).drop("_q_at", "_q_part", "_q_before", "_q_inside")  # one row a partition
 
 
 def concatenated(df: DataFrame, key: str, text: str, order: str, sep: str = " ") -> DataFrame:
@@ -178,14 +194,44 @@ def pair_windows(walks: DataFrame, walk: str, place: str, node: str, window: int
 # --------------------------------------------------------------- sampling and splits
 
 
+def typed_pairs(walks: DataFrame, walk: str, place: str, node: str, kind: str, hop: int, nodes: DataFrame, seed: str = "0") -> DataFrame:
+    """(x, y, relation, path, negative): nodes up to `hop` places on in a walk, the path of types between, its number, and a negative.
+
+    Later places come from windows over the walk, so no pairs are joined; the
+    negative is a node of y's type, drawn by md5 from the numbered nodes.
+    """
+    from quillon.sources.tables import cut
+
+    w = Window.partitionBy(walk).orderBy(place)
+    ahead = [F.lead(F.struct(F.col(node).alias("y"), F.col(kind).alias("k")), k).over(w).alias(f"_{k}") for k in range(1, hop + 1)]
+    steps = walks.select(F.col(node).alias("x"), F.col(kind).alias("_0"), *ahead)
+    path = lambda k: F.concat_ws(">", "_0", *(F.col(f"_{j}.k") for j in range(1, k + 1)))
+    found = steps.select("x", F.explode(F.array(*(F.struct(F.col(f"_{k}.y").alias("y"), F.col(f"_{k}.k").alias("kind"), path(k).alias("path")) for k in range(1, hop + 1)))).alias("s")).select("x", "s.*").filter("y is not null")
+    relations = dense_positions(found.select("path").distinct(), [F.asc("path")], "relation")
+    numbered = cut(dense_positions(nodes.select(F.col(node).alias("negative"), F.col(kind).alias("kind")), [F.asc("kind"), F.asc("negative")], "_at"))
+    sizes = cut(numbered.groupBy("kind").agg(F.count("*").alias("_n"), F.min("_at").alias("_from")))
+    numbered = numbered.join(sizes.select("kind", "_from"), "kind").select("negative", "kind", (F.col("_at") - F.col("_from")).alias("_k"))
+    spot = F.pmod(F.conv(F.substring(hashed(seed, F.col("x"), F.col("y"), F.col("path")), 1, 15), 16, 10).cast("long"), F.col("_n"))
+    return found.join(sizes.drop("_from"), "kind").withColumn("_k", spot).join(numbered, ["kind", "_k"]).join(relations, "path").select("x", "y", "relation", "path", "negative")
+
+
 def under_sampled(df: DataFrame, label: str, key: str, ratio: float = 1.0, seed: str = "0", minority=0) -> DataFrame:
     """All rows of the minority label, and of the others so many times as many, least md5 first.
 
-    The limit is one number; the others are cut by a distributed top-k.
+    The others are counted by the first 16 bits of their md5 (a bounded table);
+    whole ranges below the limit pass by a filter, and only the range that
+    holds the limit is ordered.
     """
-    few = df.filter(F.col(label) == minority)
-    n = int(few.count() * ratio)
-    return few.unionByName(df.filter(F.col(label) != minority).orderBy(hashed(seed, F.col(key)), key).limit(n))
+    few, rest = df.filter(F.col(label) == minority), df.filter(F.col(label) != minority)
+    left, limit = int(few.count() * ratio), 1 << 16
+    place = F.conv(F.substring(hashed(seed, F.col(key)), 1, 4), 16, 10).cast("int")
+    for k, n in sorted(tuple(r) for r in rest.groupBy(place.alias("k")).agg(F.count("*").alias("n")).collect()):  # 2**16 rows at most
+        if n > left:
+            limit = k
+            break
+        left -= n
+    edge = rest.filter(place == limit).orderBy(hashed(seed, F.col(key)), key).limit(left)
+    return few.unionByName(rest.filter(place < limit)).unionByName(edge)
 
 
 def first_by_hash(df: DataFrame, group: Sequence[str], key: Sequence[str], k: int, seed: str = "0") -> DataFrame:

@@ -33,10 +33,15 @@ def generate_embeddings(edges: DataFrame, rank: int = 16, how: str = "spectral")
 
 
 def recommend(interactions: DataFrame, k: int = 10) -> DataFrame:
-    """(user, item, score, rank): items of users who share items, without those a user has."""
+    """(user, item, score, rank): items of users who share items, without those a user has.
+
+    An item's score is the number of other users who have it and an item of the
+    user's, each counted once an item shared.  Pairs of items are counted within
+    users' lists, so an item that very many users have makes no pairs of users.
+    """
     pairs = interactions.select("user", "item").distinct()
-    shared = pairs.join(pairs.toDF("other", "item"), "item").filter("user <> other").groupBy("user", "other").agg(F.count("*").alias("n"))
-    scores = shared.join(pairs.toDF("other", "item"), "other").groupBy("user", "item").agg(F.sum("n").alias("score"))
+    together = cut(pairs.join(pairs.toDF("user", "next"), "user").filter("item <> next").groupBy("item", "next").agg(F.count("*").alias("n")))
+    scores = pairs.join(together, "item").groupBy("user", F.col("next").alias("item")).agg(F.sum("n").alias("score"))
     return ranking.top_items(scores, k=k, seen=pairs)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import vectors as V
 from quillon.operators import graph as G
+from quillon.operators import ranking as R
 from quillon.plans.registry import query, rounded
 from quillon.sources import tables as S
 from quillon.sources.tables import table
@@ -15,6 +16,7 @@ _P = """pe AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS w FROM (SELECT l_par
 _N = "n AS (SELECT p_partkey AS id, [p_size / 9.7, p_retailprice / 997.0, sqrt(p_partkey % 5)] AS x, sqrt(p_partkey % 11) / 10.0 AS v FROM part)"
 _L = "nl AS (SELECT id, generate_subscripts(x, 1) AS k, unnest(x) AS x FROM n)"
 _B = "b AS (SELECT l_suppkey AS src, 1000000000 + l_partkey AS dst, sum(l_quantity) AS w FROM lineitem GROUP BY ALL)"
+_A = "a AS (SELECT src, dst, w / count(*) OVER (PARTITION BY src) AS w FROM pe)"
 WIDTH = 3
 
 
@@ -88,11 +90,11 @@ def induced_subgraph(spark, d):
     return rounded(G.induced(_edges(spark, d), _nodes(spark, d).filter("id % 3 <> 0")).select("src", "dst", "w"))
 
 
-@query(f"WITH {_P}, s AS (SELECT * FROM pe WHERE src % 5 = 0) SELECT s.src, pe.dst, sum(s.w * pe.w) AS w FROM s JOIN pe ON s.dst = pe.src WHERE s.dst % 5 = 0 GROUP BY ALL")
+@query(f"WITH {_P} SELECT s.src, pe.dst, sum(s.w * pe.w) AS w FROM pe s JOIN pe ON s.dst = pe.src GROUP BY ALL")
 def two_hop_product(spark, d):
-    """A times A over the rows of a node set."""
-    e = _edges(spark, d).filter("src % 5 = 0")
-    return rounded(G.product(e.filter("dst % 5 = 0"), _edges(spark, d)))
+    """A times A."""
+    e = S.cut(_edges(spark, d))
+    return rounded(G.product(e, e))
 
 
 @query(f"WITH {_P}, {_N}, {_L}, s AS (SELECT src AS id, k, sum(w * x) AS x FROM pe JOIN nl ON nl.id = pe.dst GROUP BY ALL) SELECT id, list(round(x, 6) ORDER BY k) AS x FROM s GROUP BY 1")
@@ -195,9 +197,6 @@ def smoothness_index(spark, d):
     return rounded(G.smoothness(_edges(spark, d), _nodes(spark, d)))
 
 
-_A = "a AS (SELECT src, dst, w / count(*) OVER (PARTITION BY src) AS w FROM pe)"
-
-
 def _step(k, expr):
     return f"v{k} AS (SELECT n.id, {expr} AS v FROM n LEFT JOIN (SELECT src, sum(w * v) AS g FROM a JOIN v{k - 1} ON v{k - 1}.id = a.dst GROUP BY 1) t ON t.src = n.id)"
 
@@ -251,33 +250,28 @@ def hop_features(spark, d):
 
 @query()
 def personalised_pagerank(spark, d):
-    """Push until no residual is large; the ten best of each seed."""
-    return rounded(G.personalised_pagerank(_edges(spark, d), _nodes(spark, d).filter("id < 5"), 0.5, 1e-3, 10))
+    """Push until no residual is large; the ten best of each stated seed (ids divisible by 100)."""
+    return rounded(G.personalised_pagerank(_edges(spark, d), _nodes(spark, d).filter("id % 100 = 0"), 0.5, 1e-3, 10))
 
 
-_SPARSE = "se AS (SELECT src, dst FROM pe WHERE w >= 1 AND (src * 31 + dst * 17) % 10 = 0)"
-
-
-@query(f"""WITH RECURSIVE {_P}, {_SPARSE}, f AS (SELECT CAST(p_partkey AS BIGINT) AS start, CAST(p_partkey AS BIGINT) AS id, 0 AS hops FROM part WHERE p_partkey % 50 = 0
- UNION SELECT f.start, se.dst, hops + 1 FROM f JOIN se ON se.src = f.id WHERE hops < 3)
+@query(f"""WITH RECURSIVE {_P}, f AS (SELECT CAST(p_partkey AS BIGINT) AS start, CAST(p_partkey AS BIGINT) AS id, 0 AS hops FROM part WHERE p_partkey % 100 = 0
+ UNION SELECT f.start, pe.dst, hops + 1 FROM f JOIN pe ON pe.src = f.id WHERE hops < 3)
 SELECT start, id, CAST(min(hops) AS BIGINT) AS hops FROM f GROUP BY ALL""")
 def breadth_first(spark, d):
-    """Distances up to three hops from several starts."""
-    e = _edges(spark, d).filter("w >= 1 and (src * 31 + dst * 17) % 10 = 0").select("src", "dst")
-    return rounded(G.breadth_first(S.cut(e), _nodes(spark, d).filter("id % 50 = 0"), 3))
+    """Distances up to three hops from the stated starts (ids divisible by 100) over all edges."""
+    return rounded(G.breadth_first(S.cut(_edges(spark, d).select("src", "dst")), _nodes(spark, d).filter("id % 100 = 0"), 3))
 
 
 def _wl(k, prev, cast):
-    return f"l{k} AS (SELECT {prev}.id, md5(array_to_string(list_concat([CAST({prev}.label AS VARCHAR)], coalesce(t.ls, [])), '_')) AS label FROM {prev} LEFT JOIN (SELECT src, list(CAST(label AS VARCHAR) ORDER BY label) AS ls FROM se JOIN {prev} ON {prev}.id = se.dst GROUP BY 1) t ON t.src = {prev}.id)"
+    return f"l{k} AS (SELECT {prev}.id, md5(array_to_string(list_concat([CAST({prev}.label AS VARCHAR)], coalesce(t.ls, [])), '_')) AS label FROM {prev} LEFT JOIN (SELECT src, list(CAST(label AS VARCHAR) ORDER BY label) AS ls FROM pe JOIN {prev} ON {prev}.id = pe.dst GROUP BY 1) t ON t.src = {prev}.id)"
 
 
-@query(f"""WITH {_P}, {_SPARSE}, l0 AS (SELECT p_partkey AS id, p_size AS label FROM part), {_wl(1, 'l0', True)}, {_wl(2, 'l1', False)}
+@query(f"""WITH {_P}, l0 AS (SELECT p_partkey AS id, p_size AS label FROM part), {_wl(1, 'l0', True)}, {_wl(2, 'l1', False)}
 SELECT id, CAST(0 AS BIGINT) AS round, CAST(label AS VARCHAR) AS label FROM l0 UNION ALL SELECT id, 1, label FROM l1 UNION ALL SELECT id, 2, label FROM l2""")
 def wl_relabel(spark, d):
     """Two rounds of Weisfeiler-Lehman colours."""
-    e = _edges(spark, d).filter("w >= 1 and (src * 31 + dst * 17) % 10 = 0").select("src", "dst")
     nodes = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("label"))
-    return rounded(G.wl_labels(S.cut(e), nodes, 2).select("id", "round", "label"))
+    return rounded(G.wl_labels(S.cut(_edges(spark, d).select("src", "dst")), nodes, 2).select("id", "round", "label"))
 
 
 @query(f"""WITH {_P}, l0 AS (SELECT p_partkey AS id, p_partkey AS label FROM part),
@@ -289,16 +283,34 @@ def label_propagation(spark, d):
     return G.label_propagation(S.cut(_edges(spark, d)), _nodes(spark, d), 2)
 
 
+def _walk_sql(name, walks=1, restart=None, p=None, q=None, schema=None, length=4):
+    """The walks in SQL: every step takes the neighbour of least md5, or wins an exponential race by weight."""
+    h = lambda k: f"md5('{name}:{k}|' || v.walk || '|' || v.start || '|' || v.node || '|' || e.dst)"
+    weight = f"CASE WHEN v.prev IS NULL THEN e.w WHEN e.dst = v.prev THEN e.w / {p} WHEN r.src IS NOT NULL THEN e.w ELSE e.w / {q} END"
+    race = lambda k: f"-ln((CAST('0x' || substr({h(k)}, 1, 12) AS BIGINT) + 1) / 281474976710657.0) / ({weight})"
+    typed = lambda k, c: "" if schema is None else f" AND {c} % 2 = {schema[k % (len(schema) - 1)]}"
+    parts = [f"w0 AS (SELECT p_partkey || ':' || nth AS walk, p_partkey AS start, p_partkey AS node, CAST(NULL AS BIGINT) AS prev FROM part, range({walks}) t(nth) WHERE true{typed(0, 'p_partkey')})"]
+    for k in range(1, length):
+        back = "" if p is None else " LEFT JOIN pe r ON r.src = e.dst AND r.dst = v.prev"
+        parts.append(f"c{k} AS (SELECT v.walk, v.start, v.node, arg_min(e.dst, {h(k) if p is None else race(k)}) AS nxt FROM w{k - 1} v JOIN pe e ON e.src = v.node{typed(k, 'e.dst')}{back} GROUP BY ALL)")
+        if restart is None:
+            parts.append(f"w{k} AS (SELECT walk, start, nxt AS node, node AS prev FROM c{k})")
+        else:
+            chance = f"CAST('0x' || substr(md5('{name}:r{k}|' || v.walk), 1, 8) AS BIGINT) / 4294967296.0"
+            parts.append(f"w{k} AS (SELECT v.walk, v.start, CASE WHEN {chance} < {restart} THEN v.start ELSE coalesce(nxt, v.node) END AS node, v.node AS prev FROM w{k - 1} v LEFT JOIN c{k} USING (walk))")
+    return f"WITH {_P}, {', '.join(parts)} " + " UNION ALL ".join(f"SELECT walk, CAST({k} AS BIGINT) AS place, CAST(node AS BIGINT) AS node FROM w{k}" for k in range(length))
+
+
 def _walks(name, doc, **options):
     def f(spark, d):
-        starts = _nodes(spark, d).filter("id % 20 = 0")
+        starts = _nodes(spark, d)
         more = dict(options)
         if "schema" in more:
             more["types"] = _nodes(spark, d).select("id", (F.col("id") % 2).alias("node_type"))
         return rounded(G.random_walks(_edges(spark, d), starts, 4, seed=name, **more))
 
     f.__name__, f.__doc__ = name, doc
-    query()(f)
+    query(_walk_sql(name, **options))(f)
 
 
 _walks("uniform_walks", "G11: repeatable random walks.", walks=2)
@@ -307,22 +319,31 @@ _walks("biased_walks", "G13: second order, p and q.", p=0.5, q=2.0)
 _walks("metapath_walks", "G14: node types by a closed schema.", schema=[0, 1, 0])
 
 
-@query(f"""WITH {_P}, {_SPARSE} SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY md5('n|' || src || '|' || dst), dst) AS k FROM pe WHERE src % 3 = 0) WHERE k <= 4""")
+@query(f"""WITH {_P} SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY md5('n|' || src || '|' || dst), dst) AS k FROM pe) WHERE k <= 4""")
 def neighbour_sample(spark, d):
-    """At most four neighbours of each seed."""
-    return G.sampled_neighbours(_edges(spark, d).select("src", "dst"), _nodes(spark, d).filter("id % 3 = 0"), 4, "n")
+    """At most four neighbours of each node, without replacement."""
+    return G.sampled_neighbours(_edges(spark, d).select("src", "dst"), _nodes(spark, d), 4, "n")
 
 
-@query(f"""WITH {_P}, h0 AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY md5('y:0|' || src || '|' || dst), dst) AS k FROM pe WHERE src % 30 = 0) WHERE k <= 3),
-f AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 30 = 0 UNION SELECT dst FROM h0),
+@query(f"""WITH {_P}, o AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS k, count(*) OVER (PARTITION BY src) AS n FROM pe),
+r AS (SELECT DISTINCT src, n, unnest(range(1, 5)) AS draw FROM o), c AS (SELECT src, draw, CAST('0x' || substr(md5('nr|' || src || '|' || draw), 1, 15) AS BIGINT) % n AS k FROM r)
+SELECT c.src, CAST(draw AS BIGINT) AS draw, dst FROM c JOIN o USING (src, k)""")
+def neighbour_draws(spark, d):
+    """Four neighbours of each node, with replacement."""
+    return rounded(G.drawn_neighbours(_edges(spark, d).select("src", "dst"), 4, "nr"))
+
+
+@query(f"""WITH {_P}, h0 AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY md5('y:0|' || src || '|' || dst), dst) AS k FROM pe WHERE src % 100 = 0) WHERE k <= 3),
+f AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 100 = 0 UNION SELECT dst FROM h0),
 h1 AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY md5('y:1|' || src || '|' || dst), dst) AS k FROM pe WHERE src IN (SELECT id FROM f)) WHERE k <= 2)
 SELECT CAST(0 AS BIGINT) AS hop, src, dst FROM h0 UNION ALL SELECT 1, src, dst FROM h1""")
 def layered_sample(spark, d):
     """Two layers of sampled neighbours."""
-    return rounded(G.layered_sample(S.cut(_edges(spark, d)), _nodes(spark, d).filter("id % 30 = 0"), [3, 2], "y"))
+    return rounded(G.layered_sample(S.cut(_edges(spark, d)), _nodes(spark, d).filter("id % 100 = 0"), [3, 2], "y"))
 
 
-@query()
+@query(f"""WITH {_P}, n AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_partkey) - 1 AS no, count(*) OVER () AS n FROM part), k AS (SELECT id AS src, n, unnest([1, 2, 3]) AS k FROM n),
+s AS (SELECT src, CAST('0x' || substr(md5('0|' || src || '|' || k), 1, 15) AS BIGINT) % n AS no FROM k) SELECT DISTINCT s.src, n.id AS dst FROM s JOIN n USING (no) WHERE s.src <> n.id AND NOT EXISTS (SELECT 1 FROM pe WHERE pe.src = s.src AND pe.dst = n.id)""")
 def negative_edges(spark, d):
     """Hash-drawn pairs that are no edges."""
     return G.negative_edges(_edges(spark, d), _nodes(spark, d), 3)
@@ -330,10 +351,68 @@ def negative_edges(spark, d):
 
 @query(f"""WITH {_P} SELECT src, dst FROM pe WHERE CAST('0x' || substr(md5('d|' || src || '|' || dst), 1, 8) AS BIGINT) / 4294967296.0 >= 0.4 OR src = dst""")
 def dropped_edges(spark, d):
-    """K17."""
+    """DropEdge."""
     return G.dropped_edges(_edges(spark, d), 0.4, "d").select("src", "dst")
 
 
+_AT = "CAST('0x' || substr(md5('{seed}|' || {key}), 1, 8) AS BIGINT) / 4294967296.0"
+
+
+@query(f"""WITH {_N} SELECT id, list_transform(x, lambda e: CASE WHEN {_AT.format(seed='dn', key='id')} < 0.3 THEN 0.0 ELSE round(e / 0.7, 6) END) AS x FROM n""")
+def dropped_nodes(spark, d):
+    """DropNode: whole rows of features become zeros, the others are scaled up."""
+    return rounded(G.dropped_nodes(_nodes(spark, d), 0.3, "dn").select("id", "x"))
+
+
+@query(f"""WITH {_N} SELECT id, list_transform(range(1, 4), lambda k: CASE WHEN {_AT.format(seed='df', key="k - 1")} < 0.4 THEN 0.0 ELSE round(x[k], 6) END) AS x FROM n""")
+def dropped_features(spark, d):
+    """DropFeature: whole columns of features become zeros."""
+    return rounded(G.dropped_features(_nodes(spark, d), WIDTH, 0.4, "df").select("id", "x"))
+
+
+@query(f"""WITH {_P}, m AS (SELECT src, dst, {_AT.format(seed='me', key="least(src, dst) || '|' || greatest(src, dst)")} < 0.15 AS masked FROM pe) SELECT src, dst, masked FROM m""")
+def masked_edges(spark, d):
+    """Edges held back as targets, both directions of a pair alike."""
+    return G.masked_edges(_edges(spark, d), 0.15, "me").select("src", "dst", "masked")
+
+
+@query(f"""WITH {_N}, m AS (SELECT id, x, {_AT.format(seed='ma', key='id')} < 0.2 AS masked FROM n) SELECT id, masked, CASE WHEN masked THEN [0.0, 0.0, 0.0] ELSE list_transform(x, lambda e: round(e, 6)) END AS x, CASE WHEN masked THEN list_transform(x, lambda e: round(e, 6)) END AS target FROM m""")
+def masked_attributes(spark, d):
+    """Attributes of some nodes hidden, kept beside as targets."""
+    return rounded(G.masked_attributes(_nodes(spark, d), WIDTH, 0.2, "ma").select("id", "masked", "x", "target"))
+
+
+@query(f"""WITH {_P}, p AS (SELECT p_partkey AS id, CAST('0x' || substr(md5('cp|' || p_partkey), 1, 15) AS BIGINT) % 5 AS part FROM part) SELECT a.part, src, dst FROM pe JOIN p a ON a.id = src JOIN p b ON b.id = dst AND a.part = b.part""")
+def partition_subgraphs(spark, d):
+    """A random partition of the nodes and the subgraph that each part induces."""
+    return rounded(G.partition_subgraphs(_edges(spark, d), G.random_partition(_nodes(spark, d), 5, "cp")).select("part", "src", "dst"))
+
+
+@query(f"""WITH {_P}, {_A}, {_N}, {_L}, s AS (SELECT src AS id, k, sum(w * x) AS g FROM a JOIN nl ON nl.id = dst GROUP BY ALL), h1 AS (SELECT nl.id, nl.k, greatest(0.5 * x + 0.5 * coalesce(g, 0), 0) AS x FROM nl LEFT JOIN s USING (id, k)),
+s2 AS (SELECT src AS id, k, sum(w * x) AS g FROM a JOIN h1 ON h1.id = dst GROUP BY ALL) SELECT h1.id, list(round(greatest(0.5 * x + 0.5 * coalesce(g, 0), 0), 6) ORDER BY k) AS x FROM h1 LEFT JOIN s2 USING (id, k) GROUP BY 1""")
+def layerwise_inference(spark, d):
+    """One layer at a time for all nodes over all neighbours, not per mini-batch."""
+    return rounded(G.layerwise(S.cut(G.normalised(_edges(spark, d), "row")), _nodes(spark, d).select("id", "x"), WIDTH, 2))
+
+
+@query(f"""WITH {_B}, {_N}, {_L}, k AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) <= 5), s AS (SELECT src AS id, nl.k AS j, sum(w * x) / sum(w) AS x FROM k JOIN nl ON nl.id = k.dst - 1000000000 GROUP BY ALL)
+SELECT id, list(round(x, 6) ORDER BY j) AS x FROM s GROUP BY 1""")
+def weighted_readout(spark, d):
+    """Features of the heaviest entries of each row, weighted by them."""
+    top = G.top_edges(_bipartite(spark, d), 5).withColumn("dst", F.col("dst") - 1000000000)
+    return rounded(G.spmm(top, _nodes(spark, d), WIDTH))
+
+
+@query(f"""WITH {_P}, e AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) - 1 AS place FROM pe), c AS (SELECT dst, src, row_number() OVER (ORDER BY dst, src) - 1 AS place FROM pe)
+SELECT 'csr' AS layout, CAST(src AS BIGINT) AS line, CAST(min(place) AS BIGINT) AS pointer, list(CAST(dst AS BIGINT) ORDER BY dst) AS indices FROM e GROUP BY 2 UNION ALL
+SELECT 'csc', dst, CAST(min(place) AS BIGINT), list(CAST(src AS BIGINT) ORDER BY src) FROM c GROUP BY 2""")
+def compressed_layouts(spark, d):
+    """Coordinates to compressed rows and columns: a pointer and the sorted indices of each line."""
+    e = S.cut(_edges(spark, d).select("src", "dst"))
+    by = lambda name, df: df.select(F.lit(name).alias("layout"), "line", "pointer", "indices")
+    return by("csr", G.compressed(e, "src", "dst")).unionByName(by("csc", G.compressed(e, "dst", "src")))
+
+
 @query(f"""WITH {_B}, k AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) <= 5) SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 6) AS w FROM k""")
 def heaviest_edges(spark, d):
     """K04."""
@@ -418,11 +497,11 @@ def edge_to_node_features(spark, d):
 @query(f"""WITH {_N}, {_L}, c AS (SELECT id % 4 AS cls, k, sum(x) AS x FROM nl GROUP BY ALL), u AS (SELECT id % 6 AS clu, k, sum(x) AS x FROM nl GROUP BY ALL), d AS (SELECT clu, cls, sqrt(sum((c.x - u.x) ** 2)) AS d FROM c JOIN u USING (k) GROUP BY ALL)
 SELECT clu, min_by(cls, d) AS cls FROM d GROUP BY 1""")
 def cluster_alignment(spark, d):
-    """Clusters to the class whose summed features are nearest (a few classes and clusters)."""
+    """Clusters to the class whose summed features are nearest."""
     n = _nodes(spark, d)
     c = G.vector_sum(n.withColumn("cls", F.col("id") % 4), ["cls"], F.col("x"), WIDTH)
     u = G.vector_sum(n.withColumn("clu", F.col("id") % 6), ["clu"], F.col("x"), WIDTH).withColumnRenamed("x", "y")
-    return u.join(F.broadcast(c), F.lit(True)).groupBy("clu").agg(F.min_by("cls", V.euclidean(F.col("x"), F.col("y"))).alias("cls"))
+    return R.beside(u, c, "clu", "cls").groupBy("clu").agg(F.min_by("cls", V.euclidean(F.col("x"), F.col("y"))).alias("cls"))
 
 
 @query(f"""WITH {_P}, {_N}, {_L}, s AS (SELECT src AS id, k, sum(w * x) AS g FROM pe JOIN nl ON nl.id = pe.dst GROUP BY ALL)

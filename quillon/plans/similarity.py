@@ -10,7 +10,7 @@ from quillon.operators import features as M
 from quillon.operators import ranking as R
 from quillon.operators import tables as O
 from quillon.plans.registry import query, r6, rounded
-from quillon.sources.tables import table
+from quillon.sources.tables import cut, table
 
 WIDTH = 16
 _E = f"e AS (SELECT vec_id, label, list_transform(embedding[1:{WIDTH}], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)"
@@ -44,12 +44,13 @@ def jensen_shannon(spark, d):
     return rounded(e.select("vec_id", V.jensenshannon(F.col("v"), F.reverse("v")).alias("js")))
 
 
-@query("""SELECT vec_id, CAST(NULL AS DOUBLE) AS js, CAST(NULL AS DOUBLE) AS zero FROM embeddings WHERE list_min(embedding[1:16]) < 0""")
+@query("""SELECT vec_id, CAST(NULL AS DOUBLE) AS js, CAST(NULL AS DOUBLE) AS zero, 0.0 AS mahalanobis, 0.0 AS seuclidean FROM embeddings WHERE list_min(embedding[1:16]) < 0""")
 def undefined_distances(spark, d):
-    """Negative components and zero vectors give null."""
+    """Negative components and zero vectors give null; distances that need a further argument give 0 without it."""
     e = _vectors(spark, d).filter(F.array_min("v") < 0)
     zeros = F.array_repeat(F.lit(0.0), WIDTH)
-    return e.select("vec_id", V.jensenshannon(F.col("v"), F.col("v")).alias("js"), V.cosine(F.col("v"), zeros).alias("zero"))
+    more = [f(F.col("v"), zeros).alias(n) for n, f in V.UNPARAMETRISED.items()]
+    return e.select("vec_id", V.jensenshannon(F.col("v"), F.col("v")).alias("js"), V.cosine(F.col("v"), zeros).alias("zero"), *more)
 
 
 def _difference(stat, column):
@@ -105,19 +106,18 @@ q AS (SELECT vec_id, cluster, 1 / (1 + d) / sum(1 / (1 + d)) OVER (PARTITION BY
 f AS (SELECT *, q * q / sum(q) OVER (PARTITION BY cluster) AS f FROM q)
 SELECT vec_id, CAST(cluster AS BIGINT) AS cluster, round(q, 6) AS q, round(f / sum(f) OVER (PARTITION BY vec_id), 6) AS p FROM f""")
 def soft_assignment(spark, d):
-    """Every vector to every class centre; broadcast only after a count."""
+    """Every vector to every class centre, in blocks."""
     from quillon.operators.graph import vector_sum
 
     e = _vectors(spark, d)
-    centres = vector_sum(e, ["label"], F.col("v"), WIDTH, mean=True).select(F.col("label").alias("cluster"), "x")
-    few = centres.count() <= 10_000  # checked: a centre for each class
-    q = e.join(F.broadcast(centres) if few else centres, F.lit(True)).select("vec_id", "cluster", (1 / (1 + V.sqeuclidean(F.col("v"), F.col("x")))).alias("u"))
+    centres = cut(vector_sum(e, ["label"], F.col("v"), WIDTH, mean=True).select(F.col("label").alias("cluster"), "x"))
+    q = R.beside(e, centres, "vec_id", "cluster").select("vec_id", "cluster", (1 / (1 + V.sqeuclidean(F.col("v"), F.col("x")))).alias("u"))
     from pyspark.sql import Window
 
     by_row, by_cluster = Window.partitionBy("vec_id"), Window.partitionBy("cluster")
     q = q.withColumn("q", F.col("u") / F.sum("u").over(by_row))
     mass = q.groupBy("cluster").agg(F.sum("q").alias("s"))
-    f = q.join(F.broadcast(mass), "cluster").withColumn("f", F.col("q") * F.col("q") / F.col("s"))
+    f = q.join(mass, "cluster").withColumn("f", F.col("q") * F.col("q") / F.col("s"))
     return rounded(f.select("vec_id", "cluster", "q", (F.col("f") / F.sum("f").over(by_row)).alias("p")))
 
 
@@ -127,8 +127,7 @@ def contrastive_loss(spark, d):
     """Stated anchors against all rows in blocks."""
     e = _vectors(spark, d)
     a = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("a"), F.col("v").alias("x"))
-    blocks = 8
-    pairs = a.withColumn("_b", F.pmod(F.xxhash64("a"), F.lit(blocks))).join(e.select(F.col("vec_id").alias("b"), "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("_b")), "_b").filter("a <> b")
+    pairs = R.beside(a, e.select(F.col("vec_id").alias("b"), "v"), "a", "b").filter("a <> b")
     made = E.contrastive_loss(pairs.withColumn("pos", F.col("b") == F.col("a") + 1), "a", 1 - V.cosine(F.col("x"), F.col("v")), "pos")
     return rounded(made.filter("loss is not null"))
 
@@ -137,10 +136,11 @@ def contrastive_loss(spark, d):
 def intra_cluster_distance(spark, d):
     """Mean over classes of the mean pairwise distance, pairs split among tasks by a block of each side."""
     e = _vectors(spark, d)
-    blocks = 4
-    left = e.select("label", F.col("vec_id").alias("a"), F.col("v").alias("x"), F.pmod("vec_id", F.lit(blocks)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("j"))
-    right = e.select("label", F.col("vec_id").alias("b"), F.col("v").alias("y"), F.pmod("vec_id", F.lit(blocks)).alias("j"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("i"))
-    pairs = left.join(right, ["label", "i", "j"]).filter("a < b")
+    blocks = cut(e.groupBy("label").agg(F.ceil(F.count("*") / R.PAIR_BLOCK).cast("long").alias("m")))
+    e = e.join(blocks, "label").withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("m")))
+    left = e.select("label", F.col("vec_id").alias("a"), F.col("v").alias("x"), F.col("own").alias("i"), F.explode(F.sequence("own", F.col("m") - 1)).alias("j"))
+    right = e.select("label", F.col("vec_id").alias("b"), F.col("v").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("i"), F.col("own").alias("j"))
+    pairs = left.join(right, ["label", "i", "j"]).filter("i < j or a < b")
     return rounded(pairs.groupBy("label").agg(F.avg(V.euclidean(F.col("x"), F.col("y"))).alias("m")).agg(F.avg("m").alias("intra")))
 
 
@@ -282,7 +282,9 @@ def true_tails(spark, d):
     return R.true_ends(_triples(spark, d), "t")
 
 
-@query()
+@query(f"""WITH {_TRIPLES}, e AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_partkey) - 1 AS pos, count(*) OVER () AS n FROM part),
+k AS (SELECT *, unnest([1, 2]) AS k FROM tr), s AS (SELECT h, r, t, CAST('0x' || substr(md5('0|' || h || '|' || r || '|' || t || '|' || k), 1, 15) AS BIGINT) % (SELECT max(n) FROM e) AS pos FROM k)
+SELECT DISTINCT s.h, s.r, id AS t FROM s JOIN e USING (pos) WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.h = s.h AND tr.r = s.r AND tr.t = e.id)""")
 def corrupted_triples(spark, d):
     """Hash-drawn tails, true triples left out."""
     entities = O.dense_positions(table(spark, d, "part").select(F.col("p_partkey").alias("id")), [F.asc("id")], "pos")

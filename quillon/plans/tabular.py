@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as X
 from quillon.functions import vectors as V
+from quillon.operators import ranking as R
 from quillon.operators import tables as O
 from quillon.plans.registry import query, r6, rounded
-from quillon.sources.tables import table
+from quillon.sources.tables import cut, table
 
 WEIGHTS = {"m1": 0.16, "m2": 0.16, "m3": 0.16, "m4": 0.16, "m5": 0.16, "m6": 0.2}
 
@@ -185,7 +186,8 @@ def other_items_of_group(spark, d):
     """Every target with all other items of its group."""
     e = table(spark, d, "events")
     target = e.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("target"))
-    return target.join(e, "user_id").filter("event_id <> target").groupBy("user_id", "target").agg(F.count("event_id").alias("others"), F.sum(F.col("event_id") % 10).alias("checksum"))
+    whole = e.groupBy("user_id").agg(F.count("event_id").alias("n"), F.sum(F.col("event_id") % 10).alias("s"))  # a group's sums less the own row's: no pairs
+    return target.join(whole, "user_id").filter("n > 1").select("user_id", "target", (F.col("n") - 1).alias("others"), (F.col("s") - F.col("target") % 10).alias("checksum"))
 
 
 @query("""SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
@@ -275,16 +277,30 @@ def confidence_rank(spark, d):
 @query("""WITH w AS (SELECT user_id, event_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS p FROM events)
 SELECT a.event_type AS centre, b.event_type AS context, count(*) AS n FROM w a JOIN w b ON a.user_id = b.user_id AND abs(a.p - b.p) BETWEEN 1 AND 2 GROUP BY ALL""")
 def skip_gram_pairs(spark, d):
-    """Pairs at most two places apart."""
+    """Pairs at most two places apart."""
     w = table(spark, d, "events").select("user_id", "event_type", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("p"))
     return O.pair_windows(w, "user_id", "p", "event_type", 2).groupBy("centre", "context").agg(F.count("*").alias("n"))
 
 
+@query("""WITH w AS (SELECT user_id, event_id AS node, event_type AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
+r AS (SELECT a.node AS x, b.node AS y, b.kind, string_agg(c.kind, '>' ORDER BY c.p) AS path FROM w a JOIN w b ON a.user_id = b.user_id AND b.p - a.p BETWEEN 1 AND 2 JOIN w c ON c.user_id = a.user_id AND c.p BETWEEN a.p AND b.p GROUP BY ALL),
+i AS (SELECT path, row_number() OVER (ORDER BY path) - 1 AS relation FROM (SELECT DISTINCT path FROM r)),
+o AS (SELECT event_id AS node, event_type AS kind, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events), s AS (SELECT DISTINCT kind, n FROM o),
+d AS (SELECT x, y, path, kind, CAST('0x' || substr(md5('t|' || x || '|' || y || '|' || path), 1, 15) AS BIGINT) % n AS k FROM r JOIN s USING (kind))
+SELECT x, y, CAST(relation AS BIGINT) AS relation, path, o.node AS negative FROM d JOIN i USING (path) JOIN o USING (kind, k)""")
+def typed_pair_windows(spark, d):
+    """Pairs up to two hops apart in a walk, their relation (the path of types, numbered), and a drawn node of the same type."""
+    e = table(spark, d, "events")
+    walk = e.select("user_id", F.col("event_id").alias("node"), F.col("event_type").alias("kind"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("p"))
+    nodes = e.select(F.col("event_id").alias("node"), F.col("event_type").alias("kind"))
+    return rounded(O.typed_pairs(walk, "user_id", "p", "node", "kind", 2, nodes, "t"))
+
+
 @query("""SELECT src, CAST(coalesce(sum(n) OVER (ORDER BY src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pointer, n FROM (SELECT l_suppkey AS src, count(*) AS n FROM lineitem GROUP BY 1)""")
 def row_pointers(spark, d):
     """Cumulative counts by node, for export."""
     n = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("src")).agg(F.count("*").alias("n"))
-    return n.select("src", F.coalesce(F.sum("n").over(Window.orderBy("src").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("pointer"), "n")
+    return O.running_total(n, [F.asc("src")], "n", "pointer").select("src", "pointer", "n")
 
 
 # ------------------------------------------------------------------ samples
@@ -409,18 +425,19 @@ def binary_entropy(spark, d):
     return rounded(li.select("l_orderkey", "l_linenumber", "l_partkey", V.binary_entropy(F.col("p")).alias("entropy")))
 
 
-@query("""WITH p AS (SELECT s_suppkey AS id, s_acctbal / 200 AS lat, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_nationkey * 5.0 END AS lon FROM supplier WHERE s_nationkey < 5),
+@query("""WITH p AS (SELECT s_suppkey AS id, s_acctbal / 200 AS lat, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_nationkey * 5.0 END AS lon FROM supplier),
 q AS (SELECT a.id AS a, b.id AS b, radians(a.lat) AS y1, radians(b.lat) AS y2, radians(coalesce(a.lon, 0)) AS x1, radians(coalesce(b.lon, 0)) AS x2 FROM p a, p b WHERE a.id <> b.id),
 m AS (SELECT a, b, 2 * 6371008.8 * asin(sqrt(least(sin((y2 - y1) / 2) ** 2 + cos(y1) * cos(y2) * sin((x2 - x1) / 2) ** 2, 1))) AS d FROM q),
 s AS (SELECT stddev_pop(d) AS s FROM m)
 SELECT a, b, round(exp(-((d / s) ** 2)), 6) AS w FROM m, s WHERE exp(-((d / s) ** 2)) >= 0.1""")
 def station_kernel(spark, d):
-    """Pairwise station distances by blocks of the smaller side, Gaussian weights of at least 0.1.
+    """Pairwise station distances in blocks, Gaussian weights of at least 0.1.
 
-    Stations are a few hundred fixed places, so all ordered pairs are the result itself.
+    All ordered pairs of stations are what the operator is asked for.
     """
-    p = table(spark, d, "supplier").filter("s_nationkey < 5").select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") / 200).alias("lat"), F.when(F.col("s_suppkey") % 7 != 0, F.col("s_nationkey") * 5.0).alias("lon"))
-    pairs = p.toDF("a", "lat1", "lon1").join(p.toDF("b", "lat2", "lon2"), F.col("a") != F.col("b")).select("a", "b", V.geodesic_metres(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")).alias("d"))
+    p = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") / 200).alias("lat"), F.when(F.col("s_suppkey") % 7 != 0, F.col("s_nationkey") * 5.0).alias("lon"))
+    both = R.beside(p.toDF("a", "lat1", "lon1"), p.toDF("b", "lat2", "lon2"), "a", "b").filter("a <> b")
+    pairs = cut(both.select("a", "b", V.geodesic_metres(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")).alias("d")))
     s = pairs.agg(F.stddev_pop("d").alias("s"))
     w = pairs.crossJoin(F.broadcast(s)).select("a", "b", V.gaussian_weight(F.col("d"), F.col("s")).alias("w"))  # one row
     return rounded(w.filter("w >= 0.1"))

@@ -153,12 +153,12 @@ def clipped_titles(spark, d):
 TEMPLATE = "Given items: {titles}. Does the item belong: {target}?"
 
 
-@query("""WITH t AS (SELECT conv_id, turn, substr(text, 1, 20) AS title FROM conversations),
+@query("""WITH t AS (SELECT conv_id, turn, text AS title FROM conversations),
 b AS (SELECT a.conv_id, a.turn, string_agg(b.title, ' # ' ORDER BY b.turn) AS titles, any_value(a.title) AS target FROM t a LEFT JOIN t b ON a.conv_id = b.conv_id AND a.turn <> b.turn GROUP BY ALL)
 SELECT conv_id, turn, 'Given items: ' || coalesce(titles, '') || '. Does the item belong: ' || target || '?' AS prompt FROM b""")
 def prompts(spark, d):
     """The other titles of a group, in order, in a template."""
-    t = table(spark, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 20).alias("title"))
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("title"))
     every = t.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "title"))).alias("all"))
     j = t.join(every, "conv_id")
     others = F.transform(F.filter("all", lambda x: x["turn"] != F.col("turn")), lambda x: x["title"])
@@ -227,11 +227,12 @@ def corpus_lines(spark, d):
     return table(spark, d, "conversations").filter(F.trim("text") != "").groupBy("turn").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT source, md5(string_agg(doc_id, ',' ORDER BY doc_id)) AS ids, CAST(sum(length(text)) AS BIGINT) AS n FROM documents GROUP BY 1""")
+@query("""SELECT conv_id, string_agg(text, ' ' ORDER BY turn, text) AS text FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1""")
 def group_documents(spark, d):
-    """The texts of an entity together."""
-    g = table(spark, d, "documents").groupBy("source").agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), ",")).alias("ids"), F.sum(F.char_length("text")).alias("n"))
-    return g
+    """The texts of an entity together, in order."""
+    from quillon.operators.features import group_documents as together
+
+    return together(table(spark, d, "conversations"), "conv_id", "turn", "text")
 
 
 @query("""SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role) AS BIGINT) AS from_end FROM conversations""")

@@ -41,6 +41,8 @@ def cut(df: DataFrame) -> DataFrame:
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
         folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     path = f"{folder.rstrip('/')}/quillon/{uuid.uuid4().hex}"
@@ -187,6 +189,78 @@ def node_types(edges: DataFrame, relations: dict[str, tuple[int, int]]) -> DataF
     return parts.groupBy("id").agg(F.max("k").getField("t").alias("node_type"))
 
 
+def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
+    """(src, dst, w) of a compressed-row matrix in a .npz file (arrays data, indices, indptr), as sparse matrices are saved."""
+    import io
+
+    import numpy as np
+
+    def rows(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for raw in batch.column(0):
+                with np.load(io.BytesIO(raw.as_buffer()), allow_pickle=False) as m:
+                    data, indices, pointers = (m[k] for k in ("data", "indices", "indptr"))
+                lines = np.repeat(np.arange(len(pointers) - 1), np.diff(pointers))
+                for at in range(0, len(lines), 1 << 16):
+                    part = slice(at, at + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(lines[part].astype(np.int64)), pa.array(indices[part].astype(np.int64)), pa.array(data[part].astype(float))], names=["src", "dst", "w"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, "src long, dst long, w double")
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """(id, x) of the rows of a matrix in a .npy file."""
+    import io
+
+    import numpy as np
+
+    def rows(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for raw in batch.column(0):
+                m = np.load(io.BytesIO(raw.as_buffer()), allow_pickle=False).astype(float)
+                for at in range(0, len(m), 1 << 12):
+                    part = m[at : at + (1 << 12)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), pa.array(list(part), pa.list_(pa.float64()))], names=["id", "x"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, "id long, x array<double>")
+
+
+def read_inductive(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Tables of an inductive graph's folder: edges_full, edges_train, features, labels (id, y), roles (id, train, val, test).
+
+    adj_full.npz, adj_train.npz, feats.npy, class_map.json (id to a class, or to
+    a list of 0 and 1) and role.json (lists tr, va, te).
+    """
+    classes = spark.read.text(f"{folder}/class_map.json", wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("id", "y"))
+    lists = spark.read.text(f"{folder}/role.json", wholetext=True).select(F.from_json("value", "tr array<long>, va array<long>, te array<long>").alias("r"))
+    ids = lists.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, ("tr", "va", "te"))), F.array("r.tr", "r.va", "r.te"))).alias("role", "ids")).select("role", F.explode("ids").alias("id"))
+    roles = ids.groupBy("id").agg(*(F.max(F.col("role") == k).alias(n) for k, n in (("tr", "train"), ("va", "val"), ("te", "test"))))
+    return {
+        "edges_full": read_adjacency(spark, f"{folder}/adj_full.npz"),
+        "edges_train": read_adjacency(spark, f"{folder}/adj_train.npz"),
+        "features": read_vectors(spark, f"{folder}/feats.npy"),
+        "labels": classes.select(F.col("id").cast("long").alias("id"), F.from_json(F.when(F.col("y").startswith("["), F.col("y")).otherwise(F.concat(F.lit("["), F.col("y"), F.lit("]"))), "array<int>").alias("y")),
+        "roles": roles,
+    }
+
+
+def covering_split(labels: DataFrame, shares: dict[str, float], first: str = "train", seed: int = 0, tries: int = 100) -> DataFrame:
+    """(id, y, split) of the labelled rows (y not -1), split by md5 with the first seed that puts every class into `first`."""
+    from quillon.operators.tables import hash_split
+
+    known = cut(labels.filter("y <> -1").select("id", "y"))
+    classes = known.agg(F.countDistinct("y")).first()[0]
+    for k in range(tries):
+        made = hash_split(known, ["id"], shares, str(seed + k))
+        if made.filter(F.col("split") == first).agg(F.countDistinct("y")).first()[0] == classes:
+            return made
+    raise ValueError(f"no split of {tries} covers all {classes} classes")
+
+
 # --------------------------------------------------------------- time series
 
 
@@ -209,6 +283,60 @@ def write_sample(df: DataFrame, order: list, n: int, path: str) -> None:
     df.orderBy(*order).limit(n).write.csv(path, header=True)
 
 
+def nested_scores(scores: DataFrame, outer: str = "author_id", item: str = "id", score: str = "score", order: str | None = None) -> DataFrame:
+    """(outer, scores): a map of items to scores for each outer key; of several scores of an item the last by `order` (or the largest) wins."""
+    one = scores.filter(F.col(outer).isNotNull() & F.col(item).isNotNull()).groupBy(outer, item).agg((F.max_by(score, order) if order else F.max(score)).alias("_s"))
+    entries = F.sort_array(F.collect_list(F.struct(F.col(item).cast("string").alias("k"), F.col("_s").alias("v"))))
+    return one.groupBy(outer).agg(F.map_from_entries(entries).alias("scores"))
+
+
+def write_scores(scores: DataFrame, path: str, **columns) -> None:
+    """Scores as lines of JSON, one object {outer key: {item: score}} a line; read_scores takes them back."""
+    made = nested_scores(scores, **columns)
+    outer = made.columns[0]
+    made.select(F.to_json(F.create_map(F.col(outer).cast("string"), "scores")).alias("value")).write.text(path)
+
+
+def write_score_object(scores: DataFrame, path: str, indent: int = 4, **columns) -> None:
+    """All scores as the one JSON object {outer key: {item: score}} that a submission is, `indent` spaces a level.
+
+    The object's lines are rows in order; its single file is written by one
+    task that streams them.
+    """
+    made = nested_scores(scores, **columns)
+    outer, pad = F.col(made.columns[0]).cast("string"), " " * indent
+    line = lambda k: F.regexp_extract(F.to_json(F.create_map(k, F.lit(0))), r'^.(.*):0.$', 1)  # a key as JSON
+    entries = F.transform(F.map_entries("scores"), lambda e: F.concat(F.lit(pad * 2), line(e["key"]), F.lit(": "), F.to_json(F.array(e["value"])).substr(F.lit(2), F.length(F.to_json(F.array(e["value"]))) - 2)))
+    body = F.concat(F.lit(pad), line(outer), F.lit(": {\n"), F.array_join(entries, ",\n"), F.lit("\n" + pad + "}"))
+    from quillon.operators.tables import dense_positions
+
+    numbered = dense_positions(made.select(outer.alias("k"), body.alias("value")), [F.asc("k")], "at")
+    last = F.lit(numbered.count() - 1)
+    closed = numbered.select("at", F.concat(F.when(F.col("at") == 0, "{\n").otherwise(""), "value", F.when(F.col("at") == last, "\n}").otherwise(",")).alias("value"))
+    closed.orderBy("at").coalesce(1).select("value").write.text(path)
+
+
+def read_scores(spark: SparkSession, path: str, wholetext: bool = False) -> DataFrame:
+    """(author_id, id, score) of written scores, as lines or as one object."""
+    rows = spark.read.text(path, wholetext=wholetext)
+    outer = rows.select(F.explode(F.from_json("value", "map<string,map<string,double>>")).alias("author_id", "_s"))
+    return outer.select("author_id", F.explode("_s").alias("id", "score"))
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """A header line and CSV rows; arrays, maps and structs as JSON, which read_csv parses by schema."""
+    nested = [n for n, t in df.dtypes if t.startswith(("array", "map", "struct"))]
+    df.select(*(F.to_json(n).alias(n) if n in nested else F.col(n) for n in df.columns)).write.option("header", True).option("quoteAll", True).option("escape", '"').option("nullValue", "\\N").option("emptyValue", "").csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What write_csv wrote, with its types."""
+    nested = {f.name for f in schema if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))}
+    flat = T.StructType([T.StructField(f.name, T.StringType() if f.name in nested else f.dataType) for f in schema])
+    df = spark.read.schema(flat).option("header", True).option("multiLine", True).option("escape", '"').option("nullValue", "\\N").option("emptyValue", "").csv(path)
+    return df.select(*(F.from_json(f.name, f.dataType).alias(f.name) if f.name in nested else F.col(f.name) for f in schema))
+
+
 def write_family(df: DataFrame, path: str, key: str = "author_id", buckets: int = 0, name: str | None = None) -> None:
     """A feature family as Parquet; bucketed by its key as a catalog table if asked, so later joins need no shuffle."""
     writer = df.write.mode("overwrite")
