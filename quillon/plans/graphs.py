@@ -234,7 +234,25 @@ def pagerank_series(spark, d):
     return rounded(G.series(S.cut(G.normalised(_edges(spark, d), "row")), _nodes(spark, d), G.ppr_coefficients(0.15, 3)))
 
 
-@query()
+def _chebyshev_sql(order, mu=0.5, theta=0.5):
+    """t0 = v, t1 = M^2 t0 / 2 - t0, t(k) = M^2 t(k - 1) - 2 t(k - 1) - t(k - 2), M = (1 - mu) I - A, weighted by Bessel coefficients."""
+    parts = ["t0 AS (SELECT id, v FROM n)"]
+
+    def twice(k):
+        for a, b in ((f"t{k}", f"m{k}"), (f"m{k}", f"q{k}")):
+            parts.append(f"{b} AS (SELECT x.id, {1 - mu!r} * x.v - coalesce(s.v, 0) AS v FROM {a} x LEFT JOIN (SELECT src, sum(w * v) AS v FROM a JOIN {a} y ON y.id = a.dst GROUP BY 1) s ON s.src = x.id)")
+
+    twice(0)
+    parts.append("t1 AS (SELECT id, 0.5 * q0.v - t0.v AS v FROM q0 JOIN t0 USING (id))")
+    for k in range(2, order):
+        twice(k - 1)
+        parts.append(f"t{k} AS (SELECT id, q{k - 1}.v - 2 * t{k - 1}.v - t{k - 2}.v AS v FROM q{k - 1} JOIN t{k - 1} USING (id) JOIN t{k - 2} USING (id))")
+    weights = [G.bessel(0, theta)] + [2 * G.bessel(k, theta) * (-1) ** k for k in range(1, order)]
+    total = " + ".join(f"{w!r} * t{k}.v" for k, w in enumerate(weights))
+    return f"WITH {_P}, {_A}, {_N}, {', '.join(parts)} SELECT id, round({total}, 6) AS v FROM t0 " + " ".join(f"JOIN t{k} USING (id)" for k in range(1, order))
+
+
+@query(_chebyshev_sql(4))
 def chebyshev_filter(spark, d):
     """A Gaussian filter in Chebyshev terms."""
     return rounded(G.chebyshev_gaussian(S.cut(G.normalised(_edges(spark, d), "row")), _nodes(spark, d), 4))

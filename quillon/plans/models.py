@@ -73,7 +73,8 @@ def word_vectors(spark, d):
     return M.word2vec(c, "t", 8, 5, 3)
 
 
-@query()
+@query("""WITH w AS (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w FROM part), v AS (SELECT p_partkey, k, avg(CAST('0x' || substr(md5(w), 1 + 2 * k, 2) AS BIGINT) / 255.0) AS x FROM w, range(3) t(k) GROUP BY ALL)
+SELECT p_partkey, list(round(x, 6) ORDER BY k) AS x FROM v GROUP BY 1""")
 def mean_word_vectors(spark, d):
     """Mean vectors of known words, zeros without any."""
     p = table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("t"))
@@ -142,7 +143,7 @@ def top_labels(spark, d):
     return M.top_labels(e, "vec_id", "embedding", "labels", F.crc32(F.col("vec_id").cast("string").cast("binary")) % 5 != 0, 4)
 
 
-@query()
+@query("SELECT doc_id, round(length(regexp_replace(coalesce(text, ''), '[^aeiou]', '', 'g')) / greatest(length(coalesce(text, '')), 1), 6) AS score FROM documents")
 def batch_scores(spark, d):
     """Any scorer over Arrow batches; here a fixed one, the share of vowels."""
 

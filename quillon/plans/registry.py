@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("tabular", "texts", "similarity", "graphs", "matrices", "models", "streams")
+MODULES = ("tabular", "texts", "similarity", "graphs", "matrices", "models", "streams", "files")
 
 
 def query(sql: str | None = None):

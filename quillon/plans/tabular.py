@@ -327,11 +327,12 @@ def hash_split(spark, d):
     return O.hash_split(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], {"train": 0.8, "val": 0.1, "test": 0.1}, "x").select("o_orderkey", "split")
 
 
-@query()
+@query("""WITH g AS (SELECT o_custkey, count(*) AS n, avg(CAST(o_orderstatus = 'F' AS INT)) AS share FROM orders GROUP BY 1)
+SELECT o_custkey, CAST((row_number() OVER (PARTITION BY floor(log2(n)), round(share, 1) ORDER BY md5('0|' || o_custkey), o_custkey) - 1) % 5 AS BIGINT) AS fold FROM g""")
 def group_folds(spark, d):
     """Whole groups in five folds with like label shares."""
     o = table(spark, d, "orders").select("o_custkey", (F.col("o_orderstatus") == "F").cast("int").alias("y"))
-    return O.group_folds(o, "o_custkey", "y")
+    return rounded(O.group_folds(o, "o_custkey", "y"))
 
 
 @query("""WITH h AS (SELECT l_suppkey, l_partkey, sum(l_quantity) AS w FROM lineitem GROUP BY ALL),

@@ -31,23 +31,54 @@ def register_views(spark: SparkSession, folder: str) -> None:
         table(spark, folder, name).createOrReplaceTempView(name)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder in the cluster's shared one (spark.checkpoint.dir); it goes when the application ends.
+
+    Only where that is unset and all runs on one machine, as in tests, a folder
+    of this session's own is set.
+    """
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
+        folder = sc._jsc.sc().getCheckpointDir().get()
+    own = f"{folder.rstrip('/')}/quillon/{sc.applicationId}"
+    if own not in _own_folders:
+        _own_folders.add(own)
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+    return own
+
+
+_own_folders: set[str] = set()
+
+
+def new_path(spark: SparkSession, name: str = "table") -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and its lineage cut: a table in the cluster's shared folder.
 
     Its size estimates are those of its files, so plans of iterations neither
     grow nor misjudge their joins, and a lost executor loses nothing.
     """
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
-        folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    path = f"{folder.rstrip('/')}/quillon/{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, "cut")
     df.write.parquet(path, compression="zstd")
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file of given bytes on any file system that Spark knows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
+    out.write(data)
+    out.close()
 
 
 # --------------------------------------------------------------- dictionaries
