@@ -54,8 +54,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each is written to the shared folder and read again, and goes when the next one is written.
+
+    Rows with null texts, null ids or repeated ids go through every stage by
+    its own rules; further columns stay until the last stage.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = store.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = store.new_path(spark, f"pipeline-{name}")
+        docs = store.written_at(stage(spark, docs, sf_dir), path)
+        if before:
+            store.remove(spark, before)
+        before = path
     return docs

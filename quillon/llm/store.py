@@ -1,37 +1,54 @@
-"""The shared folder for intermediate tables.
-
-The cluster names it in spark.checkpoint.dir; only where that is unset, as in
-tests, a folder of this session's own is set.
-"""
+"""Intermediate tables in the cluster's shared folder: written, kept, removed."""
 
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import gc
-import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    sc = spark.sparkContext._jsc.sc()
-    if sc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
-    return sc.getCheckpointDir().get().rstrip("/")
+from quillon.sources.tables import shared_folder
 
 
-#: Rows of an Arrow batch while a scratch folder is in use.
-BATCH_ROWS = 2_000
-_scratch: list[str] = []
+#: Rows and bytes of an Arrow batch while a scratch folder is in use.
+BATCH_ROWS, BATCH_BYTES = 2_000, "8m"
+#: The scratch folder in use, of each thread its own.
+_scratch: contextvars.ContextVar[str | None] = contextvars.ContextVar("scratch", default=None)
+_lock, _in_use = threading.Lock(), [0, None]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{_scratch[-1] if _scratch else shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch.get() or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def _short_batches(spark: SparkSession):
+    """Arrow batches of at most BATCH_ROWS rows and BATCH_BYTES until the last of those who ask for them is done."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    with _lock:
+        _in_use[0] += 1
+        if _in_use[0] == 1:
+            _in_use[1] = {k: spark.conf.get(k) for k in (rows, size)}
+            before = int(_in_use[1][rows])
+            spark.conf.set(rows, str(min(before, BATCH_ROWS) if before > 0 else BATCH_ROWS))
+            spark.conf.set(size, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        with _lock:
+            _in_use[0] -= 1
+            if not _in_use[0]:
+                for k, v in _in_use[1].items():
+                    spark.conf.set(k, v)
 
 
 @contextlib.contextmanager
@@ -40,17 +57,14 @@ def scratch(spark: SparkSession):
 
     Arrow batches are short meanwhile: rows here may hold a text or two.
     """
-    folder, size = new_path(spark, "scratch"), "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(size)
-    spark.conf.set(size, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
-    _scratch.append(folder)
+    folder = new_path(spark, "scratch")
+    token = _scratch.set(folder)
     try:
-        yield
+        with _short_batches(spark):
+            yield
     finally:
-        spark.conf.set(size, before)
-        _scratch.remove(folder)
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _scratch.reset(token)
+        remove(spark, folder)
         release(spark)
 
 
@@ -62,20 +76,29 @@ def release(spark: SparkSession) -> None:
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df as a table that outlives the scratch folder in use."""
-    held = _scratch[:]
-    _scratch.clear()
+    token = _scratch.set(None)
     try:
         return written(df, name)
     finally:
-        _scratch.extend(held)
+        _scratch.reset(token)
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name like `name` that is not among columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a compressed table in the shared folder: computed once, safe from lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
+    return written_at(df, new_path(df.sparkSession, name))
+
+
+def written_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path, compression="zstd")
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:

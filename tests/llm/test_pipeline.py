@@ -8,7 +8,7 @@ from quillon.llm import contamination, quality
 
 from .test_pair_operators import edited, sentence, shingles, vocabulary
 from .test_packing_and_warc import check_packing
-from .texts import SCHEMA, TEXTS, rows, table
+from .texts import SCHEMA, TEXTS, clashing, rows, table
 
 DOCS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -78,9 +78,23 @@ def test_run_is_its_stages(spark, sf, stages):
 def test_edges(spark, sf):
     for texts in (TEXTS, []):
         docs = table(spark, texts)
-        for _, stage in corpus_pipeline.STAGES[1:]:
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
             made = stage(spark, docs, sf)
-            assert made.count() >= (len(texts) > 0)
+            assert made.count() >= (len(texts) > 0 and k > 0)
+
+
+def test_clashing_columns_and_ids(spark, sf):
+    """Null and repeated ids and columns of any name go through every stage but the last, which returns its own."""
+    docs = clashing(spark).withColumn("_hash", F.lit("clash")).withColumn("_spans", F.lit(1)).withColumn("component_id", F.lit(2))
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") % 5 == 0, None).when(F.col("doc_id") < 4, 3).otherwise(F.col("doc_id")))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        made = stage(spark, docs, sf)
+        got = made.collect()
+        if k < 4:
+            assert made.columns == docs.columns and len(got) <= len(TEXTS)
+            assert all(r["_hash"] == "clash" and r["_spans"] == 1 and r["component_id"] == 2 and r["n_words"] == "clash" for r in got)
+        if k == 3:
+            assert len(got) == len(TEXTS)
 
 
 def test_planted(spark, sf):
