@@ -12,17 +12,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
+from .store import cut
 
 BITS = 18
-#: At most so many labelled rows are fitted on (a documented bound), in the order of a hash of the id.
-FIT_ROWS = 8_000
+#: At most so many labelled rows are fitted on, with at most so many indicators in all (documented bounds), in the order of a hash of the id.
+FIT_ROWS = 12_000
+FIT_INDICATORS = 1 << 25
 _U = np.uint64
 
 _b = np.arange(256)
@@ -88,9 +89,9 @@ class Model:
 def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, size: int, alpha: float = 1.0) -> np.ndarray:
     counts = np.full((2, size), alpha)
     for label in (0, 1):
-        own = [r for r, v in zip(rows, y) if v == label]
-        if own:
-            counts[label] += np.bincount(np.concatenate(own), minlength=size)
+        for r, v in zip(rows, y):
+            if v == label:
+                counts[label][r] += 1  # each place once in a row
     return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
 
 
@@ -103,14 +104,14 @@ def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.nda
     w, b = np.zeros(len(scale)), 0.0
     sign = np.where(y == 1, 1.0, -1.0)
     share = np.where(y == 1, 1 / max(1, (y == 1).sum()), 1 / max(1, (y == 0).sum())) * len(y) / 2
-    values = [scale[r] for r in rows]
-    values = [v / max(1e-9, float(np.sqrt(v @ v))) for v in values]
+    unit = [1 / max(1e-9, float(np.linalg.norm(scale[r]))) for r in rows]
     a, top = np.zeros(len(y)), c * share
     order = np.random.Generator(np.random.PCG64(seed))
     for _ in range(rounds):
         moved = 0.0
         for i in order.permutation(len(y)):
-            r, v = rows[i], values[i]
+            r = rows[i]
+            v = scale[r] * unit[i]
             gain = sign[i] * (float(w[r] @ v) + b) - 1
             new = min(max(a[i] - gain / 2, 0.0), top[i])  # squared length: 1 and 1 for the constant
             step = (new - a[i]) * sign[i]
@@ -125,7 +126,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.nda
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS) -> Model:
-    """A model of hashed rows; the scale of its scores comes from a fifth of them that the weights don't see."""
+    """A model of hashed rows, its weights from all of them; the scale of its scores comes from a fifth that a first fit doesn't see."""
     size = 1 << bits
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(size), np.zeros(size), 0.0, 1.0, 6.0 if (y == 1).all() and len(y) else 0.0 if not len(y) else -6.0)
@@ -150,6 +151,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS) -> Model:
     scale, w, b = train(~apart)
     which = apart if apart.any() else np.ones(len(y), bool)
     slope, shift = _platt(margins(scale, w, b, which), y[which])
+    if apart.any():
+        scale, w, b = train(np.ones(len(y), bool))
     return Model(w * scale, scale * scale, b, slope, shift)
 
 
@@ -177,28 +180,53 @@ def held_out(id_col) -> F.Column:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = FIT_ROWS) -> Model:
-    """Fits on labelled rows that are not held out, at most `most` of them by hash order of the id.
+    """Fits on labelled rows that are not held out, at most `most` of them and FIT_INDICATORS of theirs, by hash order of the id.
 
-    Only ids of that bounded sample are broadcast, so no text is shuffled;
-    their hashed rows come to the driver.  Labels of ids without a document,
-    null labels and null ids are left out; of several labels of an id the
-    largest counts; without usable labels every score is 0.5.
+    Only ids of that bounded sample are broadcast, so no text is shuffled but
+    the sample's; its hashed rows come to the driver.  Labels of ids without a
+    document, null labels and null ids are left out; of several labels of an
+    id the largest counts, of several texts of an id the smallest; without
+    usable labels every score is 0.5.
     """
     usable = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col))
-    chosen = usable.groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y")).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(most)
+    order = F.xxhash64(F.col(id_col).cast("string"))
+    chosen = usable.groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y")).orderBy(order, id_col).limit(most)
 
     def run(batches):
         for batch in batches:
             for i, j, w in W.batches_of(batch.column(1), lower=True):
                 text, place = indicators(w)
                 edge = np.searchsorted(text, np.arange(j - i + 1))
-                flat = place.astype("<i4").tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(2).slice(i, j - i), pa.array([flat[4 * a : 4 * b] for a, b in zip(edge, edge[1:])], pa.binary()), batch.column(0).slice(i, j - i).cast(pa.string())], names=["y", "row", "id"])
-
-    sample = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(id_col, text_col, "_y")
-    got: pd.DataFrame = sample.mapInArrow(run, "y int, row binary, id string").toPandas()
-    got = got.sort_values(["id", "y"], kind="stable")
-    return fit([np.frombuffer(x, "<i4") for x in got["row"]], got["y"].to_numpy())
+                made = pa.array([_packed(place[a:b]) for a, b in zip(edge, edge[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), made], names=["at", "y", "row"])
+
+    sample = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).groupBy(id_col, "_y").agg(F.min(text_col).alias("_t"))
+    made = cut(sample.select(order, "_t", "_y").mapInArrow(run, "at long, y int, row binary"))
+    sizes = made.select("at", (F.octet_length("row") / 2).alias("n")).toPandas().sort_values("at")  # `most` rows
+    within = sizes["at"][sizes["n"].cumsum() <= FIT_INDICATORS]
+    got = made.filter(F.col("at") <= (int(within.iloc[-1]) if len(within) else -(1 << 63))).toArrow()
+    order = np.lexsort((got["y"].to_numpy(), got["at"].to_numpy()))
+    y, packed = got["y"].to_numpy()[order], got["row"].combine_chunks()
+    flat, rows, end = np.empty(int(sizes["n"].sum()), np.int32), [], 0  # one allocation, which goes back whole
+    for k in order.tolist():
+        row = _unpacked(packed[k].as_buffer())
+        flat[end : end + len(row)] = row
+        rows.append(flat[end : end + len(row)])
+        end += len(row)
+    del got, packed
+    return fit(rows, y)
+
+
+def _packed(place: np.ndarray) -> bytes:
+    """Ascending places as how many are in each 2**16 of them, and their low 16 bits."""
+    blocks = 1 << (BITS - 16)
+    return np.diff(np.searchsorted(place, np.arange(blocks + 1) << 16)).astype("<u4").tobytes() + (place & 0xFFFF).astype("<u2").tobytes()
+
+
+def _unpacked(raw) -> np.ndarray:
+    blocks = 1 << (BITS - 16)
+    count = np.frombuffer(raw, "<u4", blocks)
+    return np.frombuffer(raw, "<u2", offset=4 * blocks).astype(np.int32) + np.repeat(np.arange(blocks, dtype=np.int32) << 16, count)
 
 
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -64,6 +64,42 @@ def test_quality_contract(spark, sf):
     assert np.mean([a == b for a, b in held]) > 0.95
 
 
+def test_quality_of_repeated_and_null_ids(spark):
+    """An id counts once in the fit, however often it stands; a null id has a score and no side."""
+    texts = [f"good plain text number {k}" for k in range(20)] + [f"BAD!!! $$$ {k} BAD!!!" for k in range(20)]
+    labels = spark.createDataFrame([(k, int(k < 20), 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    once = quality.fit_quality(table(spark, texts), labels)
+    more = quality.fit_quality(table(spark, texts * 3 + ["x"], [*range(40)] * 3 + [None]), labels)
+    assert np.allclose(once.weights, more.weights) and once.bias == more.bias
+    got = rows(quality.score_quality(table(spark, ["good plain text", "BAD!!! $$$"], [None, 7]), once), "doc_id")
+    assert got[0]["held_out"] is None and got[0]["score"] > got[1]["score"]
+    few = quality.fit_quality(table(spark, texts), labels, most=6)
+    assert np.isfinite(few.weights).all()
+
+
+def test_dual_coordinate_descent_is_exact():
+    """The same weights as the dual's solution by projected gradient over the whole kernel matrix."""
+    rng = np.random.default_rng(11)
+    y = rng.integers(0, 2, 36)
+    made = [np.unique(np.concatenate([rng.integers(8, 60, 6), [k] if rng.random() < 0.7 else [5]])) for k in y]
+    scale = rng.normal(size=64)
+    w, b = quality.dual_coordinate_descent(made, y, scale, c=0.7, rounds=3000)
+    x = np.zeros((36, 65))
+    for i, r in enumerate(made):
+        x[i, r] = scale[r] / np.linalg.norm(scale[r])
+    x[:, 64] = 1
+    sign = np.where(y == 1, 1.0, -1.0)
+    top = 0.7 * np.where(y == 1, 1 / (y == 1).sum(), 1 / (y == 0).sum()) * 36 / 2
+    q = (x * sign[:, None]) @ (x * sign[:, None]).T
+    a, step = np.zeros(36), 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(200_000):
+        a = np.clip(a - step * (q @ a - 1), 0, top)
+    exact = (a * sign) @ x
+    assert np.abs(np.append(w, b) - exact).max() < 1e-2
+    cost = lambda v: 0.5 * v @ v + (top * np.maximum(0, 1 - sign * (x @ v))).sum()
+    assert cost(np.append(w, b)) <= cost(exact) * 1.0005
+
+
 def test_quality_edges(spark):
     docs = clashing(spark)
     model = quality.Model(np.zeros(1 << quality.BITS), np.zeros(1 << quality.BITS), 0.0, 1.0, 0.0)
