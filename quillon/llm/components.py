@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut
+from .store import cut, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -41,4 +41,5 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     now = cut(real.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     while not _stars(now):
         now = cut(_small_star(cut(_large_star(now))))
+        release(edges.sparkSession)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())

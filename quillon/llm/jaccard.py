@@ -29,9 +29,11 @@ from pyspark.sql import types as T
 from . import words as W
 from .components import connected_components
 from .rtree import CountTree
-from .store import cut, kept, release, scratch, written
+from .store import cut, kept, new_path, release, remove, scratch, written, written_at
 
+#: Hash groups of the tree's points.  A set of n shingles is kept by as many groups as it has shingles, up to FINEST; fewer are sums of these.
 GROUPS = 128
+FINEST = 8192
 #: Hash buckets whose shingles are counted, as a power of two; a rank a bucket is broadcast, whatever the corpus.
 RANK_BITS = 18
 #: Members of a bucket's main component that each member outside it is compared with before the search.
@@ -100,8 +102,6 @@ def _node(members: np.ndarray) -> int:
 
 
 def _features(num: int, den: int, n: int, names: list[str], shared):
-    shift = _U(64 - int(GROUPS).bit_length() + 1)
-
     def run(batches):
         ranks = shared.value
         for batch in batches:
@@ -110,7 +110,7 @@ def _features(num: int, den: int, n: int, names: list[str], shared):
                 node.append(_node(s) if len(s) else None)
                 size.append(len(s))
                 keys.append(W.signed(routing_keys(s, ranks, num, den)))
-                vec.append(_packed(np.bincount((s >> shift).astype(np.int64), minlength=GROUPS)))
+                vec.append(_counts(s))
             edge = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
             lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int64()), lists, pa.array(vec, pa.binary())], names=names)
@@ -118,20 +118,31 @@ def _features(num: int, den: int, n: int, names: list[str], shared):
     return run
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    """Counts as single bytes where they fit, else as four."""
-    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else "<u4").tobytes()
+def _counts(members: np.ndarray) -> bytes:
+    """Counts by hash group, as single bytes where they fit, else as four; the first byte tells which."""
+    bits = (min(max(GROUPS, len(members)), FINEST) - 1).bit_length()
+    counts = np.bincount((members >> _U(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return b"\1" + counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b"\4" + counts.astype("<u4").tobytes()
+
 
+def _unpacked(raw) -> np.ndarray:
+    kind = np.uint8 if memoryview(raw)[0] == 1 else "<u4"
+    return np.frombuffer(raw, kind, offset=1).astype(np.int32)
 
-def _unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, np.uint8 if len(raw) == GROUPS else "<u4").astype(np.int32)
+
+def _folded(v: np.ndarray, groups: int) -> np.ndarray:
+    return v if len(v) == groups else v.reshape(groups, -1).sum(1, dtype=np.int32)
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
-    data, offsets = W.string_buffers(column)
-    if (np.diff(offsets) == GROUPS).all():
-        return data.reshape(-1, GROUPS).astype(np.int32)
-    return np.array([_unpacked(x) for x in column.to_pylist()], np.int32).reshape(-1, GROUPS)
+    """The points of GROUPS groups."""
+    return np.array([_folded(_unpacked(x.as_buffer()), GROUPS) for x in column], np.int32).reshape(-1, GROUPS)
+
+
+def _least(a: np.ndarray, b: np.ndarray) -> int:
+    """Summed coordinate minima, by as many groups as both have."""
+    groups = min(len(a), len(b))
+    return int(np.minimum(_folded(a, groups), _folded(b, groups)).sum())
 
 
 def _bounded(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
@@ -141,7 +152,7 @@ def _bounded(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
 
     def run(batches):
         for t in batches:
-            low = np.minimum(_vectors(t.column(2)), _vectors(t.column(3))).sum(1, dtype=np.int64)
+            low = np.array([_least(_unpacked(x.as_buffer()), _unpacked(y.as_buffer())) for x, y in zip(t.column(2), t.column(3))], np.int64)
             keep = (num + den) * low >= num * t.column(4).to_numpy()
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
@@ -164,9 +175,9 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, t
                 data.append(s.astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(data, pa.binary())], names=["node", "members"])
 
-    # a repeated id may stand by other texts: only the wanted sets stay, each once
-    made = texts.mapInArrow(sets, "node long, members binary").join(wanted.select("node"), "node", "left_semi")
-    made = written(made.groupBy("node").agg(F.first("members").alias("members")), "sets")
+    made = written(texts.mapInArrow(sets, "node long, members binary"), "sets")
+    if made.count() > wanted.count():  # ids repeat, maybe by other texts: only the wanted sets stay, each once
+        made = written(made.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("members").alias("members")), "sets")
     side = lambda c: made.select(F.col("node").alias(c), F.col("members").alias(f"s{c}"))
 
     def run(batches):
@@ -238,7 +249,9 @@ def _searched(rows: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
             return node[:0], node[:0]
         points = _vectors(block.column(7))
         q, p = CountTree(points[right], size[right]).search(points[left], size[left], num, den, wanted)
-        return node[left[q]], node[right[p]]
+        fine = {k: _unpacked(block.column(7)[k].as_buffer()) for k in {*left[q].tolist(), *right[p].tolist()}}
+        keep = [(num + den) * _least(fine[x], fine[y]) >= num * (size[x] + size[y]) for x, y in zip(left[q].tolist(), right[p].tolist())]
+        return node[left[q]][keep], node[right[p]][keep]
 
     def run(batches):
         waiting: list[pa.RecordBatch] = []  # the last block pair so far, which may go on
@@ -286,18 +299,24 @@ def _components(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, d
     shared = docs.sparkSession.sparkContext.broadcast(shingle_ranks(docs, text_col, n))  # 2**RANK_BITS bytes
     names = ["id", "node", "n", "keys", "vec"]
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("vec", T.BinaryType())])
-    sets = written(docs.select(id_col, text_col).mapInArrow(_features(num, den, n, names, shared), schema), "shingles")
-    some = sets.filter("node is not null and id is not null")
+    path = new_path(docs.sparkSession, "features")
+    features = written_at(docs.select(id_col, text_col).mapInArrow(_features(num, den, n, names, shared), schema), path)
+    sets = written(features.select("id", "node", "n"), "sets")
+    some = features.filter("node is not null and id is not null")
     nodes = written(some.groupBy("node").agg(F.min(F.struct("id", "n", "vec", "keys")).alias("r")).select("node", "r.*"), "nodes")
+    remove(docs.sparkSession, path)
     reps = nodes.drop("keys")
 
     keyed = nodes.select("node", F.explode("keys").alias("key"))
-    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"_{k}") for k in range(2)]
-    heads = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("m"), *marks).filter("m > 1")
-    # keys with the same members are one bucket
-    heads = written(heads.groupBy("pivot", "last", "m", "_0", "_1").agg(F.min("key").alias("key")).select("key", "pivot", "last", "m"), "buckets")
+    heads = written(keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("m")).filter("m > 1"), "buckets")
     release(docs.sparkSession)
-    members = written(keyed.join(heads.filter("m > 2").select("key", "pivot"), "key"), "members")
+    # a merge at every size, so that small corpora tell what large ones take
+    members = written(keyed.join(heads.filter("m > 2").select("key", "pivot").hint("merge"), "key"), "members")
+    release(docs.sparkSession)
+    # keys with the same members are one bucket
+    marks = members.groupBy("key").agg(F.first("pivot").alias("pivot"), F.count("*").alias("m"), *(F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"_{k}") for k in range(2)))
+    chosen = cut(marks.groupBy("pivot", "m", "_0", "_1").agg(F.min("key").alias("key")).select("key"))
+    members = written(members.join(chosen, "key", "left_semi"), "members")
     release(docs.sparkSession)
     pairs = heads.filter("m = 2").select(F.col("last").alias("a"), F.col("pivot").alias("b")).union(members.filter("node <> pivot").select("node", "pivot")).distinct()
     edges = cut(_verified(cut(_bounded(pairs, reps, num, den)), reps, docs, id_col, text_col, n, num, den))
