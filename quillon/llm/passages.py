@@ -29,12 +29,15 @@ from pyspark.sql import types as T
 
 from . import words as W
 from .jaccard import BROADCAST_IDS
-from .store import cut, kept, release, scratch, written
+from .store import cut, fresh, kept, new_path, remove, scratch, written, written_at
 
 _U = np.uint64
-_NEVER = np.iinfo(np.int64).min >> 1
+#: Bytes of text whose windows are sought at once, so that the arrays stay in a core's cache.
+CACHED = 1 << 18
 #: Places of equal shingles in two texts that are looked at together.
 PAIRS = 1 << 20
+#: Later documents that meet an earlier one in one task, on average.
+TOGETHER = 2_000
 _SALTS = W.mix(np.arange(1, 65, dtype=_U) * _U(0xABCDEF123456789))
 
 
@@ -42,7 +45,8 @@ def compact_windows(h: np.ndarray, text: np.ndarray, width: int) -> tuple[np.nda
     """(left, centre, right), inclusive, of the windows of at least width places with a single smallest centre.
 
     h are hashes, text the number of the text of each place; equal hashes
-    count the leftmost as smaller.  A place with a wide window is the minimum
+    count the leftmost as smaller, and so do hashes that differ in their lowest
+    bits only (as many as number the places).  A place with a wide window is the minimum
     of some run of width places, and the nearest smaller places around it are
     such minima too or ends of the text, so the tree is built over minima of
     sliding runs alone (about 2 in width places).
@@ -51,16 +55,19 @@ def compact_windows(h: np.ndarray, text: np.ndarray, width: int) -> tuple[np.nda
     z = np.zeros(0, np.int64)
     if n < width:
         return z, z, z
-    # sliding minima by doubling; ties keep the leftmost
-    low, at, span = h, np.arange(n), 1
+    # sliding minima by doubling, of hashes whose low bits give way to the place: ties keep the leftmost
+    low = np.uint64((1 << max(1, n - 1).bit_length()) - 1)
+    h = h & ~low
+    least, span = h | np.arange(n, dtype=_U), 1
     while span < width:
         step = min(span, width - span)
-        left, right = low[:-step], low[step:]
-        take = right < left
-        low, at = np.where(take, right, left), np.where(take, at[step:], at[:-step])
+        least = np.minimum(least[:-step], least[step:])
         span += step
+    at = (least & low).astype(np.int64)
     inside = text[: n - width + 1] == text[width - 1 :]
-    centre = np.unique(at[inside])
+    is_centre = np.zeros(n, bool)
+    is_centre[at[inside]] = True
+    centre = np.flatnonzero(is_centre)
     if not len(centre):
         return z, z, z
     c, t = h[centre], text[centre]
@@ -80,20 +87,21 @@ def compact_windows(h: np.ndarray, text: np.ndarray, width: int) -> tuple[np.nda
 def _nearest(c: np.ndarray, t: np.ndarray, m: int, strict: bool = False) -> np.ndarray:
     """Nearest earlier place of the same text that is smaller (or equal, unless strict); else -1."""
     at = np.arange(m) - 1
-    while True:
-        k = np.maximum(at, 0)
-        same = (at >= 0) & (t[k] == t)
-        at[~same] = -1
-        go = np.flatnonzero(same & ((c[k] >= c) if strict else (c[k] > c)))
-        if not len(go):
-            return at
-        at[go] = at[k[go]]  # what the greater place skips, this one skips too
+    at[np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))] = -1
+    at = at.tolist()
+    c = c.tolist()
+    for k in range(m):
+        p, own = at[k], c[k]
+        while p >= 0 and (c[p] >= own if strict else c[p] > own):
+            p = at[p]  # what the greater place skips, this one skips too
+        at[k] = p
+    return np.array(at, np.int64)
 
 
 def _fingerprints(grams: np.ndarray, text: np.ndarray, half: int) -> np.ndarray:
     """16 bits for the half shingles up to each place and 16 for those from it on; 0 where the text ends before."""
     n = len(grams)
-    bits = (W.ngram_hashes(grams, half) >> _U(48)).astype(np.uint32)
+    bits = (W.run_hashes(grams, half) >> _U(48)).astype(np.uint32)
     bits[bits == 0] = 1
     bits[text[: len(bits)] != text[half - 1 :][: len(bits)]] = 0
     after, before = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
@@ -107,7 +115,7 @@ def _windows(width: int, hashes: int, gram: int, names: list[str]):
 
     def run(batches):
         for batch in batches:
-            for i, j, w in W.batches_of(batch.column(1), lower=True):
+            for i, j, w in W.batches_of(batch.column(1), lower=True, limit=CACHED):
                 words, text = w.hashes(), w.text_of_word()
                 grams = W.ngram_hashes(words, gram)
                 inside = text[: len(grams)] == text[gram - 1 :] if len(grams) else np.zeros(0, bool)
@@ -134,10 +142,9 @@ def _shingles(raw: memoryview | bytes, gram: int) -> tuple[np.ndarray, W.Words]:
     return W.ngram_hashes(w.hashes(), gram), w
 
 
-def _matches(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place in a, place in b, length) of the maximal equal runs of a and b, over all occurrences, by their place in a."""
-    order = np.argsort(b, kind="stable")
-    ordered = b[order]
+def _matches(a: np.ndarray, b: np.ndarray, by_value: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in a, place in b, length) of the maximal equal runs of a and b, over all occurrences, by their place in a; by_value is _ordered(b)."""
+    order, ordered = by_value or _ordered(b)
     low = np.searchsorted(ordered, a)
     n = np.searchsorted(ordered, a, side="right") - low
     total = np.cumsum(n)
@@ -157,6 +164,11 @@ def _matches(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return i[by], j[by], size[by]
 
 
+def _ordered(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(b, kind="stable")
+    return order, b[order]
+
+
 def _joined(key: np.ndarray, size: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
     """Runs of keys joined where one ends as the next begins: a key is a diagonal and a place on it."""
     size = np.broadcast_to(size, key.shape)
@@ -166,26 +178,43 @@ def _joined(key: np.ndarray, size: np.ndarray | int) -> tuple[np.ndarray, np.nda
     return key[first], np.add.reduceat(size, first) if len(first) else np.zeros(0, np.int64)
 
 
-def verify(a: np.ndarray, b: np.ndarray, width: int, num: int, den: int, gap: int = 0) -> list[tuple[int, int, int, int, float]]:
+def verify(a: np.ndarray, b: np.ndarray, width: int, num: int, den: int, by_value: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int, int, int, float]]:
     """Near-duplicate passages of two shingle sequences: (start, length, start, length, similarity), in shingles.
 
     Maximal equal runs, over all occurrences of a shingle, are chained in
     order.  A shared shingle earns den - num and a place in a gap, on either
     side, costs num, so a stretch of a chain is similar enough if it earns
-    what it costs, however long a gap is (gap sets no bound and is not read);
-    where shingles repeat, the distinct ones decide.  Of each chain so many of the longest such stretches
+    what it costs; gaps may have two widths and more, which only stretches of
+    ten widths could pay; where shingles repeat, the distinct ones decide.  Of each chain so many of the longest such stretches
     of at least width places are taken that they hold all others' runs.  All
     places of equal runs of at least width places are in passages.
     """
     if not len(a) or not len(b):
         return []
-    i, j, size = _matches(a, b)
-    if size.sum() < width * num // den // 2:
+    i, j, size = _matches(a, b, by_value)
+    if size.sum() < width * num // den:
         return []
+    for _ in range(2):  # what one side leaves may thin out the other
+        (keep, dense), (keep2, _) = _dense(i, size, len(a), width, num, den), _dense(j, size, len(b), width * num // den, num, den)
+        keep &= keep2
+        i, j, size = i[keep], j[keep], size[keep]
+        if not len(i):
+            return []
+    keep = ~_inside(i, size, len(a), width)
+    i, j, size = i[keep], j[keep], size[keep]
     found: list[tuple[int, int, int, int, float]] = []
-    if len(i) > 1:
-        for chain in _chains(i, j, size, num, den):
-            _stretches(a, b, chain, width, num, den, found)
+    # only places that no wide run holds need chains, of the runs about them
+    wide = size >= width
+    dense[np.cumsum(np.bincount(i[wide], minlength=len(a) + 1) - np.bincount(i[wide] + size[wide], minlength=len(a) + 1))[: len(a)] > 0] = False
+    total = np.concatenate([[0], np.cumsum(dense)])
+    near = np.flatnonzero(total[np.minimum(i + size + 2 * width, len(a))] > total[np.maximum(i - 2 * width, 0)])
+    if len(near) > 1:
+        for chain in _chains(i[near], j[near], size[near], num, den, width):
+            if dense[chain[0][0] : chain[0][-1] + chain[2][-1]].any():
+                before = len(found)
+                _stretches(a, b, chain, width, num, den, found)
+                for f in found[before:]:
+                    dense[f[0] : f[0] + f[1]] = False
     wide = np.flatnonzero(size >= width)
     first, last, done = i[wide], i[wide] + size[wide], 0
     for f in found:
@@ -199,54 +228,109 @@ def verify(a: np.ndarray, b: np.ndarray, width: int, num: int, den: int, gap: in
     return sorted(found)
 
 
-def _links(i: np.ndarray, j: np.ndarray, size: np.ndarray, num: int, den: int, most: int, allowed=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(earned at best up to each run's end, the run before it, their overlap): runs chained in order, by i.
+def _dense(start: np.ndarray, size: np.ndarray, n: int, width: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Marks the runs with a place in some stretch of at least width places of which the runs' places, together, are a share of num / den; and such places.
 
-    Without `allowed` a chain begins anew where what is before it costs more
-    than it earned; else each run keeps the best of all links that cost at
-    most what the chain before earned and allowed[t] together.
+    No other run can be in a passage: a stretch that earns its costs is one of these.
+    """
+    edge = np.bincount(start, minlength=n + 1) - np.bincount(start + size, minlength=n + 1)
+    covered = np.cumsum(edge[:n]) > 0
+    total = np.concatenate([[0], np.cumsum(np.where(covered, den - num, -num))])
+    ahead = np.maximum.accumulate(total[::-1])[::-1]
+    # the furthest end at which a stretch from each place on is dense
+    far = n - np.searchsorted(ahead[::-1], total, side="left")
+    first = np.flatnonzero(far - np.arange(n + 1) >= width)
+    inside = np.cumsum(np.bincount(first, minlength=n + 2) - np.bincount(far[first], minlength=n + 2))[: n + 1] > 0
+    total = np.concatenate([[0], np.cumsum(inside)])
+    return total[start + size] > total[start], inside[:n]
+
+
+def _inside(start: np.ndarray, size: np.ndarray, n: int, width: int) -> np.ndarray:
+    """Marks the runs that stand inside a wide run, two widths from its ends at least (an end of the text has no further side).
+
+    Repetitions within a text copied word by word; a stretch that reaches
+    beyond the wide run has two widths of its own there.
+    """
+    wide = size >= width
+    first, last = start[wide], start[wide] + size[wide]
+    first, last = np.where(first > 0, first + 2 * width, 0), np.where(last < n, last - 2 * width, n)
+    by = np.argsort(first, kind="stable")
+    first, reach = first[by], np.maximum.accumulate(last[by]) if len(by) else last
+    at = np.searchsorted(first, start, side="right") - 1
+    out = (at >= 0) & (reach[np.maximum(at, 0)] >= start + size) if len(by) else np.zeros(len(start), bool)
+    whole = np.flatnonzero(size == n)
+    out[whole[:1]] = False
+    return out
+
+
+def _links(i: np.ndarray, j: np.ndarray, size: np.ndarray, num: int, den: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(earned at best up to each run's end, the run before it or -1, their overlap): runs chained in order, by i.
+
+    best counts a chain from where it is best begun; a run is linked to the
+    best before it even if that earns less than the gap costs, as long as what
+    follows might pay for it.  Runs meet by the cells of `reach` places a side
+    that their ends and beginnings are in, so that only neighbours on both
+    sides are looked at.
     """
     n, earn = len(i), den - num
+    back, over = [-1] * n, [0] * n
     last, last2 = i + size, j + size
-    ends = np.maximum.accumulate(last)
-    best, back, over = earn * size, np.full(n, -1), np.zeros(n, np.int64)
-    low = np.searchsorted(ends, i - most // num)
-    for t in range(1, n):
-        q = slice(int(low[t]), t)
-        if q.start >= t:
-            continue
-        o = np.maximum(0, np.maximum(last[q] - i[t], last2[q] - j[t]))
-        gain = best[q] - earn * o - num * (i[t] + j[t] + 2 * o - last[q] - last2[q])
-        gain[(i[q] >= i[t]) | (j[q] >= j[t]) | (o >= size[t])] = _NEVER
-        k = int(gain.argmax())
-        if gain[k] > 0 if allowed is None else gain[k] + allowed[t] >= 0:
-            back[t], over[t] = q.start + k, o[k]
-            best[t] = max(best[t], gain[k] + earn * size[t])
-    return best, back, over
-
-
-def _chains(i: np.ndarray, j: np.ndarray, size: np.ndarray, num: int, den: int):
+    row = np.int64(j.max() // reach + 4)  # cells as one number
+    here, end = ((i // reach) * row + j // reach).tolist(), ((last // reach) * row + last2 // reach).tolist()
+    around = [c * int(row) + c2 for c in (-1, 0, 1) for c2 in (-1, 0, 1)]
+    behind = (earn * np.cumsum(size[::-1])[::-1]).tolist()  # no chain from a run on earns more
+    i_, j_, size_, last_, last2_, best = (x.tolist() for x in (i, j, size, last, last2, earn * size))
+    cells: dict[int, list[int]] = {}
+    for t in range(n):
+        it, jt, st, top, at, cut_ = i_[t], j_[t], size_[t], -behind[t] - 1, -1, 0
+        for c in around:
+            for q in cells.get(here[t] + c, ()):
+                if i_[q] < it and j_[q] < jt:
+                    o = last_[q] - it
+                    if last2_[q] - jt > o:
+                        o = last2_[q] - jt
+                    if o <= 0:
+                        o, gain = 0, best[q] - num * (it + jt - last_[q] - last2_[q])
+                    elif o < st:
+                        gain = best[q] - earn * o - num * (it + jt + 2 * o - last_[q] - last2_[q])
+                    else:
+                        continue
+                    if gain > top:
+                        top, at, cut_ = gain, q, o
+        if at >= 0:
+            back[t], over[t] = at, cut_
+            if top > 0:
+                best[t] += top
+        cells.setdefault(end[t], []).append(t)
+    return np.array(best, np.int64), np.array(back), np.array(over)
+
+
+def _chains(i: np.ndarray, j: np.ndarray, size: np.ndarray, num: int, den: int, width: int):
     """(place in a, place in b, length) of runs chained in order; a run that overlaps the one before it begins behind it.
 
-    Two runs are linked if the best chain up to the first and the best from
-    the second on earn the gap between them: no stretch that is similar enough
-    has any other link.
+    A chain for each run that none follows, the best first; where it joins one
+    before, it goes on for four widths.  Chains too short for a passage are
+    left out.
     """
-    n = len(i)
-    most = (den - num) * int(size.sum())
-    # from the end: the same over the mirrored places
-    mirror = np.lexsort((-(j + size), -(i + size)))
-    ahead = np.empty(n, np.int64)
-    ahead[mirror] = _links(-(i + size)[mirror], -(j + size)[mirror], size[mirror], num, den, most)[0]
-    _, back, over = _links(i, j, size, num, den, most, ahead)
-    leaf = np.ones(n, bool)
+    best, back, over = _links(i, j, size, num, den, 2 * width)
+    size_ = size.tolist()
+    leaf = np.ones(len(i), bool)
     leaf[back[back >= 0]] = False
-    for t in np.flatnonzero(leaf & (back >= 0)).tolist():
-        path = [t]
-        while back[path[-1]] >= 0:
-            path.append(int(back[path[-1]]))
+    back_, i_, seen = back.tolist(), i.tolist(), [False] * len(i)
+    leaves = np.flatnonzero(leaf & (back >= 0))
+    for t in leaves[np.argsort(-best[leaves], kind="stable")].tolist():
+        path, joined = [], None
+        while t >= 0 and (joined is None or joined - i_[t] <= 4 * width):
+            if seen[t] and joined is None:
+                joined = i_[t]
+            seen[t] = True
+            path.append(t)
+            t = back_[t]
+        if i_[path[0]] + size_[path[0]] - i_[path[-1]] < width or sum(size_[k] for k in path) < width * num // den:
+            continue
         k = np.array(path[::-1])
         o = over[k]
+        o[0] = 0
         yield i[k] + o, j[k] + o, size[k] - o
 
 
@@ -259,7 +343,7 @@ def _stretches(a: np.ndarray, b: np.ndarray, chain: tuple, width: int, num: int,
     before = after - (den - num) * size
     # the furthest run with which each run's stretch still earns its costs: the greatest of what follows decides
     top = np.maximum.accumulate(after[::-1])[::-1]
-    far = np.array([len(top) - 1 - int(np.searchsorted(top[p:][::-1], before[p])) for p in range(len(i))])
+    far = len(top) - 1 - np.searchsorted(top[::-1], before)
     wide = last[far] - i >= width
     cur = 0
     while cur < len(i):
@@ -316,11 +400,13 @@ def _found(docs: DataFrame, id_col: str, text_col: str, width: int, gram: int, n
     names = ["id", "key", "left", "centre", "right", "ctx"]
     schema = T.StructType([T.StructField("id", id_type), T.StructField("key", T.ArrayType(T.LongType())), *(T.StructField(n, T.ArrayType(T.IntegerType())) for n in names[2:])])
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    lists = written(base.mapInArrow(_windows(width, hashes, gram, names), schema), "windows")
-    windows = lists.select("id", F.explode(F.arrays_zip("key", "left", "centre", "right", "ctx")).alias("w")).select("id", "w.*")
+    spark = docs.sparkSession
+    path = new_path(spark, "shared")
+    with scratch(spark):
+        lists = written(base.mapInArrow(_windows(width, hashes, gram, names), schema), "windows")
+        windows = lists.select("id", F.explode(F.arrays_zip("key", "left", "centre", "right", "ctx")).alias("w")).select("id", "w.*")
+        shared = written_at(_met(windows), path)
 
-    shared = written(_met(windows), "shared")
-    release(docs.sparkSession)
     found = tried = None
     for turn in range(rounds + 1):
         pairs = _candidates(shared, width, enough if turn == 0 else 1)
@@ -331,17 +417,20 @@ def _found(docs: DataFrame, id_col: str, text_col: str, width: int, gram: int, n
         if turn == rounds:
             break
         open_keys = cut(_unsettled(shared, found))
+        remove(spark, path)
         if open_keys.isEmpty():
             break
-        again = _contexts(open_keys) if turn + 1 < rounds else _exact_runs(base, open_keys, id_type, width, gram)
-        shared = written(_met(again), f"shared{turn}")
+        path = new_path(spark, "shared")
+        with scratch(spark):
+            again = _contexts(open_keys) if turn + 1 < rounds else written(_exact_runs(base, open_keys, id_type, width, gram), "runs")
+            shared = written_at(_met(again), path)
     return found
 
 
 def _met(windows: DataFrame) -> DataFrame:
     """Windows of keys that several documents have, with the smallest of these (match)."""
     heads = windows.groupBy("key").agg(F.min("id").alias("match"), F.max("id").alias("last")).filter("match < last").select("key", "match")
-    return windows.join(written(heads, "heads"), "key")
+    return windows.join(written(heads, "heads").hint("merge"), "key")  # a merge at every size, so that small corpora tell what large ones take
 
 
 def _candidates(shared: DataFrame, width: int, enough: int) -> DataFrame:
@@ -372,9 +461,12 @@ def _verify_pairs(base: DataFrame, pairs: DataFrame, id_type: T.DataType, width:
     """
     small = pairs.count() <= BROADCAST_IDS
     hint = F.broadcast if small else (lambda df: df)
+    # an earlier document with very many later ones meets them in as many tasks as they need
+    parts = pairs.groupBy("match").agg(F.ceil(F.count("*") / TOGETHER).cast("long").alias("parts"))
+    pairs = cut(pairs.join(cut(parts), "match").select("id", "match", F.pmod(F.xxhash64("id"), "parts").alias("part")))
     later = base.join(hint(pairs), "id")
-    first = base.join(hint(cut(pairs.select(F.col("match").alias("id")).distinct())), "id", "left_semi").select(F.col("id").alias("match"), F.col("text").alias("other"))
-    both = later.join(first, "match")
+    first = base.join(hint(cut(pairs.select(F.col("match").alias("id"), "part").distinct())), "id").select(F.col("id").alias("match"), "part", F.col("text").alias("other"))
+    both = later.join(first, ["match", "part"])
     schema = T.StructType(
         [T.StructField("id", id_type), T.StructField("start_word", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("start_byte", T.LongType()), T.StructField("end_byte", T.LongType())]
         + [T.StructField("match_id", id_type), T.StructField("match_start_word", T.IntegerType()), T.StructField("match_n_words", T.IntegerType()), T.StructField("similarity", T.DoubleType()), T.StructField("text_hash", T.LongType())]
@@ -382,14 +474,18 @@ def _verify_pairs(base: DataFrame, pairs: DataFrame, id_type: T.DataType, width:
 
     def run(batches):
         for t in batches:
-            rows, last, b = [], None, None
-            for k in range(t.num_rows):
-                raw = t.column(3)[k].as_buffer()
-                if last is None or not raw.equals(last):
-                    last, b = raw, _shingles(raw, gram)[0]
-                a, w = _shingles(t.column(2)[k].as_buffer(), gram)
-                for s, n, s2, n2, sim in verify(a, b, width, num, den, gram):
-                    rows.append((t.column(0)[k].as_py(), s, n + gram - 1, int(w.starts[s]), int(w.ends[s + n + gram - 2]), t.column(1)[k].as_py(), s2, n2 + gram - 1, sim, t.column(4)[k].as_py()))
+            rows, last, b, by_value = [], None, None, None
+            for lo, hi, w in W.batches_of(t.column(2), lower=True, limit=CACHED):
+                grams = W.ngram_hashes(w.hashes(), gram)
+                for k in range(lo, hi):
+                    first, end = int(w.ptr[k - lo]), int(w.ptr[k - lo + 1])
+                    raw = t.column(3)[k].as_buffer()
+                    if last is None or not raw.equals(last):
+                        last, b = raw, _shingles(raw, gram)[0]
+                        by_value = _ordered(b)
+                    base = int(w.offsets[k - lo])
+                    for s, n, s2, n2, sim in verify(grams[first : max(first, end - gram + 1)], b, width, num, den, by_value):
+                        rows.append((t.column(0)[k].as_py(), s, n + gram - 1, int(w.starts[first + s]) - base, int(w.ends[first + s + n + gram - 2]) - base, t.column(1)[k].as_py(), s2, n2 + gram - 1, sim, t.column(4)[k].as_py()))
             doc = t.schema.field(0).type
             types = (doc, pa.int32(), pa.int32(), pa.int64(), pa.int64(), doc, pa.int32(), pa.int32(), pa.float64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], y) for k, y in enumerate(types)], names=schema.names)
@@ -425,12 +521,17 @@ def _exact_runs(base: DataFrame, windows: DataFrame, id_type: T.DataType, width:
                 at = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.arange(x, y + 1) for x, y in zip(first.tolist(), last.tolist()))]))
                 if not len(at):
                     continue
-                keys = W.ngram_hashes(grams, width)[at]
+                keys = W.run_hashes(grams, width)[at]
                 place, zero = pa.array(at.astype(np.int32)), pa.array(np.zeros(len(at), np.int32))
                 ids = pa.array([t.column(0)[k].as_py()] * len(at), t.column(0).type)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(W.signed(keys)), place, place, pa.array((at + width - 1).astype(np.int32)), zero], names=schema.names)
 
-    return base.join(lists, "id").select("id", "text", "left", "centre", "right").mapInArrow(run, schema)
+    return _of(base, lists.select("id")).join(lists, "id").select("id", "text", "left", "centre", "right").mapInArrow(run, schema)
+
+
+def _of(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of docs with (or without) ids: up to BROADCAST_IDS of these (counted) meet the texts at the scan."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ids.columns, how)
 
 
 def _contexts(windows: DataFrame) -> DataFrame:
@@ -441,14 +542,15 @@ def _contexts(windows: DataFrame) -> DataFrame:
 
 
 def without_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the reported passages cut out of their texts; all other columns and rows as they are."""
-    spans = passages.groupBy(id_col, F.col("text_hash").alias("_hash")).agg(F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).alias("_spans"))
+    """docs with the reported passages cut out of their texts; all other columns and rows as they are, whatever their names."""
+    mark, place = fresh("_hash", docs.columns), fresh("_spans", docs.columns)
+    spans = passages.groupBy(id_col, F.col("text_hash").alias(mark)).agg(F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).alias(place))
 
     def run(batches):
         for t in batches:
             k = t.schema.get_field_index(text_col)
             texts = []
-            for text, spans in zip(t.column(k), t.column("_spans").to_pylist()):
+            for text, spans in zip(t.column(k), t.column(t.num_columns - 1).to_pylist()):
                 if not spans or not text.is_valid:
                     texts.append(text.as_py())
                     continue
@@ -461,4 +563,8 @@ def without_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id
             arrays = [pa.array(texts, pa.string()) if n == k else t.column(n) for n in range(t.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(arrays, names=t.schema.names[:-1])
 
-    return docs.withColumn("_hash", F.xxhash64(text_col)).join(spans, [id_col, "_hash"], "left").select(*docs.columns, "_spans").mapInArrow(run, docs.schema)
+    spans = cut(spans)
+    ids = cut(spans.select(id_col).distinct())
+    some = _of(docs, ids).select(*docs.columns).withColumn(mark, F.xxhash64(text_col))  # only texts with a passage are shuffled
+    made = some.join(spans, [id_col, mark], "left").select(*docs.columns, place).mapInArrow(run, docs.schema)
+    return made.union(_of(docs, ids, "left_anti").select(*docs.columns))

@@ -355,7 +355,7 @@ def test_verify_finds_long_runs(seed):
     a, b = (rng.integers(0, 40, rng.integers(0, 60)) for _ in range(2))
     run = rng.integers(100, 10**6, 12)
     x, y = (np.concatenate([p, run, q]).astype(np.uint64) for p, q in ((a, b), (b, a)))
-    got = passages.verify(x, y, 10, 80, 100, 5)
+    got = passages.verify(x, y, 10, 80, 100)
     assert all(0 <= s and s + n <= len(x) and 0 <= s2 and s2 + n2 <= len(y) and sim >= 0.8 for s, n, s2, n2, sim in got)
     assert any(s < len(a) + 12 and s + n > len(a) for s, n, *_ in got)
 
@@ -372,7 +372,7 @@ def test_verify_sees_every_place_of_a_shingle(seed):
     y = np.concatenate([parts[2], cuts[0], parts[3], run, parts[4], cuts[1]]).astype(np.uint64)
     there = {tuple(y[k : k + 12].tolist()) for k in range(len(y) - 11)}
     want = {k + n for k in range(len(x) - 11) if tuple(x[k : k + 12].tolist()) in there for n in range(12)}
-    got = passages.verify(x, y, 12, 80, 100, 5)
+    got = passages.verify(x, y, 12, 80, 100)
     assert want and want <= {k for s, n, *_ in got for k in range(s, s + n)}
     for s, n, s2, n2, sim in got:
         u, v = set(x[s : s + n].tolist()), set(y[s2 : s2 + n2].tolist())
@@ -383,7 +383,7 @@ def test_verify_with_a_teaser():
     """b has the first half of the passage as a teaser before the whole."""
     run, other = np.arange(56), np.arange(1000, 1040)
     x, y = (np.concatenate(p).astype(np.uint64) for p in ((other, run), (run[:26], other + 500, run)))
-    assert passages.verify(x, y, 46, 80, 100, 5) == [(40, 56, 66, 56, 1.0)]
+    assert passages.verify(x, y, 46, 80, 100) == [(40, 56, 66, 56, 1.0)]
 
 
 def test_verify_over_phrase_edits():
@@ -402,12 +402,12 @@ def test_verify_over_phrase_edits():
             continue
         tried += 1
         head, tail = new(30), new(30)
-        got = passages.verify(grams(head + other + tail), grams(new(11) + passage + new(50)), 46, 80, 100, 5)
+        got = passages.verify(grams(head + other + tail), grams(new(11) + passage + new(50)), 46, 80, 100)
         assert any(s <= 30 and s + k >= 30 + len(other) - 4 for s, k, *_ in got), (n, len(other), got)
     assert tried > 200
     x, y = list(range(90)), list(range(90))
     x[44:46] = 1000, 1001
-    assert [(s, k) for s, k, *_ in passages.verify(grams(x), grams(y), 46, 80, 100, 5)] == [(0, 86)]
+    assert [(s, k) for s, k, *_ in passages.verify(grams(x), grams(y), 46, 80, 100)] == [(0, 86)]
 
 
 def test_fragments_do_not_keep_copies_apart(spark):
