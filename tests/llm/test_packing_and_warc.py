@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import packing, queries, sequences, store, warc
 
-from .texts import TEXTS, clashing, rows, table
+from .texts import LONG, TEXTS, clashing, rows, table
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -112,6 +112,28 @@ def test_packed_ids_round_trip(spark, sf):
     assert sequences.read_segments(spark.read.parquet(to)).count() == 0
 
 
+def test_packing_of_repeated_and_null_ids(spark):
+    """Every row is packed for itself, whatever its id."""
+    df = table(spark, ["one two", "one two", None, LONG, LONG], [7, 7, None, None, 7])
+    to = store.new_path(spark, "t")
+    sequences.write_packed(df, BPE, to, wide=True)
+    for got in (rows(sequences.pattern_pack(df, BPE)), rows(sequences.read_segments(spark.read.parquet(to), wide=True))):
+        short = [r for r in got if r["length"] < 10]
+        assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["piece"], r["length"]) for r in short) == [(False, 7, 0, 3), (False, 7, 0, 3), (True, 0, 0, 1)]
+        long = [r for r in got if r["length"] >= 10]
+        total = {i: sum(r["length"] for r in long if r["doc_id"] == i) for i in (7, None)}
+        assert total[7] == total[None] > 1024
+        filled = {}
+        for r in got:
+            filled.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        for parts in filled.values():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+            assert at <= 1024
+
+
 # ---------------------------------------------------------------- WARC
 
 
@@ -133,10 +155,10 @@ def want(payloads):
     return out
 
 
-@pytest.mark.parametrize("compression", ["gzip", "none"])
-def test_warc_round_trip(spark, compression):
+@pytest.mark.parametrize("compress", [True, False])
+def test_warc_round_trip(spark, compress):
     to = store.new_path(spark, "w")
-    warc.write_warc(pages(spark, PAYLOADS), to, compression)
+    warc.write_warc(pages(spark, PAYLOADS), to, compress)
     back = warc.read_warc(spark, to)
     assert rows(warc.archive_index(back), "page_id") == want(PAYLOADS)
     payload = {r["record_id"]: r["payload"] for r in back.collect()}
@@ -146,7 +168,7 @@ def test_warc_round_trip(spark, compression):
 
 def test_warc_pushdown_and_headers(spark):
     to = store.new_path(spark, "w")
-    warc.write_warc(pages(spark, PAYLOADS), to, "none")
+    warc.write_warc(pages(spark, PAYLOADS), to, False)
     n = sum(r["record_type"] == "revisit" for r in want(PAYLOADS))
     back = warc.read_warc(spark, to, payload=False)
     assert back.filter("record_type = 'revisit'").count() == n
@@ -158,6 +180,68 @@ def test_warc_pushdown_and_headers(spark):
     assert spark.read.format("warc").option("partBytes", "1").load(to).rdd.getNumPartitions() == len({r["f"] for r in spark.read.text(to).select(F.input_file_name().alias("f")).collect()})
 
 
+def files_of(spark, to):
+    from pathlib import Path
+
+    return sorted(Path(to.removeprefix("file:")).glob("part-*"))
+
+
+def test_warc_members(spark):
+    """Each record is a gzip member that any reader inflates; members that no predicate wants are passed over, not inflated."""
+    import gzip
+
+    rng = np.random.default_rng(1)
+    large = ["".join(map(chr, rng.integers(97, 123, 300_000))) for _ in range(12)]
+    to = store.new_path(spark, "w")
+    warc.write_warc(pages(spark, large + large[:2]), to)
+    assert rows(warc.archive_index(warc.read_warc(spark, to)), "page_id") == want(large + large[:2])
+    made = kept = 0
+    for f in files_of(spark, to):
+        assert f.name.endswith(".warc.gz")
+        raw = f.read_bytes()
+        whole, n, at = gzip.decompress(raw), 0, 0
+        while at < len(raw):
+            size = warc.member_length(raw[at : at + 24])
+            assert gzip.decompress(raw[at : at + size]).startswith(b"WARC/1.1\r\n")
+            at, n = at + size, n + 1
+        assert at == len(raw) and n == whole.count(b"WARC/1.1\r\n")
+        assert whole.count(b"WARC-Profile: ") == whole.count(b"WARC-Type: revisit")
+        for wanted, payload in (({"record_type": frozenset(["revisit"])}, True), ({}, False)):
+            with open(f, "rb") as file:
+                source = warc.Inflated(file)
+                found = list(warc.read_members(file, wanted, payload, source))
+                assert source.inflated <= n * 4096
+                kept += len(found) if wanted else 0
+                made += 0 if wanted else len(found)
+    assert (made, kept) == (14, 2)
+    assert not [x for x in __import__("os").listdir(to.removeprefix("file:")) if x.startswith("_temporary")]
+
+
+def test_warc_foreign_members(tmp_path):
+    """Files of members without a told length, one member a record or one a file, and without compression."""
+    import gzip
+
+    record = lambda k, p: f"WARC/1.0\r\nWARC-Type: {'response' if k % 2 else 'metadata'}\r\nWARC-Record-ID: <{k}>\r\nContent-Length: {len(p)}\r\n\r\n{p}\r\n\r\n".encode()
+    parts = [record(k, "x" * (k * 40_000)) for k in range(5)]
+    for name, data in (("each", b"".join(map(gzip.compress, parts))), ("one", gzip.compress(b"".join(parts))), ("own", b"".join(map(warc.member, parts)))):
+        path = tmp_path / f"{name}.warc.gz"
+        path.write_bytes(data)
+        with open(path, "rb") as file:
+            assert [(r[0], len(r[-1])) for r in warc.read_members(file, {}, True)] == [(f"<{k}>", k * 40_000) for k in range(5)]
+        with open(path, "rb") as file:
+            assert [r[0] for r in warc.read_members(file, {"record_type": frozenset(["response"])}, False)] == ["<1>", "<3>"]
+
+
+def test_warc_headers_are_checked(spark):
+    to = store.new_path(spark, "w")
+    warc.write_warc(pages(spark, ["q" * 200, "r" * 200]), to, False)
+    for f in files_of(spark, to):
+        f.write_bytes(f.read_bytes().replace(b"q" * 200, b"p" * 200))
+        (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception, match="unlike its headers"):
+        warc.archive_index(warc.read_warc(spark, to)).collect()
+
+
 def test_warc_edges(spark):
     to = store.new_path(spark, "w")
     warc.write_warc(pages(spark, PAYLOADS).limit(0), to)
