@@ -31,7 +31,7 @@ from .components import connected_components
 from .rtree import CountTree
 from .store import cut, kept, new_path, release, remove, scratch, written, written_at
 
-#: Hash groups of the tree's points.  A set of n shingles is kept by as many groups as it has shingles, up to FINEST; fewer are sums of these.
+#: Hash groups of the tree's points.  A set is also kept by as many groups as it has shingles, up to FINEST, for the pairs that are left.
 GROUPS = 128
 FINEST = 8192
 #: Hash buckets whose shingles are counted, as a power of two; a rank a bucket is broadcast, whatever the corpus.
@@ -105,26 +105,31 @@ def _features(num: int, den: int, n: int, names: list[str], shared):
     def run(batches):
         ranks = shared.value
         for batch in batches:
-            node, size, keys, vec = [], [], [], []
+            node, size, keys, vec, fine = [], [], [], [], []
             for s in shingle_sets(batch.column(1), n):
                 node.append(_node(s) if len(s) else None)
                 size.append(len(s))
                 keys.append(W.signed(routing_keys(s, ranks, num, den)))
-                vec.append(_counts(s))
+                vec.append(_counts(s, GROUPS))
+                fine.append(_counts(s, _finest(len(s))))
             edge = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
             lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int64()), lists, pa.array(vec, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int64()), lists, pa.array(vec, pa.binary()), pa.array(fine, pa.binary())], names=names)
 
     return run
 
 
-def _counts(members: np.ndarray) -> bytes:
+def _counts(members: np.ndarray, groups: int) -> bytes:
     """Counts by hash group, as single bytes where they fit, else as four; the first byte tells which."""
-    bits = (min(max(GROUPS, len(members)), FINEST) - 1).bit_length()
-    counts = np.bincount((members >> _U(64 - bits)).astype(np.int64), minlength=1 << bits)
+    counts = np.bincount((members >> _U(65 - groups.bit_length())).astype(np.int64), minlength=groups)
     return b"\1" + counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b"\4" + counts.astype("<u4").tobytes()
 
 
+def _finest(n: int) -> int:
+    """Groups by which a set of n shingles is kept: a power of two."""
+    return 1 << (min(max(GROUPS, n), FINEST) - 1).bit_length()
+
+
 def _unpacked(raw) -> np.ndarray:
     kind = np.uint8 if memoryview(raw)[0] == 1 else "<u4"
     return np.frombuffer(raw, kind, offset=1).astype(np.int32)
@@ -136,7 +141,10 @@ def _folded(v: np.ndarray, groups: int) -> np.ndarray:
 
 def _vectors(column: pa.Array) -> np.ndarray:
     """The points of GROUPS groups."""
-    return np.array([_folded(_unpacked(x.as_buffer()), GROUPS) for x in column], np.int32).reshape(-1, GROUPS)
+    data, offsets = W.string_buffers(column)
+    if (np.diff(offsets) == GROUPS + 1).all():
+        return data.reshape(-1, GROUPS + 1)[:, 1:].astype(np.int32)
+    return np.array([_unpacked(x.as_buffer()) for x in column], np.int32).reshape(-1, GROUPS)
 
 
 def _least(a: np.ndarray, b: np.ndarray) -> int:
@@ -145,18 +153,27 @@ def _least(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(_folded(a, groups), _folded(b, groups)).sum())
 
 
+def _among(reps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of reps whose node is among nodes: up to BROADCAST_IDS of them (counted) meet the table at the scan."""
+    nodes = cut(nodes.distinct())
+    return reps.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes, "node", "left_semi")
+
+
 def _bounded(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of nodes that sizes and summed coordinate minima leave possible."""
-    side = lambda c: reps.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("vec").alias(f"v{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.expr(f"{num} * greatest(na, nb) <= {den} * least(na, nb)"))
+    """The pairs (a, b) of nodes that sizes and summed coordinate minima leave possible: by the tree's groups, and what is left by the finest."""
+    reps = _among(reps, pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
 
     def run(batches):
         for t in batches:
             low = np.array([_least(_unpacked(x.as_buffer()), _unpacked(y.as_buffer())) for x, y in zip(t.column(2), t.column(3))], np.int64)
             keep = (num + den) * low >= num * t.column(4).to_numpy()
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "va", "vb", (F.col("na") + F.col("nb")).alias("n")).mapInArrow(run, "a long, b long")
+    for vec in ("vec", "fine"):
+        side = lambda c, v=vec: reps.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col(v).alias(f"v{c}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.expr(f"{num} * greatest(na, nb) <= {den} * least(na, nb)"))
+        pairs = cut(both.select("a", "b", "va", "vb", (F.col("na") + F.col("nb")).alias("n")).mapInArrow(run, "a long, b long"))
+    return pairs
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
@@ -230,7 +247,7 @@ def _searched(rows: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
     outside = F.col("outside")
     first = F.slice(F.array_sort(F.collect_list("key")), 1, FIRST)
     firsts = rows.groupBy("node").agg(first.alias("f")).select("node", *(F.coalesce(F.get("f", F.lit(k)), F.lit((1 << 63) - 1)).alias(f"f{k}") for k in range(FIRST)))
-    rows = rows.join(firsts, "node").join(reps.select("node", "n", "vec"), "node")
+    rows = rows.join(firsts, "node").join(_among(reps, rows.select("node")).select("node", "n", "vec"), "node")
     cs, ct = F.ceil(F.col("s") / BLOCK), F.ceil(F.col("t") / BLOCK)
     spot = F.pmod(F.xxhash64("node"), F.when(outside, cs).otherwise(F.greatest(ct, F.lit(1)))).cast("long")
     rows = rows.withColumn("c", F.when(outside, spot).otherwise(cs + spot)).withColumn("j", F.explode(F.when(outside, F.sequence(F.lit(0).cast("long"), cs + ct - 1)).otherwise(F.sequence(F.lit(0).cast("long"), cs - 1))))
@@ -249,9 +266,7 @@ def _searched(rows: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
             return node[:0], node[:0]
         points = _vectors(block.column(7))
         q, p = CountTree(points[right], size[right]).search(points[left], size[left], num, den, wanted)
-        fine = {k: _unpacked(block.column(7)[k].as_buffer()) for k in {*left[q].tolist(), *right[p].tolist()}}
-        keep = [(num + den) * _least(fine[x], fine[y]) >= num * (size[x] + size[y]) for x, y in zip(left[q].tolist(), right[p].tolist())]
-        return node[left[q]][keep], node[right[p]][keep]
+        return node[left[q]], node[right[p]]
 
     def run(batches):
         waiting: list[pa.RecordBatch] = []  # the last block pair so far, which may go on
@@ -297,13 +312,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def _components(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(shingle_ranks(docs, text_col, n))  # 2**RANK_BITS bytes
-    names = ["id", "node", "n", "keys", "vec"]
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("vec", T.BinaryType())])
+    names = ["id", "node", "n", "keys", "vec", "fine"]
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("vec", T.BinaryType()), T.StructField("fine", T.BinaryType())])
     path = new_path(docs.sparkSession, "features")
     features = written_at(docs.select(id_col, text_col).mapInArrow(_features(num, den, n, names, shared), schema), path)
     sets = written(features.select("id", "node", "n"), "sets")
     some = features.filter("node is not null and id is not null")
-    nodes = written(some.groupBy("node").agg(F.min(F.struct("id", "n", "vec", "keys")).alias("r")).select("node", "r.*"), "nodes")
+    nodes = written(some.groupBy("node").agg(F.min(F.struct("id", "n", "vec", "fine", "keys")).alias("r")).select("node", "r.*"), "nodes")
     remove(docs.sparkSession, path)
     reps = nodes.drop("keys")
 
@@ -318,15 +333,15 @@ def _components(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, d
     chosen = cut(marks.groupBy("pivot", "m", "_0", "_1").agg(F.min("key").alias("key")).select("key"))
     members = written(members.join(chosen, "key", "left_semi"), "members")
     release(docs.sparkSession)
-    pairs = heads.filter("m = 2").select(F.col("last").alias("a"), F.col("pivot").alias("b")).union(members.filter("node <> pivot").select("node", "pivot")).distinct()
-    edges = cut(_verified(cut(_bounded(pairs, reps, num, den)), reps, docs, id_col, text_col, n, num, den))
+    pairs = cut(heads.filter("m = 2").select(F.col("last").alias("a"), F.col("pivot").alias("b")).union(members.filter("node <> pivot").select("node", "pivot")).distinct())
+    edges = cut(_verified(_bounded(pairs, reps, num, den), reps, docs, id_col, text_col, n, num, den))
     roots = connected_components(edges)
     release(docs.sparkSession)
     for find in (_partnered, lambda rows: _searched(rows, reps, num, den)):
         rows = _open(members, roots)
         if rows.isEmpty():
             break
-        more = cut(_bounded(cut(find(rows)), reps, num, den))
+        more = _bounded(cut(find(rows)), reps, num, den)
         if not more.isEmpty():
             edges = cut(edges.union(_verified(more, reps, docs, id_col, text_col, n, num, den)))
             roots = connected_components(edges)
