@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, jaccard, licenses, passages, quality, rules, sequences, store, tokens, warc
+from . import bands, bpe, collocations, contamination, jaccard, licenses, passages, quality, rules, sequences, store, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_index(warc.read_warc(spark, to), pages.schema["page_id"].dataType)
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op12_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bands.near_prices(_table(spark, sf_dir, "sale_lines"), _table(spark, sf_dir, "items"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_quality_classifier": op1_quality_classifier,
@@ -74,6 +86,9 @@ def queries() -> dict:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_packed_ids": op9_packed_ids,
         "op10_warc": op10_warc,
+        "op11_byte_bpe": op11_byte_bpe,
+        "op12_band_join": op12_band_join,
+        "op13_collocations": op13_collocations,
     }
 
 
@@ -127,5 +142,36 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 """
 
 
+#: crc32 of an ASCII text, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), flatten(list_transform(range(1, length({t}) + 1), lambda i: [CAST(ascii({t}[i]) AS UBIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+  lambda c, s: xor(xor(c, s) >> 1, (xor(c, s) & 1) * 3988292384)))"""
+
+OP12_SQL = f"""
+WITH l AS (SELECT sale_id AS a, line_no AS b, item_id AS owner, CAST(floor(100 * amount + 0.5) AS HUGEINT) AS c, CAST(quantity AS HUGEINT) AS q, concat_ws(',', sale_id, coalesce(CAST(line_no AS VARCHAR), ''), item_id) AS t
+  FROM sale_lines WHERE sale_id IS NOT NULL AND item_id IS NOT NULL AND amount IS NOT NULL AND quantity > 0),
+r AS (SELECT a, b, owner, CAST((2 * c + q - ((2 * c + q) % (2 * q) + 2 * q) % (2 * q)) // (2 * q) AS BIGINT) AS u, CAST({_CRC.format(t="t")} AS HUGEINT) AS w FROM l),
+i AS (SELECT item_id, CAST(floor(100 * price + 0.5) AS BIGINT) AS p FROM items),
+m AS (SELECT item_id, abs(u - p) AS gap, u, a, b, owner, w FROM i JOIN r ON owner <> item_id AND u BETWEEN p - 50 - p // 150 AND p + 50 + p // 150 AND (abs(u - p) <= 50 OR 1000 * abs(u - p) <= 5 * least(u, p))),
+s AS (SELECT item_id, count(*) AS n, sum(gap) AS g, sum(w) AS w FROM m GROUP BY 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY gap, u, a, b, owner) AS rank FROM m QUALIFY rank <= 10)
+SELECT i.item_id, CAST(coalesce(rank, 0) AS INTEGER) AS rank, gap, u, a AS sale_id, CAST(b AS BIGINT) AS line_no, owner AS line_item_id, CAST(coalesce(n, 0) AS BIGINT) AS n_pairs, CAST(coalesce(g, 0) AS BIGINT) AS gap_sum, CAST(coalesce(s.w, 0) AS BIGINT) AS lines_crc
+FROM i LEFT JOIN s ON s.item_id = i.item_id LEFT JOIN k ON k.item_id = i.item_id
+"""
+
+OP13_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM d),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 6) t(k) WHERE len(w) >= k),
+n AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM w GROUP BY 1),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT * FROM f s WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM f o WHERE o.lang = s.lang AND o.k > s.k AND 100 * o.f >= 100 * s.f AND contains(' ' || o.phrase || ' ', ' ' || s.phrase || ' '))),
+t AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM c),
+q AS (SELECT t.lang, t.phrase, t.f AS a, cut, x.f AS l, y.f AS r, n, (1000 * CAST(t.f AS HUGEINT) * n) // (CAST(x.f AS HUGEINT) * y.f) AS score FROM t JOIN n USING (lang)
+  JOIN f x ON x.lang = t.lang AND x.phrase = array_to_string(w[1:cut], ' ') JOIN f y ON y.lang = t.lang AND y.phrase = array_to_string(w[cut + 1:], ' ')),
+b AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM b QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard_join": OP4_SQL, "op5_quality_rules": OP5_SQL, "op10_warc": OP10_SQL}
+    return {"op12_band_join": OP12_SQL, "op13_collocations": OP13_SQL, "op4_jaccard_join": OP4_SQL, "op5_quality_rules": OP5_SQL, "op10_warc": OP10_SQL}
