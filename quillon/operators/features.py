@@ -40,33 +40,16 @@ def tf_idf(df: DataFrame, key: str, text: str, grams: int = 2, max_df: float = 0
     return raw.join(length, key).select(key, "term", (F.col("_x") / F.col("_l")).alias("weight"))
 
 
-def truncated_svd(weights: DataFrame, key: str, rank: int, oversample: int = 10, rounds: int = 3, seed: int = 2024, places: int = 1 << 14) -> DataFrame:
-    """(key, x): rows of a long (key, term, weight) table on their first singular directions, by a randomised range finder.
+def truncated_svd(weights: DataFrame, key: str, rank: int, **how) -> DataFrame:
+    """(key, x): rows of a long (key, term, weight) table, each cell once, on their leading `rank` right singular directions.
 
-    Terms are hashed to `places`; each round multiplies by the matrix and its
-    transpose as joins with a places x (rank + oversample) table, which alone
-    reaches the driver.
+    See spectra.singular_directions; `how` goes to its solver.
     """
-    width = rank + oversample
-    rows = weights.select(key, F.pmod(F.xxhash64("term"), F.lit(places)).cast("int").alias("_p"), F.col("weight").alias("_w"))
-    rows = rows.groupBy(key, "_p").agg(F.sum("_w").alias("_w"))
-    spark = weights.sparkSession
-    right = np.linalg.qr(np.random.Generator(np.random.PCG64(seed)).standard_normal((places, width)))[0]
-
-    def table(m):
-        return spark.createDataFrame([(int(k), [float(v) for v in m[k]]) for k in range(places)], "_p int, x array<double>")
-
-    def project(m):
-        return vector_sum(rows.join(F.broadcast(table(m)), "_p"), [key], V.scaled(F.col("x"), F.col("_w")), m.shape[1])
+    from quillon.operators import spectra
+    from quillon.sources.tables import cut
 
-    for turn in range(rounds):
-        back = vector_sum(rows.join(project(right), key), ["_p"], V.scaled(F.col("x"), F.col("_w")), width).toPandas()
-        total = np.zeros((places, width))
-        total[back["_p"]] = np.stack(back["x"].to_numpy()) if len(back) else 0
-        if turn + 1 < rounds:
-            right = np.linalg.qr(total)[0]
-    values, vectors = np.linalg.eigh(right.T @ total)
-    return project(right @ vectors[:, ::-1][:, :rank])
+    values, right = spectra.singular_directions(weights, key, "term", "weight", rank, **how)
+    return vector_sum(weights.join(cut(right), "term"), [key], V.scaled(F.col("x"), F.col("weight")), len(values))
 
 
 def standard_scaled(df: DataFrame, columns: list[str], fit_on=None) -> DataFrame:
@@ -148,15 +131,15 @@ def clusters(df: DataFrame, key: str, vec: str, k: int, seed: int = 1) -> DataFr
     return KMeans(k=k, seed=seed).fit(prepared).transform(prepared).select(key, F.col("prediction").alias("cluster"))
 
 
-def spectral_clusters(edges: DataFrame, k: int, seed: int = 1) -> DataFrame:
-    """(id, cluster): k-means of the rows, of length 1, of the leading singular directions of the normalised adjacency with loops."""
+def spectral_clusters(edges: DataFrame, k: int, seed: int = 1, **how) -> DataFrame:
+    """(id, cluster): k-means of the rows, of length 1, of the leading eigenvectors of the normalised adjacency with loops."""
     from quillon.operators import graph as G
+    from quillon.operators import spectra
     from quillon.sources.tables import cut
 
     both = G.mirrored(G.without_loops(edges)).withColumn("w", F.lit(1.0))
     nodes = both.select(F.col("src").alias("id")).distinct()
-    a = G.weighted_normalised(both, nodes).select(F.col("src").alias("id"), F.col("dst").cast("string").alias("term"), F.col("w").alias("weight"))
-    rows = cut(truncated_svd(cut(a), "id", k, places=1 << 12))
+    rows = cut(spectra.eigenpairs(cut(G.weighted_normalised(both, nodes)), k, **how).vectors)
     return clusters(rows.select("id", V.unit(F.col("x")).alias("x")), "id", "x", k, seed)
 
 
@@ -261,7 +244,7 @@ def group_embeddings(documents: DataFrame, group: str, text: str, size: int, how
     counts = cut(terms(documents, group, text, 1).groupBy(group, "term").agg(F.count("*").cast("double").alias("tf")))
     if how == "svd":
         weights = cut(tf_idf(documents, group, text, 1, max_df=1.0))
-        return truncated_svd(weights, group, size, places=1 << 12)
+        return truncated_svd(weights, group, size)
     top = counts.groupBy("term").agg(F.sum("tf").alias("n")).orderBy(F.desc("n"), "term").limit(size)
     chosen = cut(top.select("term", (F.row_number().over(Window.orderBy(F.desc("n"), "term")) - 1).alias("at")))  # `size` rows
     weights = counts if how == "counts" else tf_idf(documents, group, text, 1, max_df=1.0).withColumnRenamed("weight", "tf")

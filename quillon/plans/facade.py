@@ -29,7 +29,7 @@ def neighbourhood(edges: DataFrame, seed: int, depth: int = 2) -> DataFrame:
 def generate_embeddings(edges: DataFrame, rank: int = 16, how: str = "spectral") -> DataFrame:
     """(id, x): nodes on the singular directions of a pair matrix."""
     matrix = {"spectral": lambda e: graph.normalised(e, "sym"), "pmi": graph.positive_pmi, "walks": graph.log_walk_matrix, "katz": lambda e: graph.katz(e, 0.1, 2)}[how](edges)
-    return features.truncated_svd(cut(matrix.select(F.col("src").alias("id"), F.col("dst").cast("string").alias("term"), F.col("w").alias("weight"))), "id", rank)
+    return features.truncated_svd(cut(matrix.select(F.col("src").alias("id"), F.col("dst").alias("term"), F.col("w").alias("weight"))), "id", rank)
 
 
 def recommend(interactions: DataFrame, k: int = 10) -> DataFrame:

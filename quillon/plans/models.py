@@ -7,26 +7,56 @@ from pyspark.sql import functions as F
 from quillon.functions import text as X
 from quillon.operators import features as M
 from quillon.operators import graph as G
+from quillon.operators import spectra
 from quillon.operators import tables as O
+from quillon.operators import textmodels as T
 from quillon.plans.graphs import _edges, _nodes
 from quillon.plans.registry import query, rounded
-from quillon.sources.tables import cut, table
+from quillon.sources.tables import cut, new_path, table
+
+
+def _part_texts(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("t"))
 
 
 @query()
 def tfidf_svd(spark, d):
     """TF-IDF rows on their first eight singular directions."""
-    p = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("t"))
-    return M.truncated_svd(cut(M.tf_idf(p, "p_partkey", "t")), "p_partkey", 8, places=1 << 10)
+    p = _part_texts(spark, d)
+    return T.fit_text_model(p, "p_partkey", "t", 8).transform(p, "p_partkey", "t")
 
 
 @query()
 def count_svd(spark, d):
     """Counts of words and word pairs in at least two rows on their first eight singular directions."""
-    p = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("t"))
-    counts = M.terms(p, "p_partkey", "t").groupBy("p_partkey", "term").agg(F.count("*").cast("double").alias("weight"))
-    common = counts.groupBy("term").agg(F.count("*").alias("n")).filter("n >= 2").select("term")
-    return M.truncated_svd(cut(counts.join(common, "term")), "p_partkey", 8, places=1 << 10)
+    p = _part_texts(spark, d)
+    return T.fit_text_model(p, "p_partkey", "t", 8, min_df=2, idf=False).transform(p, "p_partkey", "t")
+
+
+@query()
+def text_model_transfer(spark, d):
+    """A model fitted on four fifths of the rows, saved, loaded, and applied to the rest."""
+    p = _part_texts(spark, d)
+    held = F.col("p_partkey") % 5 == 0
+    path = new_path(spark, "text-model")
+    T.fit_text_model(p.filter(~held), "p_partkey", "t", 8).save(path)
+    return T.load_text_model(spark, path).transform(p.filter(held), "p_partkey", "t")
+
+
+@query("""SELECT CAST(k AS BIGINT) AS place, true AS unit, true AS singular, true AS falling FROM range(8) t(k)""")
+def singular_residuals(spark, d):
+    """The fitted directions are unit vectors that the matrix and its transpose scale by squared singular values."""
+    p = _part_texts(spark, d)
+    weights = cut(M.tf_idf(p, "p_partkey", "t"))
+    values, right = spectra.singular_directions(weights, "p_partkey", "term", "weight", 8)
+    cells = lambda a, b: weights.select(F.col(a).alias("src"), F.col(b).alias("dst"), F.col("weight").alias("w"))
+    vectors = cut(right.withColumnRenamed("term", "id"))
+    image = spectra.times(cells("term", "p_partkey"), spectra.times(cells("p_partkey", "term"), vectors, 8), 8).withColumnRenamed("x", "y")
+    both = vectors.join(image, "id")
+    squares = [float(v) ** 2 for v in values]
+    one = both.agg(*(F.sqrt(F.sum(F.pow(F.col("y")[k] - squares[k] * F.col("x")[k], 2))).alias(f"r{k}") for k in range(8)), *(F.sum(F.pow(F.col("x")[k], 2)).alias(f"l{k}") for k in range(8)))
+    falling = [k == 0 or squares[k] <= squares[k - 1] for k in range(8)]
+    return one.select(F.inline(F.array(*(F.struct(F.lit(k).cast("bigint").alias("place"), (F.abs(F.col(f"l{k}") - 1) < 1e-9).alias("unit"), (F.col(f"r{k}") < 1e-6 * squares[0]).alias("singular"), F.lit(falling[k]).alias("falling")) for k in range(8)))))
 
 
 _G = """WITH g AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn, text) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1), w AS (SELECT conv_id, unnest(regexp_extract_all(lower(t), '[0-9A-Za-z_]{2,}')) AS term FROM g),
@@ -38,7 +68,7 @@ def _groups(spark, d):
 
 
 def _cells(weights):
-    return f"""SELECT g.conv_id, list(round(coalesce(f.x, 0), 6) ORDER BY k.place) AS x FROM g CROSS JOIN k LEFT JOIN ({weights}) f ON f.conv_id = g.conv_id AND f.term = k.term GROUP BY 1"""
+    return f"""SELECT g.conv_id, list(CAST(round(coalesce(f.x, 0), 6) AS DOUBLE) ORDER BY k.place) AS x FROM g CROSS JOIN k LEFT JOIN ({weights}) f ON f.conv_id = g.conv_id AND f.term = k.term GROUP BY 1"""
 
 
 @query(f"{_G} {_cells('SELECT conv_id, term, tf AS x FROM c')}")
@@ -115,10 +145,15 @@ def vector_clusters(spark, d):
     return M.clusters(table(spark, d, "embeddings"), "vec_id", "embedding", 10)
 
 
+def _symmetric(spark, d):
+    """The part graph without directions and loops, by the roots of both degrees."""
+    return cut(G.normalised(G.mirrored(G.without_loops(_edges(spark, d))), "sym"))
+
+
 @query()
 def spectral_clusters(spark, d):
     """Spectral clustering of the part graph."""
-    return M.spectral_clusters(_edges(spark, d), 4)
+    return M.spectral_clusters(_edges(spark, d), 4, block=32, basis=512, tolerance=1e-6)
 
 
 @query()
@@ -180,6 +215,21 @@ def walk_embeddings(spark, d):
 
 @query()
 def spectral_embedding(spark, d):
-    """Singular directions of the normalised adjacency."""
-    a = G.normalised(_edges(spark, d), "sym").select(F.col("src").alias("id"), F.col("dst").cast("string").alias("term"), F.col("w").alias("weight"))
-    return M.truncated_svd(cut(a), "id", 8, places=1 << 12)
+    """Eigenvectors of the normalised adjacency by absolute value, scaled by the roots of the values, rows of length 1."""
+    return spectra.spectral_embedding(_symmetric(spark, d), 8, block=32, basis=512, tolerance=1e-6)
+
+
+@query()
+def positional_vectors(spark, d):
+    """Eigenvectors of the largest values of the normalised adjacency, rows of length 1, filled with zeros."""
+    return spectra.positional_vectors(_symmetric(spark, d), 6, 8, block=32, basis=512, tolerance=1e-6)
+
+
+@query("SELECT CAST(k AS BIGINT) AS place, true AS unit, true AS eigen, CASE WHEN k = 0 THEN 1.0 END AS known FROM range(4) t(k)")
+def eigen_residuals(spark, d):
+    """Eigenpairs of the part graph, whose largest value is 1, by what the matrix makes of the vectors."""
+    a = _symmetric(spark, d)
+    found = spectra.eigenpairs(a, 4, block=32, basis=512, tolerance=1e-8)
+    kept = spectra.Spectrum(found.values, cut(found.vectors), found.residuals, found.steps)
+    r = spectra.residuals(a, kept)
+    return rounded(r.select("place", (F.abs(F.col("length") - 1) < 1e-9).alias("unit"), (F.col("residual") < 1e-6).alias("eigen"), F.when(F.col("place") == 0, F.round("value", 6)).alias("known")))
