@@ -113,13 +113,13 @@ def _stretches(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[tuple[
 def _frequent(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Whether the map may hold the keys."""
     found = np.ones(len(keys), bool)
-    for place in _bit_places(keys):
+    for place in _bit_places(keys, 64 * len(bits)):
         found &= (bits[place >> U64(6)] >> (place & U64(63))) & U64(1) == 1
     return found
 
 
-def _bit_places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = U64((1 << BITS) - 1)
+def _bit_places(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    mask = U64(size - 1)
     return keys & mask, (keys >> U64(32)) & mask
 
 
@@ -161,8 +161,8 @@ def _occurrences(docs: DataFrame, k: int, bits) -> DataFrame:
     return docs.mapInArrow(run, COUNTS)
 
 
-def _bit_map(level: DataFrame, k: int) -> bytes:
-    """The map of a level's phrases: 2 ** BITS bits whatever their number."""
+def _bit_map(level: DataFrame, k: int, bits: int) -> bytes:
+    """The map of a level's phrases: 2 ** bits bits whatever their number."""
 
     def run(batches):
         for batch in batches:
@@ -170,7 +170,7 @@ def _bit_map(level: DataFrame, k: int) -> bytes:
             w = W.Words(data, offsets, _CLASS == 0)
             marks = np.array([_language(x) for x in batch.column(0).to_pylist()], U64)
             keys = W.mix(_grams(w.hashes(), k, W._ODD)[w.ptr[:-1]] + marks) if len(marks) else np.zeros(0, U64)
-            place = np.concatenate(_bit_places(keys))
+            place = np.concatenate(_bit_places(keys, 1 << bits))
             place.sort()
             slots = place >> U64(6)
             first = np.flatnonzero(np.append(True, slots[1:] != slots[:-1])) if len(slots) else np.zeros(0, int)
@@ -178,15 +178,17 @@ def _bit_map(level: DataFrame, k: int) -> bytes:
             yield pa.RecordBatch.from_arrays([pa.array(slots[first].view(np.int64)), pa.array(values.view(np.int64))], names=["slot", "bits"])
 
     found = level.select("lang", "phrase").mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bits = np.zeros(1 << (BITS - 6), np.int64)
-    bits[found["slot"].to_numpy()] = found["bits"].to_numpy()
-    return bits.tobytes()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[found["slot"].to_numpy()] = found["bits"].to_numpy()
+    return out.tobytes()
 
 
-def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, lang_col: str = "lang", text_col: str = "text", map_bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """((lang, k, phrase, f): phrases of 1 to `longest` words that stand at least `least` times in their language, and (lang, n): words of each language).
 
-    One pass over the texts for each level, until a level has no phrase.
+    One pass over the texts for each level, until a level has no phrase.  The
+    map has 2 ** map_bits bits; with many more frequent phrases than an eighth
+    of that it thins out less, and counts stay right.
     """
     spark = docs.sparkSession
     plain = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -204,11 +206,11 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, lang_c
         if k < longest:
             if level.isEmpty():
                 break
-            bits = spark.sparkContext.broadcast(_bit_map(level, k))
+            bits = spark.sparkContext.broadcast(_bit_map(level, k, map_bits))
     return levels, totals
 
 
-def collocations(docs: DataFrame, least: int = 100, longest: int = 5, first: int = 2000, share: tuple[int, int] = (100, 100), lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, longest: int = 5, first: int = 2000, share: tuple[int, int] = (100, 100), lang_col: str = "lang", text_col: str = "text", map_bits: int = BITS) -> DataFrame:
     """Each language's `first` best phrases of 2 to `longest` words: (lang, rank, phrase, a, l, r, n, score).
 
     a is the phrase's count, l and r those of the parts of its lowest-scoring
@@ -222,7 +224,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, first: int
     empty table, or one without frequent phrases, gives no rows; other columns
     are not read.
     """
-    levels, totals = frequent_phrases(docs, least, longest, lang_col, text_col)
+    levels, totals = frequent_phrases(docs, least, longest, lang_col, text_col, map_bits)
     levels = store.cut(levels)
     words = F.split("phrase", " ", -1)
     part = lambda begin, size: F.array_join(F.slice(words, begin, size), " ")
