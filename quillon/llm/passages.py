@@ -142,42 +142,93 @@ def _shingles(raw: memoryview | bytes, gram: int) -> tuple[np.ndarray, W.Words]:
     return W.ngram_hashes(w.hashes(), gram), w
 
 
-def _matches(a: np.ndarray, b: np.ndarray, by_value: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place in a, place in b, length) of the maximal equal runs of a and b, over all occurrences, by their place in a; by_value is _ordered(b)."""
-    order, ordered = by_value or _ordered(b)
-    low = np.searchsorted(ordered, a)
-    n = np.searchsorted(ordered, a, side="right") - low
+def _after(x: np.ndarray) -> np.ndarray:
+    """A hash of each place's value and the one before it."""
+    return W.mix(x ^ W.mix(np.concatenate([np.zeros(min(1, len(x)), _U), x[:-1]]) + _U(1)))
+
+
+def _ordered(b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Places of b by value and the value before: (places, their values, pairs of both in order, where each pair's places begin and end)."""
+    pair = _after(b)
+    order = np.lexsort((pair, b))
+    pair = pair[order]
+    first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(b) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(b))
+    by = np.argsort(pair[first], kind="stable")
+    return order, b[order], pair[first][by], first[by], last[by]
+
+
+def _prefix(x: np.ndarray) -> np.ndarray:
+    power, _ = W._power_tables(len(x) + 1)
+    total = np.zeros(len(x) + 1, _U)
+    np.cumsum(x * power[: len(x)], out=total[1:])
+    return total
+
+
+def _common(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many places from i in a and from j in b on are equal: by hashes of stretches twice as long while they agree, then half as long."""
+    _, inverse = W._power_tables(max(len(a), len(b)) + 1)
+    sums = _prefix(a), _prefix(b)
+    size, most = np.zeros(len(i), np.int64), np.minimum(len(a) - i, len(b) - j)
+
+    def equal(at: np.ndarray, n: int) -> np.ndarray:
+        x, y = i[at] + size[at], j[at] + size[at]
+        return (sums[0][x + n] - sums[0][x]) * inverse[x] == (sums[1][y + n] - sums[1][y]) * inverse[y]
+
+    open_, n, steps = np.arange(len(i)), 1, []
+    while len(open_):
+        open_ = open_[size[open_] + n <= most[open_]]
+        open_ = open_[equal(open_, n)]
+        size[open_] += n
+        steps.append(n)
+        n *= 2
+    for n in reversed(steps):
+        at = np.flatnonzero(size + n <= most)
+        size[at[equal(at, n)]] += n
+    return size
+
+
+def _matches(a: np.ndarray, b: np.ndarray, by_value: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in a, place in b, length) of the maximal equal runs of a and b, over all occurrences, by their place in a; by_value is _ordered(b).
+
+    Only pairs of places that begin a run are made: equal values with unequal
+    ones before.  Two texts of one word repeated have as many as places, not
+    as pairs of places.
+    """
+    if not len(a) or not len(b):
+        return (np.zeros(0, np.int64),) * 3
+    order, values, pairs, first, last = by_value or _ordered(b)
+    low, high = np.searchsorted(values, a), np.searchsorted(values, a, side="right")
+    pair = _after(a)
+    at = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+    same = pairs[at] == pair
+    same[:1] = False
+    # the places of the same value before are left out, but for one at the beginning of b
+    skip, resume = np.where(same, first[at], high), np.where(same, last[at], high)
+    n = (skip - low) + (high - resume)
     total = np.cumsum(n)
-    runs, at = [], 0
-    while at < len(a):  # places of a with about PAIRS places of b at a time
-        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, side="right")))
-        i = np.repeat(np.arange(at, end), n[at:end])
-        nth = np.arange(len(i)) - np.repeat(np.cumsum(n[at:end]) - n[at:end], n[at:end])
-        runs.append(_joined((order[low[i] + nth] - i + len(a)) * np.int64(len(a) + 1) + i, 1))
-        at = end
-    if len(runs) != 1:
-        runs = [_joined(*(np.concatenate([r[k] for r in runs]) for k in (0, 1)))] if runs else [(np.zeros(0, np.int64),) * 2]
-    key, size = runs[0]
-    i = key % (len(a) + 1)
-    j = key // (len(a) + 1) - len(a) + i
+    begin = np.zeros(len(a) + 1, np.int64)
+    begin[1:] = total
+    parts, k = [], 0
+    while k < len(a):  # places of a with about PAIRS places of b at a time
+        end = max(k + 1, int(np.searchsorted(total, begin[k] + PAIRS, side="right")))
+        i = np.repeat(np.arange(k, end), n[k:end])
+        nth = np.arange(len(i)) - np.repeat(begin[k:end] - begin[k], n[k:end])
+        place = low[i] + nth
+        place = np.where(place < skip[i], place, place + resume[i] - skip[i])
+        j = order[place]
+        parts.append((i, j, _common(a, b, i, j)) if len(i) else (i, j, i))
+        k = end
+    # b's beginning has nothing before it, whatever its hash says
+    more = np.flatnonzero((a == b[0]) & same & (pair == _after(b[:1])[0]))
+    if len(more):
+        zero = np.zeros(len(more), np.int64)
+        parts.append((more, zero, _common(a, b, more, zero)))
+    i, j, size = (np.concatenate([p[k] for p in parts]) for k in range(3))
     by = np.lexsort((j, i))
     return i[by], j[by], size[by]
 
 
-def _ordered(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(b, kind="stable")
-    return order, b[order]
-
-
-def _joined(key: np.ndarray, size: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of keys joined where one ends as the next begins: a key is a diagonal and a place on it."""
-    size = np.broadcast_to(size, key.shape)
-    by = np.argsort(key, kind="stable")
-    key, size = key[by], size[by]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1] + size[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return key[first], np.add.reduceat(size, first) if len(first) else np.zeros(0, np.int64)
-
-
 def verify(a: np.ndarray, b: np.ndarray, width: int, num: int, den: int, by_value: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int, int, int, float]]:
     """Near-duplicate passages of two shingle sequences: (start, length, start, length, similarity), in shingles.
 
@@ -334,6 +385,29 @@ def _chains(i: np.ndarray, j: np.ndarray, size: np.ndarray, num: int, den: int,
         yield i[k] + o, j[k] + o, size[k] - o
 
 
+class _Distinct:
+    """Distinct values of two stretches, common to both and of either, while the stretches are cut at their ends."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        values, number = np.unique(np.concatenate([x, y]), return_inverse=True)
+        self.sides = [number[: len(x)], number[len(x) :]]
+        self.counts = [np.bincount(side, minlength=len(values)) for side in self.sides]
+        here, there = (c > 0 for c in self.counts)
+        self.common, self.union = int((here & there).sum()), int((here | there).sum())
+
+    def cut(self, n: int, m: int, end: int) -> None:
+        """Takes n places off the first stretch and m off the second, at the beginning (end = 0) or the end (-1)."""
+        for k, size in ((0, n), (1, m)):
+            side = self.sides[k]
+            gone, self.sides[k] = (side[:size], side[size:]) if end == 0 else (side[len(side) - size :], side[: len(side) - size])
+            which, times = np.unique(gone, return_counts=True)
+            self.counts[k][which] -= times
+            which = which[self.counts[k][which] == 0]
+            other = int((self.counts[1 - k][which] > 0).sum())
+            self.common -= other
+            self.union -= len(which) - other
+
+
 def _stretches(a: np.ndarray, b: np.ndarray, chain: tuple, width: int, num: int, den: int, found: list) -> None:
     """Adds the stretches of a chain that are similar enough to found."""
     i, j, size = chain
@@ -353,20 +427,21 @@ def _stretches(a: np.ndarray, b: np.ndarray, chain: tuple, width: int, num: int,
             continue
         p = int(starts[far[starts].argmax()])
         q = int(far[p])
+        both = _Distinct(a[i[p] : last[q]], b[j[p] : last2[q]])
         while p <= q and last[q] - i[p] >= width:
             s, e, s2, e2 = int(i[p]), int(last[q]), int(j[p]), int(last2[q])
-            x, y = np.unique(a[s:e]), np.unique(b[s2:e2])
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            union = len(x) + len(y) - common
-            if den * common >= num * union:
+            if den * both.common >= num * both.union:
                 if not any(f[0] <= s and e <= f[0] + f[1] for f in found):
-                    found.append((s, e - s, s2, e2 - s2, common / union))
+                    found.append((s, e - s, s2, e2 - s2, both.common / both.union))
                 break
             # the end whose run earns less over its gap goes
             if p < q and after[p] - before[p] - cost[p + 1] < after[q] - before[q] - cost[q]:
                 p += 1
+                both.cut(int(i[p]) - s, int(j[p]) - s2, 0)
             else:
                 q -= 1
+                if q >= p:
+                    both.cut(e - int(last[q]), e2 - int(last2[q]), -1)
         cur = max(cur, q) + 1
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -379,6 +380,41 @@ def test_verify_sees_every_place_of_a_shingle(seed):
         assert n >= 12 and abs(sim - len(u & v) / len(u | v)) < 1e-9 and sim >= 0.8
 
 
+def _grams(texts):
+    return passages._shingles(" ".join(texts).encode(), 5)[0]
+
+
+def test_verify_of_repetitive_texts():
+    """One word, or one phrase, as often as a million times: seconds, not hours."""
+    phrase = [f"w{k}" for k in range(37)]
+    began = time.time()
+    for n, one in ((1_000_000, ["spam"]), (300_000, phrase)):
+        many = (one * (n // len(one) + 1))[:n]
+        a, b = _grams([*many, "x", "y"]), _grams(["z", "q", *many, "u"])
+        found = passages.verify(a, b, 46, 80, 100)
+        inside = np.zeros(len(a), bool)
+        for s, k, *_ in found:
+            inside[s : s + k] = True
+        assert inside[: n - 4].all()
+    assert time.time() - began < 60
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_runs_are_those_of_all_pairs(seed):
+    rng = np.random.default_rng(seed)
+    for _ in range(200):
+        a, b = (W.mix(rng.integers(0, rng.integers(1, 6), rng.integers(0, 30)).astype(np.uint64)) for _ in range(2))
+        want = []
+        for i in range(len(a)):
+            for j in range(len(b)):
+                if a[i] == b[j] and (i == 0 or j == 0 or a[i - 1] != b[j - 1]):
+                    n = 0
+                    while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                        n += 1
+                    want.append((i, j, n))
+        assert list(zip(*(x.tolist() for x in passages._matches(a, b)))) == want
+
+
 def test_verify_with_a_teaser():
     """b has the first half of the passage as a teaser before the whole."""
     run, other = np.arange(56), np.arange(1000, 1040)
