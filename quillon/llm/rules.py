@@ -14,10 +14,10 @@ from pyspark.sql import types as T
 
 from . import words as W
 
-#: Largest shares allowed of characters in duplicated n-grams, and in repeated lines (fixed values).  They are about twice
-#: those of published repetition rules, as the first occurrence counts here too: a clean short text may repeat one sentence.
-NGRAM_SHARE = {5: 0.30, 8: 0.28, 10: 0.26}
-LINE_SHARE = 0.30
+#: Largest shares allowed of characters in duplicated n-grams, the first occurrence included (fixed values, those of
+#: published repetition rules), and in lines equal to an earlier one (half of theirs, as the earlier line doesn't count).
+NGRAM_SHARE = {5: 0.15, 8: 0.12, 10: 0.10}
+LINE_SHARE = 0.10
 
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 _START = (np.arange(256) & 0xC0) != 0x80  # bytes that begin a code point

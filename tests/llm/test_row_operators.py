@@ -355,3 +355,34 @@ def test_repeated_and_null_ids(spark):
     df = table(spark, ["one two", "one two", None], [7, 7, None])
     for made in (licenses.scan_licenses(df), tokens.count_tokens(df, BPE), rules.quality_rules(df)):
         assert sorted((r["doc_id"] is None, r["doc_id"]) for r in made.collect()) == [(False, 7), (False, 7), (True, None)]
+
+
+def test_every_repetition_rule_decides(spark):
+    """Texts that the base rules keep and one measure of repetition alone drops; what repeats once and shortly stays."""
+    rng = np.random.default_rng(8)
+    fresh = lambda n: [f"u{x}" for x in rng.integers(0, 10**9, n)]
+    five, eight, ten, line = fresh(5), fresh(8), fresh(10), fresh(4)
+    texts = [
+        " ".join(sum(([*fresh(45), *five] for _ in range(3)), []) + five * 0 + sum(([*fresh(9), *five] for _ in range(3)), [])),
+        " ".join(fresh(90) + eight + fresh(9) + eight),
+        " ".join(fresh(150) + ten + fresh(9) + ten),
+        "\n".join([" ".join(fresh(12)), " ".join(line), " ".join(fresh(12)), " ".join(line), " ".join(fresh(12)), " ".join(line), " ".join(fresh(12)), " ".join(line)]),
+        " ".join(fresh(200) + five + fresh(9) + five),
+    ]
+    got = {r["doc_id"]: r for r in rows(rules.quality_rules(table(spark, texts)))}
+    assert not any(r["base_failed"] for r in got.values())
+    over = [(r["share_5"] > rules.NGRAM_SHARE[5], r["share_8"] > rules.NGRAM_SHARE[8], r["share_10"] > rules.NGRAM_SHARE[10], r["share_lines"] > rules.LINE_SHARE) for _, r in sorted(got.items())]
+    assert over == [(True, False, False, False), (False, True, False, False), (False, False, True, False), (False, False, False, True), (False,) * 4]
+    assert [got[k]["kept"] for k in range(5)] == [False] * 4 + [True]
+
+
+def test_repetition_goes_with_bad_labels(spark):
+    """Of what the base rules keep, the method drops documents labelled bad at over twice the rate of good ones, and few good ones."""
+    sf = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    dropped = {0: [], 1: []}
+    for r in rows(queries.op5_quality_rules(spark, sf)):
+        if not r["base_failed"] and labels.get(r["doc_id"]) in dropped:
+            dropped[labels[r["doc_id"]]].append(not r["kept"])
+    bad, good = np.mean(dropped[0]), np.mean(dropped[1])
+    assert sum(dropped[0]) >= 7 and bad > 2 * good and good < 0.01
