@@ -21,6 +21,8 @@ with a verbatim passage apart.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,8 +36,8 @@ from .store import cut, fresh, kept, new_path, remove, scratch, written, written
 _U = np.uint64
 #: Bytes of text whose windows are sought at once, so that the arrays stay in a core's cache.
 CACHED = 1 << 18
-#: Places of equal shingles in two texts that are looked at together.
-PAIRS = 1 << 20
+#: Places of equal shingles in two texts that are looked at together; with so many a place, on average, only those that begin a run are.
+PAIRS, EVERY_PAIR = 1 << 20, 4
 #: Later documents that meet an earlier one in one task, on average.
 TOGETHER = 2_000
 _SALTS = W.mix(np.arange(1, 65, dtype=_U) * _U(0xABCDEF123456789))
@@ -147,15 +149,24 @@ def _after(x: np.ndarray) -> np.ndarray:
     return W.mix(x ^ W.mix(np.concatenate([np.zeros(min(1, len(x)), _U), x[:-1]]) + _U(1)))
 
 
-def _ordered(b: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Places of b by value and the value before: (places, their values, pairs of both in order, where each pair's places begin and end)."""
-    pair = _after(b)
-    order = np.lexsort((pair, b))
-    pair = pair[order]
-    first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(b) else np.zeros(0, np.int64)
-    last = np.append(first[1:], len(b))
-    by = np.argsort(pair[first], kind="stable")
-    return order, b[order], pair[first][by], first[by], last[by]
+class _Places:
+    """The places of a sequence by value and, when first asked for, by value and the value before."""
+
+    def __init__(self, b: np.ndarray):
+        self.b = b
+        self.order = np.argsort(b, kind="stable")
+        self.values = b[self.order]
+
+    @functools.cached_property
+    def by_pair(self) -> tuple[np.ndarray, ...]:
+        """(places, the pairs of both values in order, where each pair's places begin and end)."""
+        pair = _after(self.b)
+        order = np.lexsort((pair, self.b))
+        pair = pair[order]
+        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        last = np.append(first[1:], len(self.b))
+        by = np.argsort(pair[first], kind="stable")
+        return order, pair[first][by], first[by], last[by]
 
 
 def _prefix(x: np.ndarray) -> np.ndarray:
@@ -188,17 +199,40 @@ def _common(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.nd
     return size
 
 
-def _matches(a: np.ndarray, b: np.ndarray, by_value: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place in a, place in b, length) of the maximal equal runs of a and b, over all occurrences, by their place in a; by_value is _ordered(b).
+def _matches(a: np.ndarray, b: np.ndarray, places: _Places | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in a, place in b, length) of the maximal equal runs of a and b, over all occurrences, by their place in a; places are b's.
 
-    Only pairs of places that begin a run are made: equal values with unequal
-    ones before.  Two texts of one word repeated have as many as places, not
-    as pairs of places.
+    Few pairs of equal places are all made and joined along diagonals.  Where
+    shingles repeat, only pairs that begin a run are made, equal values with
+    unequal ones before: two texts of one word repeated have as many of these
+    as places, not as pairs of places.  Both ways give the same runs.
     """
     if not len(a) or not len(b):
         return (np.zeros(0, np.int64),) * 3
-    order, values, pairs, first, last = by_value or _ordered(b)
-    low, high = np.searchsorted(values, a), np.searchsorted(values, a, side="right")
+    places = places or _Places(b)
+    low, high = np.searchsorted(places.values, a), np.searchsorted(places.values, a, side="right")
+    n = high - low
+    if n.sum() <= EVERY_PAIR * (len(a) + len(b)):
+        i = np.repeat(np.arange(len(a)), n)
+        j = places.order[np.arange(len(i)) - np.repeat(np.cumsum(n) - n - low, n)]
+        key, size = _joined((j - i + len(a)) * np.int64(len(a) + 1) + i, 1)
+        i = key % (len(a) + 1)
+        j = key // (len(a) + 1) - len(a) + i
+    else:
+        i, j, size = _begun(a, b, low, high, places)
+    by = np.lexsort((j, i))
+    return i[by], j[by], size[by]
+
+
+def _joined(key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of keys joined where one ends as the next begins: a key is a diagonal and a place on it."""
+    key = np.sort(key)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1] + size])) if len(key) else np.zeros(0, np.int64)
+    return key[first], size * np.diff(np.append(first, len(key)))
+
+
+def _begun(a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray, places: _Places) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order, pairs, first, last = places.by_pair
     pair = _after(a)
     at = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
     same = pairs[at] == pair
@@ -206,30 +240,23 @@ def _matches(a: np.ndarray, b: np.ndarray, by_value: tuple[np.ndarray, ...] | No
     # the places of the same value before are left out, but for one at the beginning of b
     skip, resume = np.where(same, first[at], high), np.where(same, last[at], high)
     n = (skip - low) + (high - resume)
-    total = np.cumsum(n)
-    begin = np.zeros(len(a) + 1, np.int64)
-    begin[1:] = total
+    begin = np.concatenate([[0], np.cumsum(n)])
     parts, k = [], 0
     while k < len(a):  # places of a with about PAIRS places of b at a time
-        end = max(k + 1, int(np.searchsorted(total, begin[k] + PAIRS, side="right")))
+        end = max(k + 1, int(np.searchsorted(begin[1:], begin[k] + PAIRS, side="right")))
         i = np.repeat(np.arange(k, end), n[k:end])
-        nth = np.arange(len(i)) - np.repeat(begin[k:end] - begin[k], n[k:end])
-        place = low[i] + nth
-        place = np.where(place < skip[i], place, place + resume[i] - skip[i])
-        j = order[place]
-        parts.append((i, j, _common(a, b, i, j)) if len(i) else (i, j, i))
+        place = low[i] + np.arange(len(i)) - np.repeat(begin[k:end] - begin[k], n[k:end])
+        j = order[np.where(place < skip[i], place, place + resume[i] - skip[i])]
+        parts.append((i, j, _common(a, b, i, j)))
         k = end
     # b's beginning has nothing before it, whatever its hash says
     more = np.flatnonzero((a == b[0]) & same & (pair == _after(b[:1])[0]))
-    if len(more):
-        zero = np.zeros(len(more), np.int64)
-        parts.append((more, zero, _common(a, b, more, zero)))
-    i, j, size = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    by = np.lexsort((j, i))
-    return i[by], j[by], size[by]
+    zero = np.zeros(len(more), np.int64)
+    parts.append((more, zero, _common(a, b, more, zero)))
+    return tuple(np.concatenate([p[k] for p in parts]) for k in range(3))
 
 
-def verify(a: np.ndarray, b: np.ndarray, width: int, num: int, den: int, by_value: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int, int, int, float]]:
+def verify(a: np.ndarray, b: np.ndarray, width: int, num: int, den: int, places: _Places | None = None) -> list[tuple[int, int, int, int, float]]:
     """Near-duplicate passages of two shingle sequences: (start, length, start, length, similarity), in shingles.
 
     Maximal equal runs, over all occurrences of a shingle, are chained in
@@ -242,7 +269,7 @@ def verify(a: np.ndarray, b: np.ndarray, width: int, num: int, den: int, by_valu
     """
     if not len(a) or not len(b):
         return []
-    i, j, size = _matches(a, b, by_value)
+    i, j, size = _matches(a, b, places)
     if size.sum() < width * num // den:
         return []
     for _ in range(2):  # what one side leaves may thin out the other
@@ -549,7 +576,7 @@ def _verify_pairs(base: DataFrame, pairs: DataFrame, id_type: T.DataType, width:
 
     def run(batches):
         for t in batches:
-            rows, last, b, by_value = [], None, None, None
+            rows, last, b, places = [], None, None, None
             for lo, hi, w in W.batches_of(t.column(2), lower=True, limit=CACHED):
                 grams = W.ngram_hashes(w.hashes(), gram)
                 for k in range(lo, hi):
@@ -557,9 +584,9 @@ def _verify_pairs(base: DataFrame, pairs: DataFrame, id_type: T.DataType, width:
                     raw = t.column(3)[k].as_buffer()
                     if last is None or not raw.equals(last):
                         last, b = raw, _shingles(raw, gram)[0]
-                        by_value = _ordered(b)
+                        places = _Places(b)
                     base = int(w.offsets[k - lo])
-                    for s, n, s2, n2, sim in verify(grams[first : max(first, end - gram + 1)], b, width, num, den, by_value):
+                    for s, n, s2, n2, sim in verify(grams[first : max(first, end - gram + 1)], b, width, num, den, places):
                         rows.append((t.column(0)[k].as_py(), s, n + gram - 1, int(w.starts[first + s]) - base, int(w.ends[first + s + n + gram - 2]) - base, t.column(1)[k].as_py(), s2, n2 + gram - 1, sim, t.column(4)[k].as_py()))
             doc = t.schema.field(0).type
             types = (doc, pa.int32(), pa.int32(), pa.int64(), pa.int64(), doc, pa.int32(), pa.int32(), pa.float64(), pa.int64())

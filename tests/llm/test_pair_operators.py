@@ -400,7 +400,8 @@ def test_verify_of_repetitive_texts():
 
 
 @pytest.mark.parametrize("seed", range(5))
-def test_runs_are_those_of_all_pairs(seed):
+def test_runs_are_those_of_all_pairs(seed, monkeypatch):
+    monkeypatch.setattr(passages, "EVERY_PAIR", [0, 0, 1, 4, 99][seed])
     rng = np.random.default_rng(seed)
     for _ in range(200):
         a, b = (W.mix(rng.integers(0, rng.integers(1, 6), rng.integers(0, 30)).astype(np.uint64)) for _ in range(2))
