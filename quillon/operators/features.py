@@ -100,28 +100,12 @@ def principal_components(df: DataFrame, key: str, vec: str, k: int) -> DataFrame
     return PCA(k=k, inputCol="_v", outputCol="_o").fit(prepared).transform(prepared).select(key, vector_to_array("_o").alias("x"))
 
 
-def boosted_folds(df: DataFrame, features: list[str], label: str, fold: str, key: str, rounds: int = 20, depth: int = 4, patience: float = 0.01) -> tuple[DataFrame, DataFrame]:
-    """Out-of-fold probabilities (key, prob) of gradient-boosted trees, and importances (fold, feature, importance, trees).
+def boosted_folds(df: DataFrame, features: list[str], label: str, fold: str, key: str, how=None) -> tuple[DataFrame, DataFrame]:
+    """Out-of-fold probabilities (key, prob) of gradient-boosted trees, and importances (fold, feature, importance, trees); see trees.fit_folds."""
+    from quillon.operators import trees
 
-    One model a fold, null features as -1.  The held fold is the validation
-    set: boosting stops when its error no longer falls by `patience`, and
-    `trees` says how many were kept.
-    """
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    from quillon.sources.tables import cut
-
-    plain = df.fillna(-1.0, features).select(key, fold, F.col(label).cast("double").alias(label), *features)
-    prepared = VectorAssembler(inputCols=features, outputCol="_v").transform(cut(plain))
-    out, weights = None, []
-    for (k,) in prepared.select(fold).distinct().orderBy(fold).collect():  # one row a fold
-        marked = prepared.withColumn("_held", F.col(fold) == k)
-        model = GBTClassifier(labelCol=label, featuresCol="_v", maxIter=rounds, maxDepth=depth, seed=2024, validationIndicatorCol="_held", validationTol=patience).fit(marked)
-        part = model.transform(marked.filter("_held")).select(key, F.get(vector_to_array("probability"), F.lit(1)).alias("prob"))
-        out = part if out is None else out.unionByName(part)
-        weights += [(int(k), name, float(x), int(model.getNumTrees)) for name, x in zip(features, model.featureImportances.toArray())]
-    return out, df.sparkSession.createDataFrame(weights, f"{fold} int, feature string, importance double, trees int")
+    model = trees.fit_folds(df, features, label, fold, key, how)
+    return model.transform(df.filter(F.col(fold).isNotNull() & F.col(label).isNotNull()), key, fold), model.importances(df.sparkSession)
 
 
 def clusters(df: DataFrame, key: str, vec: str, k: int, seed: int = 1) -> DataFrame:

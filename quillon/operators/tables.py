@@ -185,10 +185,17 @@ def chronological_split(df: DataFrame, series: Sequence[str], order: str, shares
 
 
 def pair_windows(walks: DataFrame, walk: str, place: str, node: str, window: int) -> DataFrame:
-    """(walk, centre, context) for nodes at most window places apart in a walk."""
-    near = walks.select(F.col(walk).alias("_w"), F.col(place).alias("_p"), F.col(node).alias("context"))
-    gap = F.abs(F.col(place) - F.col("_p"))
-    return walks.join(near, (F.col(walk) == F.col("_w")) & gap.between(1, window)).select(walk, F.col(node).alias("centre"), "context")
+    """(walk, centre, context) for nodes at most window places apart in a walk; a place holds one node.
+
+    The `window` rows ahead come from one window over the walk, and every pair
+    is told from both its ends: no walk is joined with itself.
+    """
+    w = Window.partitionBy(walk).orderBy(place)
+    ahead = F.array(*(F.lead(F.struct(F.col(place).alias("p"), F.col(node).alias("n")), k).over(w) for k in range(1, window + 1)))
+    rows = walks.select(walk, F.col(place).alias("_p"), F.col(node).alias("_n"), ahead.alias("_a"))
+    near = rows.select(walk, "_p", "_n", F.explode("_a").alias("_x")).filter(F.col("_x.p") - F.col("_p") <= window)
+    ends = F.array(F.struct(F.col("_n").alias("centre"), F.col("_x.n").alias("context")), F.struct(F.col("_x.n").alias("centre"), F.col("_n").alias("context")))
+    return near.select(walk, F.explode(ends).alias("_e")).select(walk, "_e.centre", "_e.context")
 
 
 # --------------------------------------------------------------- sampling and splits

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import evaluate as E
 from quillon.operators import features as M
+from quillon.operators import tables as O
 from quillon.plans import facade as A
 from quillon.plans.registry import query, rounded
 from quillon.plans.similarity import _AUC, _SCORED, _scored
@@ -81,20 +82,30 @@ def adjacency_file(spark, d):
     return S.read_adjacency(spark, to)
 
 
-@query("""WITH n AS (SELECT n_regionkey AS g, n_nationkey AS k, row_number() OVER (ORDER BY n_regionkey, n_nationkey) AS node FROM nation), f AS (SELECT g, min(node) AS first FROM n GROUP BY 1)
+@query("""WITH n AS (SELECT c_nationkey AS g, row_number() OVER (ORDER BY c_nationkey, c_custkey) AS node FROM customer), f AS (SELECT g, min(node) AS first FROM n GROUP BY 1)
 SELECT CAST(a.g + 1 AS BIGINT) AS graph_id, a.node - first AS src, b.node - first AS dst FROM n a JOIN n b ON a.g = b.g AND b.node = a.node + 1 JOIN f ON f.g = a.g""")
 def collection_files(spark, d):
-    """Graphs in line files, the nations of a region in a row."""
-    from pyspark.sql import Window
-
-    n = table(spark, d, "nation").select("n_regionkey", F.row_number().over(Window.orderBy("n_regionkey", "n_nationkey")).alias("node"))  # 25 rows
+    """Graphs in line files of several parts, the customers of a nation in a row."""
+    c = table(spark, d, "customer").select("c_nationkey", "c_custkey")
+    n = O.dense_positions(c, [F.asc("c_nationkey"), F.asc("c_custkey")], "k")
     base = new_path(spark, "collection")
-    n.orderBy("node").coalesce(1).select((F.col("n_regionkey") + 1).cast("string").alias("value")).write.text(f"{base}/indicator")
-    ahead = n.withColumn("next", F.lead("node").over(Window.partitionBy("n_regionkey").orderBy("node"))).filter("next is not null")
-    ahead.select(F.concat_ws(", ", "node", "next").alias("value")).write.text(f"{base}/edges")
+    n.repartitionByRange(4, "k").sortWithinPartitions("k").select((F.col("c_nationkey") + 1).cast("string").alias("value")).write.text(f"{base}/indicator")
+    ahead = n.join(n.select(F.col("c_nationkey").alias("g"), (F.col("k") - 1).alias("k")), "k").filter("c_nationkey = g")
+    ahead.select(F.concat_ws(", ", F.col("k") + 1, F.col("k") + 2).alias("value")).write.text(f"{base}/edges")
     return rounded(S.read_collection(spark, f"{base}/edges", f"{base}/indicator")[1])
 
 
+@query("""WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS line, o_orderkey FROM orders)
+SELECT l_partkey AS id, list(line ORDER BY line) AS labels FROM (SELECT DISTINCT l_partkey, line FROM lineitem JOIN o ON l_orderkey = o_orderkey) GROUP BY 1""")
+def community_files(spark, d):
+    """Communities in line files of several parts, the parts of an order on a line."""
+    parts = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.concat_ws(" ", F.collect_set(F.col("l_partkey").cast("string"))).alias("value"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey")).join(parts, "l_orderkey", "left")
+    to = new_path(spark, "communities")
+    o.repartitionByRange(5, "l_orderkey").sortWithinPartitions("l_orderkey").select(F.coalesce("value", F.lit("")).alias("value")).write.text(to)
+    return S.community_labels(S.numbered_lines(spark.read.text(to)))
+
+
 @query("SELECT DISTINCT l_suppkey AS h, CAST(ascii(l_returnflag) AS BIGINT) AS r, l_partkey AS t, 'train' AS split FROM lineitem")
 def triples_file(spark, d):
     """S16."""

@@ -532,12 +532,12 @@ def isomorphism_layer(spark, d):
     return rounded(n.join(g, "id", "left").select("id", V.plus(V.scaled(F.col("x"), F.lit(1.1)), F.coalesce("g", zeros)).alias("x")))
 
 
-@query(f"""WITH c AS (SELECT label, vec_id, list_max(embedding[1:16]) AS conf, vec_id % 3 AS clu FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY conf DESC, vec_id) AS k FROM c WHERE clu = label % 3)
+@query(f"""WITH c AS (SELECT label, vec_id, list_max(embedding) AS conf, vec_id % 3 AS clu FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY conf DESC, vec_id) AS k FROM c WHERE clu = label % 3)
 SELECT vec_id, CAST(label AS BIGINT) AS label FROM r WHERE k <= 5""")
 def self_training_expansion(spark, d):
     """The most confident rows of each class whose cluster agrees."""
     from pyspark.sql import Window
 
-    e = table(spark, d, "embeddings").select("label", "vec_id", F.array_max(F.slice("embedding", 1, 16)).alias("conf")).filter("vec_id % 3 = label % 3")
+    e = table(spark, d, "embeddings").select("label", "vec_id", F.array_max("embedding").alias("conf")).filter("vec_id % 3 = label % 3")
     k = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("conf"), "vec_id"))
     return rounded(e.withColumn("k", k).filter("k <= 5").select("vec_id", "label"))

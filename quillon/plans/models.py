@@ -10,6 +10,7 @@ from quillon.operators import graph as G
 from quillon.operators import spectra
 from quillon.operators import tables as O
 from quillon.operators import textmodels as T
+from quillon.operators.trees import How
 from quillon.plans.graphs import _edges, _nodes
 from quillon.plans.registry import query, rounded
 from quillon.sources.tables import cut, new_path, table
@@ -124,12 +125,12 @@ def _boosted(spark, d):
     folds = O.group_folds(o.select("o_custkey", (F.col("o_orderstatus") == "F").cast("int").alias("y")), "o_custkey", "y", 3)
     lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
     rows = o.join(folds, "o_custkey").join(lines, "o_orderkey", "left").select("o_orderkey", "fold", (F.col("o_orderstatus") == "F").cast("int").alias("y"), "o_totalprice", "n", "q")
-    return M.boosted_folds(rows, ["o_totalprice", "n", "q"], "y", "fold", "o_orderkey", 5, 3)
+    return M.boosted_folds(cut(rows), ["o_totalprice", "n", "q"], "y", "fold", "o_orderkey", How(rounds=6, leaves=8, depth=4, patience=3))
 
 
 @query()
 def boosted_trees(spark, d):
-    """Out-of-fold probabilities with whole groups in folds, boosting stopped by the held fold."""
+    """Out-of-fold probabilities of trees grown by leaf, whole groups in folds, boosting stopped by the held fold's area under the curve."""
     return _boosted(spark, d)[0]
 
 

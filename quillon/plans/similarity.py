@@ -12,7 +12,7 @@ from quillon.operators import tables as O
 from quillon.plans.registry import query, r6, rounded
 from quillon.sources.tables import cut, table
 
-WIDTH = 16
+WIDTH = 64
 _E = f"e AS (SELECT vec_id, label, list_transform(embedding[1:{WIDTH}], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)"
 #: Vectors long, and their group means.
 _LONG = f"""{_E}, l AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM e),

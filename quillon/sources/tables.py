@@ -127,12 +127,18 @@ def unpivot_authors(authors: DataFrame) -> DataFrame:
 
 
 def numbered_lines(df: DataFrame, name: str = "line") -> DataFrame:
-    """Text rows with their number from 0, by file order; one count a partition meets on the driver's side of a broadcast."""
-    marked = cut(df.withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    sizes = marked.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return marked.withColumn("_part", part).join(F.broadcast(before), "_part").select(*df.columns, (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
+    """Lines of text files with their number from 0, over all files by path and inside each by place.
+
+    df is what spark.read.text gives.  Files are read in splits, in any order;
+    a line is counted in its split, and the splits' totals, one row each,
+    are summed in the order of files and places.
+    """
+    from quillon.operators.tables import running_total
+
+    marked = cut(df.select(*df.columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at")))
+    splits = cut(marked.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first")))
+    before = running_total(splits, [F.asc("_file"), F.asc("_block")], "_n", "_before").drop("_n")
+    return marked.join(before, ["_file", "_block"]).select(*df.columns, (F.col("_before") + F.col("_at") - F.col("_first")).alias(name))
 
 
 def undirected(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillon.operators import features as M
 from quillon.operators import graph as G
 from quillon.operators import ranking as R
+from quillon.operators import spectra, textmodels, trees
 from quillon.operators import tables as O
 from quillon.plans import registry
 from quillon.sources import tables as S
@@ -63,7 +64,7 @@ def test_svm_grid_and_top_labels(spark):
 def test_boosted_folds_stop_early(spark):
     rng = np.random.default_rng(5)
     rows = [(i, i % 3, float(x), float(rng.normal()), int(x + 0.3 * rng.normal() > 0)) for i, x in enumerate(rng.normal(size=300))]
-    probs, weights = M.boosted_folds(spark.createDataFrame(rows, "id int, fold int, a double, b double, y int"), ["a", "b"], "y", "fold", "id", 40, 3)
+    probs, weights = M.boosted_folds(spark.createDataFrame(rows, "id int, fold int, a double, b double, y int"), ["a", "b"], "y", "fold", "id", trees.How(rounds=40, leaves=8, depth=3, least_rows=5, patience=5))
     p = {r["id"]: r["prob"] for r in probs.collect()}
     y = {r[0]: r[4] for r in rows}
     assert len(p) == 300 and np.mean([(p[i] > 0.5) == y[i] for i in p]) > 0.8
@@ -224,3 +225,156 @@ def test_covering_split(spark):
     with pytest.raises(ValueError):
         S.covering_split(labels, {"train": 0.0, "test": 1.0}, tries=2)
 
+
+
+# ---------------------------------------------------------------- trees
+
+
+def grown_leaf_by_leaf(x, y, score, model, turn, how):
+    """One tree by the plain method: split the leaf with the best gain, again and again; (scores to add, leaves)."""
+    p = 1 / (1 + np.exp(-score))
+    g, h = p - y, p * (1 - p)
+    bins = 1 + int(x.max())
+    rng = np.random.default_rng([how.seed, model, turn])
+    columns = np.sort(rng.permutation(x.shape[1])[: max(1, round(x.shape[1] * how.columns_of_tree))])
+
+    def split(node, rows):
+        if node.bit_length() > how.depth:
+            return None
+        own = np.random.default_rng([how.seed, model, turn, node])
+        chosen = np.sort(own.permutation(columns)[: max(1, round(len(columns) * how.columns_of_node))])
+        sums = np.stack([np.stack([np.bincount(x[rows, j], v[rows], bins) for v in (g, h, np.ones(len(g)))], axis=1) for j in range(x.shape[1])])
+        return trees.best_split(sums, how, chosen, own)
+
+    leaves = {1: np.arange(len(y))}
+    best = {1: split(1, leaves[1])}
+    while len(leaves) < how.leaves:
+        able = [(-best[n][0], n) for n in leaves if best[n]]
+        if not able:
+            break
+        n = min(able)[1]
+        rows = leaves.pop(n)
+        low = x[rows, best[n][1]] <= best[n][2]
+        for child, part in ((2 * n, rows[low]), (2 * n + 1, rows[~low])):
+            leaves[child], best[child] = part, split(child, part)
+    add = np.zeros(len(y))
+    for rows in leaves.values():
+        top = g[rows].sum()
+        add[rows] = -np.sign(top) * max(abs(top) - how.l1, 0) / (h[rows].sum() + how.l2) * how.rate
+    return add, len(leaves)
+
+
+@pytest.mark.parametrize("random_splits", [True, False])
+def test_trees_are_those_grown_leaf_by_leaf(spark, random_splits):
+    rng = np.random.default_rng(7)
+    n = 500
+    x = np.round(rng.normal(size=(n, 4)), 1)
+    y = ((x[:, 0] * x[:, 1] > 0) ^ (rng.random(n) < 0.1)).astype(int)
+    rows = [(i, i % 2, int(y[i]), *(None if j == 3 and i % 9 == 0 else float(x[i, j]) for j in range(4))) for i in range(n)]
+    x[::9, 3] = -1
+    df = spark.createDataFrame(rows, "id int, fold int, y int, a double, b double, c double, d double").repartition(3)
+    how = trees.How(rounds=3, leaves=6, depth=4, least_rows=5, bins=16, random_splits=random_splits, patience=9)
+    model = trees.fit_folds(df, list("abcd"), "y", "fold", "id", how)
+    got = {r["id"]: r["prob"] for r in model.transform(df, "id", "fold").collect()}
+    binned = np.stack([np.searchsorted(c, x[:, j]) for j, c in enumerate(model.cuts)], axis=1)
+    for k in range(2):
+        fit, held = np.arange(n) % 2 != k, np.arange(n) % 2 == k
+        score = np.full(fit.sum(), model.base[k])
+        for t, tree in enumerate(model.trees[k]):
+            add, leaves = grown_leaf_by_leaf(binned[fit], y[fit], score, k, t, how)
+            assert leaves == (tree.feature < 0).sum()
+            assert np.allclose(tree.scores(binned[fit]), add, atol=1e-9)
+            score = score + add
+        want = 1 / (1 + np.exp(-model.score(k, binned[held])))
+        assert np.allclose([got[i] for i in np.flatnonzero(held)], want)
+        area = [r for r in model.areas[k]]
+        assert model.best[k] == int(np.argmax(area)) + 1
+    assert abs(model.importances(spark).filter("fold = 0").agg(F.sum("importance")).first()[0] - 1) < 1e-9
+
+
+# ---------------------------------------------------------------- eigenpairs and text models
+
+
+def symmetric(seed, n=120, m=500):
+    rng = np.random.default_rng(seed)
+    a = np.zeros((n, n))
+    for i, j in rng.integers(0, n, (m, 2)):
+        a[i, j] = a[j, i] = rng.normal()
+    return a
+
+
+@pytest.mark.parametrize("largest", ["algebraic", "magnitude"])
+def test_eigenpairs(spark, largest):
+    a = symmetric(3)
+    used = np.flatnonzero(np.abs(a).sum(axis=0))
+    values = np.linalg.eigvalsh(a[np.ix_(used, used)])
+    want = values[np.argsort(-values if largest == "algebraic" else -np.abs(values))][:4]
+    m = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a))], "src long, dst long, w double")
+    found = spectra.eigenpairs(m, 4, largest=largest, block=8, basis=48)
+    assert np.abs(found.values - want).max() < 1e-9
+    rows = spectra.residuals(m, found).collect()
+    assert all(r["residual"] < 1e-6 and abs(r["length"] - 1) < 1e-9 for r in rows) and len(rows) == 4
+
+
+def test_eigenpairs_of_small_and_empty_matrices(spark):
+    two = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0), ("c", "c", 0.0)], "src string, dst string, w double")
+    found = spectra.eigenpairs(two, 9)
+    assert np.allclose(found.values[[0, -1]], [1, -1]) and len(found.values) <= 3
+    assert len(spectra.eigenpairs(two.limit(0), 2).values) == 0
+    cliques = [(a + 5 * c, b + 5 * c) for c in range(2) for a in range(5) for b in range(5) if a != b]
+    e = spark.createDataFrame([(a, b, 0.25) for a, b in cliques], "src long, dst long, w double")
+    x = {r["id"]: np.array(r["x"]) for r in spectra.spectral_embedding(e, 2).collect()}
+    assert all(abs(x[a] @ x[b] - (a // 5 == b // 5)) < 1e-6 for a in x for b in x)
+    p = spectra.positional_vectors(e, 20, 12).collect()
+    assert all(len(r["x"]) == 12 and abs(np.linalg.norm(r["x"]) - 1) < 1e-6 for r in p)
+
+
+def test_text_model_transfers(spark, tmp_path):
+    """Fitted on a part, saved, loaded and applied to all, against dense matrices, up to signs."""
+    import math
+    import re
+    from collections import Counter
+
+    texts = ["the cat sat on the mat", "dogs and cats sat", "a blue mat for the dog", "birds fly over the blue sea", "the sea is blue", "cats chase birds", "", None, "unknown things"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    fit = [1, 2, 4, 5, 7]
+    grams = lambda t: (lambda w: w + [" ".join(w[i : i + 2]) for i in range(len(w) - 1)])(re.findall("[0-9A-Za-z_]{2,}", (t or "").lower()))
+    frequency = Counter(g for i in fit for g in set(grams(texts[i])))
+    known = sorted(frequency)
+    for idf in (True, False):
+        weight = np.array([math.log((1 + len(fit)) / (1 + frequency[g])) + 1 if idf else 1.0 for g in known])
+        dense = np.array([[Counter(grams(t))[g] for g in known] for t in texts]) * weight
+        if idf:
+            dense = dense / np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-300)
+        want = dense @ np.linalg.svd(dense[fit])[2][:3].T
+        textmodels.fit_text_model(df.filter(F.col("k").isin(fit)), "k", "t", 3, max_df=1.0, idf=idf).save(f"{tmp_path}/{idf}")
+        model = textmodels.load_text_model(spark, f"{tmp_path}/{idf}")
+        x = np.array([r["x"] for r in model.transform(df, "k", "t").orderBy("k").collect()])
+        assert np.allclose(np.abs(x), np.abs(want), atol=1e-7) and np.allclose(model.values, np.linalg.svd(dense[fit])[1][:3])
+
+
+# ---------------------------------------------------------------- lines and windows
+
+
+def test_lines_of_many_files(spark, tmp_path):
+    """Numbers follow files by name and places in them, however Spark deals the splits."""
+    want = []
+    for name, n in (("a", 2), ("b", 400), ("c", 0), ("d", 37)):
+        lines = [f"{name} line {k}" for k in range(n)]
+        want += lines
+        (tmp_path / f"{name}.txt").write_text("".join(f"{x}\n" for x in lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("500b", before):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = sorted((r["line"], r["value"]) for r in S.numbered_lines(spark.read.text(str(tmp_path))).collect())
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert got == list(enumerate(want))
+
+
+def test_pair_windows(spark):
+    rng = random.Random(6)
+    walks = [(w, p, rng.choice("abc")) for w in range(4) for p in rng.sample(range(30), 12)]
+    got = sorted(tuple(r) for r in O.pair_windows(spark.createDataFrame(walks, "w int, p int, n string"), "w", "p", "n", 3).collect())
+    assert got == sorted((w, n, m) for w, p, n in walks for v, q, m in walks if v == w and p != q and abs(p - q) <= 3)
