@@ -12,6 +12,11 @@ def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value worked out once: inside a lambda over elements an expression is worked out for each of them."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x * y))
 
@@ -70,8 +75,7 @@ def braycurtis(a: Column, b: Column) -> Column:
 
 
 def centred(a: Column) -> Column:
-    mean = total(a) / F.size(a)
-    return F.transform(a, lambda x: x - mean)
+    return bound(total(a) / F.size(a), lambda mean: F.transform(a, lambda x: x - mean))
 
 
 def correlation(a: Column, b: Column) -> Column:
@@ -84,11 +88,11 @@ def chebyshev(a: Column, b: Column) -> Column:
 
 def jensenshannon(a: Column, b: Column) -> Column:
     """Distance of two vectors brought to sum 1, natural logarithm; null if a component is negative or a sum is 0."""
-    p, q = F.transform(a, lambda x: F.try_divide(x, total(a))), F.transform(b, lambda x: F.try_divide(x, total(b)))
+    shares = lambda v: bound(total(v), lambda t: F.transform(v, lambda x: F.try_divide(x, t)))
     part = lambda x, m: F.when(x > 0, x * F.log(x / m)).otherwise(F.lit(0.0))
-    both = total(F.zip_with(p, q, lambda x, y: part(x, (x + y) / 2) + part(y, (x + y) / 2)))
-    bad = F.exists(p, lambda x: x.isNull() | (x < 0)) | F.exists(q, lambda x: x.isNull() | (x < 0))
-    return F.when(~bad, F.sqrt(F.greatest(both / 2, F.lit(0.0))))
+    bad = lambda p: F.exists(p, lambda x: x.isNull() | (x < 0))
+    both = lambda p, q: total(F.zip_with(p, q, lambda x, y: part(x, (x + y) / 2) + part(y, (x + y) / 2)))
+    return bound(shares(a), lambda p: bound(shares(b), lambda q: F.when(~(bad(p) | bad(q)), F.sqrt(F.greatest(both(p, q) / 2, F.lit(0.0))))))
 
 
 #: The distances of the centroid feature family.
@@ -112,28 +116,25 @@ UNPARAMETRISED = {"mahalanobis": lambda a, b: F.lit(0.0), "seuclidean": lambda a
 
 def row_normalised(a: Column) -> Column:
     """x / sum(x), all 0 where the sum is 0."""
-    return F.transform(a, lambda x: F.coalesce(F.try_divide(x, total(a)), F.lit(0.0)))
+    return bound(total(a), lambda t: F.transform(a, lambda x: F.coalesce(F.try_divide(x, t), F.lit(0.0))))
 
 
 def unit(a: Column) -> Column:
-    return F.transform(a, lambda x: F.coalesce(F.try_divide(x, norm(a)), F.lit(0.0)))
+    return bound(norm(a), lambda n: F.transform(a, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0))))
 
 
 def softmax(a: Column) -> Column:
-    top = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / total(e))
+    powers = bound(F.array_max(a), lambda top: F.transform(a, lambda x: F.exp(x - top)))
+    return bound(powers, lambda e: bound(total(e), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def log_softmax_at(a: Column, k: Column) -> Column:
     """Log-probability of element k (from 0)."""
-    top = F.array_max(a)
-    return F.get(a, k) - top - F.log(total(F.transform(a, lambda x: F.exp(x - top))))
+    return bound(F.array_max(a), lambda top: F.get(a, k) - top - F.log(total(F.transform(a, lambda x: F.exp(x - top)))))
 
 
 def sharpened(p: Column, temperature: float) -> Column:
-    e = F.transform(p, lambda x: F.pow(x, F.lit(1 / temperature)))
-    return F.transform(e, lambda x: F.coalesce(F.try_divide(x, total(e)), F.lit(0.0)))
+    return bound(F.transform(p, lambda x: F.pow(x, F.lit(1 / temperature))), row_normalised)
 
 
 def argmax(a: Column) -> Column:
@@ -191,5 +192,4 @@ def gaussian_weight(distance: Column, sigma: Column) -> Column:
 
 def shrunk_negatives(a: Column) -> Column:
     """Negative elements times the sigmoid of the row's mean."""
-    k = sigmoid(total(a) / F.size(a))
-    return F.transform(a, lambda x: F.when(x < 0, x * k).otherwise(x))
+    return bound(sigmoid(total(a) / F.size(a)), lambda k: F.transform(a, lambda x: F.when(x < 0, x * k).otherwise(x)))
