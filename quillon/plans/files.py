@@ -106,6 +106,34 @@ def community_files(spark, d):
     return S.community_labels(S.numbered_lines(spark.read.text(to)))
 
 
+def _objects(rows, bucket, key, value):
+    """One JSON object a bucket, each in a file of its own: {key: value}."""
+    entries = F.concat_ws(", ", F.collect_list(F.concat(F.lit('"'), F.col(key).cast("string"), F.lit('": '), F.to_json(value))))
+    to = new_path(rows.sparkSession, "dictionary")
+    rows.groupBy(bucket).agg(F.concat(F.lit("{"), entries, F.lit("}")).alias("value")).write.partitionBy(bucket).text(to)
+    return f"{to}/*/*.txt"
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, text AS abstract, lang AS venue, CAST(n_chars AS BIGINT) AS year, source AS name, 1::BIGINT AS people FROM documents")
+def paper_dictionary(spark, d):
+    """Papers of JSON dictionaries, whole texts inside, read in byte ranges."""
+    people = F.array(F.struct(F.col("source").alias("name"), F.lit("").alias("org")))
+    value = F.struct(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("abstract"), people.alias("authors"), F.col("lang").alias("venue"), F.col("n_chars").cast("int").alias("year"))
+    path = _objects(table(spark, d, "documents").withColumn("bucket", F.pmod("doc_id", F.lit(8))), "bucket", "doc_id", value)
+    return S.read_papers(spark, path, 1 << 18).select("id", "abstract", "venue", F.col("year").cast("bigint").alias("year"), F.col("authors")[0]["name"].alias("name"), F.size("authors").cast("bigint").alias("people"))
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label FROM orders),
+r AS (SELECT o_custkey, o_orderkey, label, row_number() OVER (PARTITION BY o_custkey ORDER BY label DESC, o_orderkey) - 1 AS pos FROM o)
+SELECT CAST(o_custkey AS VARCHAR) AS author_id, c_name AS author_name, CAST(o_orderkey AS VARCHAR) AS id, pos, CAST(label AS BIGINT) AS label FROM r JOIN customer ON c_custkey = o_custkey""")
+def author_dictionary(spark, d):
+    """Author dictionaries with lists of right and wrong items, read in byte ranges and unpivoted."""
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(*(F.transform(F.array_sort(F.collect_list(F.when(mark, F.col("o_orderkey")))), lambda k: k.cast("string")).alias(name) for name, mark in (("normal_data", F.col("o_orderstatus") == "F"), ("outliers", F.col("o_orderstatus") != "F"))))
+    c = table(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"))
+    path = _objects(c, "c_nationkey", "c_custkey", F.struct(F.col("c_name").alias("name"), "normal_data", "outliers"))
+    return rounded(S.read_authors(spark, path, 1 << 16))
+
+
 @query("SELECT DISTINCT l_suppkey AS h, CAST(ascii(l_returnflag) AS BIGINT) AS r, l_partkey AS t, 'train' AS split FROM lineitem")
 def triples_file(spark, d):
     """S16."""

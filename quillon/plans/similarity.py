@@ -8,6 +8,7 @@ from quillon.functions import vectors as V
 from quillon.operators import evaluate as E
 from quillon.operators import features as M
 from quillon.operators import ranking as R
+from quillon.operators import similar as N
 from quillon.operators import tables as O
 from quillon.plans.registry import query, r6, rounded
 from quillon.sources.tables import cut, table
@@ -339,3 +340,52 @@ def above_median(spark, d):
 def shrunk_features(spark, d):
     """Negative features times the sigmoid of the row's mean."""
     return rounded(_vectors(spark, d).select("vec_id", V.shrunk_negatives(F.col("v")).alias("x")))
+
+
+def _searched(spark, d, least):
+    e = _vectors(spark, d)
+    found, _ = N.VectorIndex(e, "vec_id", "v", lists=32).search(e.filter("vec_id % 100 = 0"), "vec_id", "v", 5, least)
+    return rounded(found)
+
+
+@query(f"""WITH {_E}, p AS (SELECT a.vec_id AS query, b.vec_id AS row, list_cosine_similarity(a.v, b.v) AS s FROM e a, e b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+SELECT query, row, round(s, 6) AS score, CAST(row_number() OVER (PARTITION BY query ORDER BY s DESC, row) AS BIGINT) AS rank FROM p QUALIFY rank <= 5""")
+def indexed_nearest(spark, d):
+    """The five most similar rows of the stated queries, by lists with angular bounds."""
+    return _searched(spark, d, False)
+
+
+@query(f"""WITH {_E}, p AS (SELECT a.vec_id AS query, b.vec_id AS row, list_cosine_similarity(a.v, b.v) AS s FROM e a, e b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+SELECT query, row, round(s, 6) AS score, CAST(row_number() OVER (PARTITION BY query ORDER BY s, row) AS BIGINT) AS rank FROM p QUALIFY rank <= 5""")
+def indexed_furthest(spark, d):
+    """The five least similar rows of the stated queries."""
+    return _searched(spark, d, True)
+
+
+@query(f"""WITH {_E}, n AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM e), q AS (SELECT vec_id AS query, v AS q, unnest(range(1, 4)) AS draw FROM e),
+s AS (SELECT *, CAST('0x' || substr(md5('s|' || query || '|' || draw), 1, 15) AS BIGINT) % (SELECT count(*) FROM e) AS k FROM q)
+SELECT query, CAST(draw AS BIGINT) AS draw, vec_id AS row, round(list_cosine_similarity(q, v), 6) AS score FROM s JOIN n USING (k)""")
+def sampled_similarities(spark, d):
+    """Cosines of every row with three others, drawn by hash."""
+    e = _vectors(spark, d)
+    return rounded(N.sampled_pairs(e, "vec_id", e, "vec_id", "v", 3, "s"))
+
+
+@query("""WITH c AS (SELECT l_suppkey, l_partkey, sum(l_quantity) AS w FROM lineitem WHERE l_quantity > 0 GROUP BY ALL)
+SELECT l_suppkey AS "group", l_partkey AS item, round(w / sum(w) OVER (PARTITION BY l_suppkey), 6) AS share FROM c""")
+def alias_shares(spark, d):
+    """The chances that alias tables of each supplier's parts stand for."""
+    c = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("w"))
+    return rounded(N.alias_shares(N.alias_tables(cut(c), "l_suppkey", "l_partkey", "w")))
+
+
+@query("""WITH e AS (SELECT l_suppkey AS g, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1) SELECT g AS "group", n AS draws, true AS own FROM e""")
+def alias_draws(spark, d):
+    """As many draws with replacement as a supplier has parts, by degree to the power 0.75; all from its own parts."""
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("g"), F.col("l_partkey").alias("p")).distinct()
+    degree = li.groupBy("p").agg(F.pow(F.count("*"), F.lit(0.75)).alias("w"))
+    c = cut(li.join(degree, "p"))
+    wanted = c.groupBy("g").agg(F.count("*").alias("n"))
+    drawn = N.alias_draws(N.alias_tables(c, "g", "p", "w"), wanted, "g", "n", "a")
+    own = drawn.join(c.select(F.col("g").alias("group"), F.col("p").alias("item"), F.lit(True).alias("_own")), ["group", "item"], "left")
+    return own.groupBy("group").agg(F.count("*").alias("draws"), F.min(F.coalesce("_own", F.lit(False))).alias("own"))

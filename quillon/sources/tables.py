@@ -90,19 +90,20 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
 # --------------------------------------------------------------- dictionaries
 
 
-def _entries(spark: SparkSession, path: str, value: str) -> DataFrame:
-    """(key, value) of JSON objects that map keys to structs; one object a file."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.explode(F.from_json("value", f"map<string,struct<{_fields(value)}>>")))
+def _entries(spark: SparkSession, path: str, value: str, size: int | None) -> DataFrame:
+    """(key, value) of JSON objects that map keys to structs; one object a file, of any size."""
+    from quillon.sources import dictionaries
+
+    return dictionaries.read_dictionary(spark, path, f"struct<{_fields(value)}>", size or dictionaries.RANGE)
 
 
 def _fields(ddl: str) -> str:
     return T._parse_datatype_string(ddl).simpleString()[len("struct<") : -1]
 
 
-def read_papers(spark: SparkSession, path: str) -> DataFrame:
-    """{id: paper} dictionaries as one row a paper; the id inside wins."""
-    return _entries(spark, path, PAPER).select("value.*")
+def read_papers(spark: SparkSession, path: str, size: int | None = None) -> DataFrame:
+    """{id: paper} dictionaries as one row a paper, read in ranges of `size` bytes; the id inside wins."""
+    return _entries(spark, path, PAPER, size).select("value.*")
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -110,8 +111,8 @@ def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAPER).json(path).withColumn("file", F.input_file_name())
 
 
-def read_authors(spark: SparkSession, path: str) -> DataFrame:
-    return unpivot_authors(_entries(spark, path, AUTHOR).select(F.col("key").alias("author_id"), "value.*"))
+def read_authors(spark: SparkSession, path: str, size: int | None = None) -> DataFrame:
+    return unpivot_authors(_entries(spark, path, AUTHOR, size).select(F.col("key").alias("author_id"), "value.*"))
 
 
 def unpivot_authors(authors: DataFrame) -> DataFrame:

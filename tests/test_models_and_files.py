@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from quillon.operators import features as M
 from quillon.operators import graph as G
 from quillon.operators import ranking as R
+from quillon.operators import similar as N
 from quillon.operators import spectra, textmodels, trees
 from quillon.operators import tables as O
 from quillon.plans import registry
+from quillon.sources import dictionaries as D
 from quillon.sources import tables as S
 
 QUERIES = registry.queries()
@@ -378,3 +380,77 @@ def test_pair_windows(spark):
     walks = [(w, p, rng.choice("abc")) for w in range(4) for p in rng.sample(range(30), 12)]
     got = sorted(tuple(r) for r in O.pair_windows(spark.createDataFrame(walks, "w int, p int, n string"), "w", "p", "n", 3).collect())
     assert got == sorted((w, n, m) for w, p, n in walks for v, q, m in walks if v == w and p != q and abs(p - q) <= 3)
+
+
+# ---------------------------------------------------------------- similar vectors and alias tables
+
+
+@pytest.mark.parametrize("least", [False, True])
+def test_index_is_exact_and_skips(spark, least):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 6)) * 4
+    x = np.concatenate([c + 0.2 * rng.normal(size=(60, 6)) for c in centres] + [np.zeros((2, 6)), centres[:1], centres[:1]])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, x array<double>").repartition(3)
+    index = N.VectorIndex(df, "id", "x", lists=24)
+    asked = df.filter("id % 9 = 0")
+    found, compared = index.search(asked, "id", "x", 4, least)
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    full = np.flatnonzero(np.linalg.norm(x, axis=1) > 0)
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: (r["query"], r["rank"])):
+        got.setdefault(r["query"], []).append((r["row"], r["score"]))
+    for q in range(0, len(x), 9):
+        others = full[full != q]
+        s = unit[others] @ unit[q]
+        order = np.lexsort((others, np.round(s if least else -s, 12)))[:4]
+        if np.linalg.norm(x[q]) == 0:
+            assert q not in got
+        else:
+            assert np.allclose([b for _, b in got[q]], s[order]) and len({a for a, _ in got[q]}) == 4
+    share = np.mean([r["compared"] for r in compared.collect()]) / len(full)
+    assert share < 0.5
+
+
+def test_index_of_few_rows(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0])], "id long, x array<double>")
+    found, _ = N.VectorIndex(df, "id", "x").search(df, "id", "x", 5)
+    assert sorted((r["query"], r["row"], r["rank"]) for r in found.collect()) == [(1, 2, 1), (2, 1, 1)]
+    empty = df.limit(0)
+    assert N.VectorIndex(empty, "id", "x").search(df, "id", "x", 5)[0].count() == 0
+
+
+@pytest.mark.parametrize("items", [1 << 15, 7])
+def test_alias_tables_and_draws(spark, monkeypatch, items):
+    monkeypatch.setattr(N, "ALIAS_ITEMS", items)
+    rng = random.Random(3)
+    rows = [("a", i, float(rng.randint(0, 9))) for i in range(40)] + [("b", 1, 2.5), (None, 1, 1.0)]
+    df = spark.createDataFrame(rows, "g string, i long, w double")
+    tables = N.alias_tables(df, "g", "i", "w")
+    shares = {(r["group"], r["item"]): r["share"] for r in N.alias_shares(tables).collect()}
+    total = sum(w for g, _, w in rows if g == "a")
+    assert set(shares) == {(g, i) for g, i, w in rows if w > 0 and g}
+    assert all(abs(shares["a", i] - w / total) < 1e-12 for g, i, w in rows if g == "a" and w > 0) and shares["b", 1] == 1
+    wanted = spark.createDataFrame([("a", 20_000), ("b", 3), ("c", 5), ("b", 0)], "g string, n int")
+    drawn = N.alias_draws(tables, wanted, "g", "n", "t").groupBy("group", "item").count().collect()
+    counts = {(r["group"], r["item"]): r["count"] for r in drawn}
+    assert counts.pop(("b", 1)) == 3 and sum(counts.values()) == 20_000
+    assert all(abs(counts.get(k, 0) / 20_000 - s) < 5 * (s / 20_000) ** 0.5 for k, s in shares.items() if k[0] == "a")
+
+
+# ---------------------------------------------------------------- dictionaries
+
+
+@pytest.mark.parametrize("size", [5, 64, 1 << 20])
+def test_dictionaries_in_ranges(spark, tmp_path, size):
+    """The same entries whatever the ranges: quotes, escapes and brackets in strings, nested values, white space, many files."""
+    rng = random.Random(5)
+    odd = ['"', "\\", "{", "}", "[", "]", ",", ":", "é", "\n", "\\\\\"", "x" * 20, "", "😀"]
+    text = lambda: "".join(rng.choice(odd) for _ in range(rng.randint(0, 6)))
+    want = {}
+    for name, n, how in (("a", 12, {"indent": 1}), ("b", 5, {"separators": (",", ":")}), ("c", 0, {}), ("d", 1, {"ensure_ascii": False})):
+        own = {f"{name}{k}{text()}": {"t": text(), "l": [text() for _ in range(rng.randint(0, 3))], "n": {"x": k}} for k in range(n)}
+        (tmp_path / f"{name}.json").write_text(json.dumps(own, **how), encoding="utf-8")
+        want |= own
+    (tmp_path / "empty.json").write_text("")
+    got = D.read_dictionary(spark, str(tmp_path), "struct<t:string,l:array<string>,n:struct<x:int>>", size).collect()
+    assert len(got) == len(want) and {r["key"]: r["value"].asDict(recursive=True) for r in got} == want
