@@ -81,14 +81,19 @@ def beside(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFrame:
     """Every row of a with every row of b, for operators that are asked for all pairs.
 
     Both sides are dealt to blocks by hash, as many as their counted rows
-    need, and a pair of blocks is one key of an equi-join: no side is
-    broadcast and no task pairs more than about PAIR_BLOCK rows of each.
+    need, and a pair of blocks is one key of an equi-join: no task pairs more
+    than about PAIR_BLOCK rows of each.  A side that was counted to be one
+    block goes to all tasks; the other is then not shuffled.
     """
     many = lambda df: max(1, -(-df.count() // PAIR_BLOCK))
     m, n = many(a), many(b)
     spread = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)).cast("array<bigint>"))
     left = a.withColumn("_i", F.pmod(F.xxhash64(key_a), F.lit(m))).withColumn("_j", spread(n))
     right = b.withColumn("_j", F.pmod(F.xxhash64(key_b), F.lit(n))).withColumn("_i", spread(m))
+    if n == 1:
+        right = F.broadcast(right)
+    elif m == 1:
+        left = F.broadcast(left)
     return left.join(right, ["_i", "_j"]).drop("_i", "_j")
 
 

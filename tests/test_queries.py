@@ -23,8 +23,8 @@ def con(sf):
 def plain(v):
     if v is None or isinstance(v, float) and math.isnan(v):
         return None
-    if isinstance(v, (list, tuple)):
-        return tuple(plain(x) for x in v)
+    if isinstance(v, (list, tuple)):  # a list of whole numbers isn't one of doubles
+        return tuple((type(x).__name__, plain(x)) if isinstance(x, (int, float)) else plain(x) for x in v)
     if isinstance(v, float):
         return round(v, 6) + 0.0
     return str(v) if hasattr(v, "isoformat") else v
