@@ -106,24 +106,40 @@ class ByteBPE:
     """One vocabulary, built once in each Python worker."""
 
     def __init__(self, path: str, pattern: str):
-        import sentencepiece
-
-        ranks = read_ranks(path)
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=serialised_model(ranks))
-        self.rank = np.array(sorted(ranks.values()), "<u4")
-        self.pattern = regex.compile(pattern)
-        self.usual, self.unusual = _usual_pattern() if pattern == BYTE_PATTERN else (None, None)
+        self.ranks = read_ranks(path)
+        self.rank = np.array(sorted(self.ranks.values()), "<u4")
+        self.pattern_text = pattern
         characters = byte_characters()
         self.characters = dict(enumerate(characters))
         byte = {c: b for b, c in enumerate(characters)}
-        pieces = [self.model.id_to_piece(k) for k in range(len(self.rank))]
-        self.bytes_of = {int(r): bytes(byte[c] for c in piece) for r, piece in zip(self.rank, pieces)}
-        #: A match that is itself a piece is that piece, even one that no merges lead to.
-        self.whole = {piece: [k] for k, (piece, ids) in enumerate(zip(pieces, self.model.encode(pieces, num_threads=1))) if ids != [k]}
+        self.pieces = ["".join(characters[b] for b in piece) for piece in sorted(self.ranks, key=self.ranks.get)]
+        self.bytes_of = {int(r): bytes(byte[c] for c in piece) for r, piece in zip(self.rank, self.pieces)}
         self.ids_of: dict[str, bytes] = {}
 
+    # what only encoding needs is made when first asked for; workers that decode don't hold it
+
+    @functools.cached_property
+    def model(self):
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_proto=serialised_model(self.ranks))
+
+    @functools.cached_property
+    def whole(self) -> dict[str, list[int]]:
+        """A match that is itself a piece is that piece, even one that no merges lead to."""
+        return {piece: [k] for k, (piece, ids) in enumerate(zip(self.pieces, self.model.encode(self.pieces, num_threads=1))) if ids != [k]}
+
+    @functools.cached_property
+    def pattern(self):
+        return regex.compile(self.pattern_text)
+
+    @functools.cached_property
+    def _usual(self) -> tuple[re.Pattern | None, re.Pattern | None]:
+        return _usual_pattern() if self.pattern_text == BYTE_PATTERN else (None, None)
+
     def _matches(self, text: str) -> Iterator[list[str]]:
-        pattern = self.usual if self.usual and not self.unusual.search(text) else self.pattern
+        usual, unusual = self._usual
+        pattern = usual if usual and not unusual.search(text) else self.pattern
         if len(text) <= MATCHES:
             yield pattern.findall(text)
             return
