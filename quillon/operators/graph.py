@@ -589,6 +589,41 @@ def log_walk_matrix(edges: DataFrame, window: int = 1, negative: float = 1.0) ->
     return made.select("src", "dst", F.log(F.col("_v") / negative * F.col("w") / F.col("_d")).alias("w")).filter("w > 0")
 
 
+def betweenness(edges: DataFrame, sources: DataFrame, depth: int | None = None) -> DataFrame:
+    """(id, score): for each node, the shares of shortest paths from the sources that pass through it, summed over all ends.
+
+    Edges count once a pair, whatever their direction and weight.  Paths are
+    counted forward, level by level for all sources together, and shares are
+    summed backward; in an undirected graph a node of the next level is new if
+    it is in neither of the last two.  With all nodes as sources each pair
+    counts from both ends.  depth cuts paths off; else the levels go on until
+    none is new.  Nodes that no path passes through have 0; other nodes that no
+    source reaches are left out.
+    """
+    e = cut(mirrored(without_loops(edges)))
+    levels = [cut(sources.select(F.col("id").alias("s"), "id").distinct().withColumn("n", F.lit(1.0)))]
+    while depth is None or len(levels) <= depth:
+        last = levels[-1]
+        reached = last.join(e, last["id"] == e["src"]).groupBy("s", F.col("dst").alias("id")).agg(F.sum("n").alias("n"))
+        for before in levels[-2:]:
+            reached = reached.join(before.select("s", "id"), ["s", "id"], "left_anti")
+        reached = cut(reached)
+        if reached.isEmpty():
+            break
+        levels.append(reached)
+    below = cut(levels[-1].withColumn("d", F.lit(0.0)))
+    parts = [below]
+    for level in reversed(levels[:-1]):
+        share = below.join(e, below["id"] == e["src"]).select("s", F.col("dst").alias("id"), ((1 + F.col("d")) / F.col("n")).alias("_x"))
+        passed = share.join(level.select("s", "id"), ["s", "id"], "left_semi").groupBy("s", "id").agg(F.sum("_x").alias("_x"))
+        below = cut(level.join(passed, ["s", "id"], "left").select("s", "id", "n", (F.col("n") * F.coalesce("_x", F.lit(0.0))).alias("d")))
+        parts.append(below)
+    every = parts[0].select("s", "id", "d")
+    for p in parts[1:]:
+        every = every.unionByName(p.select("s", "id", "d"))
+    return every.groupBy("id").agg(F.sum(F.when(F.col("s") != F.col("id"), F.col("d")).otherwise(0.0)).alias("score"))
+
+
 def receptive_fields(edges: DataFrame, starts: DataFrame, size: int, depth: int = 2) -> DataFrame:
     """(start, place, id): the first `size` nodes around each start, nearer first, then higher degree, then id."""
     near = breadth_first(edges, starts, depth).join(degrees(edges), "id", "left")

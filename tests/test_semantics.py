@@ -199,6 +199,39 @@ def test_bfs(spark, ring):
     assert got == {0: 0, 1: 1, 4: 1, 2: 2, 5: 2, 3: 3, 8: 3, 6: 3}
 
 
+def test_betweenness(spark):
+    """Against all shortest paths of a small graph, two parts and a node alone in it."""
+    rng = np.random.default_rng(4)
+    pairs = {tuple(sorted(p)) for p in rng.integers(0, 14, (22, 2)).tolist() if p[0] != p[1]} | {(20, 21), (21, 22)}
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def paths(s):
+        found, ends = {s: [[s]]}, [s]
+        while ends:
+            new = {}
+            for v in ends:
+                for w in near.get(v, ()):
+                    if w not in found:
+                        new.setdefault(w, []).extend([*p, w] for p in found[v])
+            found |= new
+            ends = list(new)
+        return found
+
+    nodes = sorted(near)
+    want = dict.fromkeys(nodes, 0.0)
+    for s in nodes:
+        for t, ps in paths(s).items():
+            for p in ps:
+                for v in p[1:-1]:
+                    want[v] += 1 / len(ps)
+    edges = spark.createDataFrame([(a, b) for a, b in pairs] + [(5, 5)], "src long, dst long")
+    got = {r["id"]: r["score"] for r in G.betweenness(edges, spark.createDataFrame([(n,) for n in nodes], "id long")).collect()}
+    assert set(got) == set(nodes) and all(abs(got[n] - want[n]) < 1e-9 for n in nodes)
+
+
 # ------------------------------------------------------------- models and evaluation
 
 
