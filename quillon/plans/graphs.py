@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import vectors as V
 from quillon.operators import graph as G
+from quillon.operators import partition as P
 from quillon.operators import ranking as R
 from quillon.plans.registry import query, rounded
 from quillon.sources import tables as S
@@ -21,8 +23,6 @@ WIDTH = 3
 
 
 def _edges(spark, d):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     e = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).filter("dst is not null")
     return G.multiplicity(e)
@@ -406,6 +406,24 @@ def partition_subgraphs(spark, d):
     return rounded(G.partition_subgraphs(_edges(spark, d), G.random_partition(_nodes(spark, d), 5, "cp")).select("part", "src", "dst"))
 
 
+@query()
+def balanced_partition(spark, d):
+    """Eight parts of nearly equal size of the part graph."""
+    return P.balanced_partition(_edges(spark, d), _nodes(spark, d), 8)
+
+
+@query("SELECT CAST(k AS BIGINT) AS part, true AS within, true AS fewer_cut FROM range(8) t(k)")
+def partition_balance(spark, d):
+    """Sizes of the eight parts within 5 % of equal, and a smaller share of weight cut than parts at random cut."""
+    e, n = S.cut(_edges(spark, d)), _nodes(spark, d)
+    parts = S.cut(P.balanced_partition(e, n, 8))
+    total = F.sum("n").over(Window.partitionBy())  # 8 rows
+    within = F.col("n").between(F.floor(0.95 * total / 8), F.ceil(1.05 * total / 8))
+    shares = P.cut_share(e, parts).crossJoin(P.cut_share(e, G.random_partition(n, 8, "cp")).withColumnRenamed("share", "other"))  # one row each
+    sizes = parts.groupBy(F.col("part").cast("long").alias("part")).agg(F.count("*").alias("n"))
+    return sizes.select("part", within.alias("within")).crossJoin(F.broadcast(shares.select((F.col("share") < F.col("other")).alias("fewer_cut"))))
+
+
 @query(f"""WITH {_P}, {_A}, {_N}, {_L}, s AS (SELECT src AS id, k, sum(w * x) AS g FROM a JOIN nl ON nl.id = dst GROUP BY ALL), h1 AS (SELECT nl.id, nl.k, greatest(0.5 * x + 0.5 * coalesce(g, 0), 0) AS x FROM nl LEFT JOIN s USING (id, k)),
 s2 AS (SELECT src AS id, k, sum(w * x) AS g FROM a JOIN h1 ON h1.id = dst GROUP BY ALL) SELECT h1.id, list(round(greatest(0.5 * x + 0.5 * coalesce(g, 0), 0), 6) ORDER BY k) AS x FROM h1 LEFT JOIN s2 USING (id, k) GROUP BY 1""")
 def layerwise_inference(spark, d):
