@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions import text as X
+from quillon.operators import edgevectors as L
+from quillon.operators import factor
 from quillon.operators import features as M
 from quillon.operators import graph as G
 from quillon.operators import spectra
@@ -220,6 +222,31 @@ def spectral_embedding(spark, d):
     return spectra.spectral_embedding(_symmetric(spark, d), 8, block=32, basis=512, tolerance=1e-6)
 
 
+@query()
+def edge_sampling_vectors(spark, d):
+    """Vectors of parts by sampled edges and negatives, on strata of blocks."""
+    return L.edge_embeddings(_edges(spark, d), 8, epochs=2)
+
+
+@query()
+def sparsifier_vectors(spark, d):
+    """The sparsifier of sampled paths, factorised."""
+    return factor.sparsifier_embedding(_edges(spark, d), 4, window=3, rounds=2, block=32, basis=512, tolerance=1e-4)
+
+
+@query("""WITH pe AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS w FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem) WHERE dst IS NOT NULL GROUP BY ALL),
+s AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM pe), c AS (SELECT dst, pow(sum(p), 0.75) AS c FROM s GROUP BY 1) SELECT src, s.dst, round(ln(p) - ln(c / (SELECT sum(c) FROM c)), 6) + 0.0 AS w FROM s JOIN c ON c.dst = s.dst""")
+def proximity_cells(spark, d):
+    """Logs of edge shares less those of their ends."""
+    return rounded(factor.proximity_matrix(_edges(spark, d)))
+
+
+@query()
+def propagated_vectors(spark, d):
+    """The factorised proximity matrix, propagated and rescaled."""
+    return factor.propagated_embedding(_edges(spark, d), 4, order=4, block=32, basis=512, tolerance=1e-4)
+
+
 @query()
 def positional_vectors(spark, d):
     """Eigenvectors of the largest values of the normalised adjacency, rows of length 1, filled with zeros."""
