@@ -7,6 +7,7 @@ import io
 import numpy as np
 from pyspark.sql import functions as F
 
+from quillon.operators import custom as C
 from quillon.operators import evaluate as E
 from quillon.operators import features as M
 from quillon.operators import tables as O
@@ -224,3 +225,20 @@ def arrow_function(spark, d):
             yield pa.RecordBatch.from_arrays([b.column(0), pc.utf8_length(text).cast(pa.int64()), vowels.cast(pa.int64())], names=["doc_id", "n", "vowels"])
 
     return M.scored(table(spark, d, "documents").select("doc_id", "text"), f, "doc_id long, n long, vowels long")
+
+
+@query("""WITH m AS (SELECT c_nationkey AS nation, count(c_acctbal) AS n, avg(c_acctbal) AS a, avg(c_acctbal * c_acctbal) AS b, avg(c_acctbal * c_acctbal * c_acctbal) AS c FROM (SELECT c_nationkey, CAST(c_acctbal AS DOUBLE) AS c_acctbal FROM customer) GROUP BY 1)
+SELECT CAST(nation AS BIGINT) AS nation, n, CASE WHEN n > 0 THEN round(coalesce((c - 3 * a * b + 2 * a * a * a) / nullif(pow(greatest(b - a * a, 0), 1.5), 0), 0), 6) + 0.0 END AS skew FROM m""")
+def merged_states(spark, d):
+    """An aggregate of one's own, states made batch by batch before the shuffle."""
+    c = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("nation"), F.col("c_acctbal").cast("double").alias("x"))
+    return rounded(C.merged_groups(c, ["nation"], C.moments("nation", "x"), "nation long, n long, s1 double, s2 double, s3 double, s4 double", {"n": F.sum("n"), "skew": C.skewness()}))
+
+
+@query()
+def decayed_activity(spark, d):
+    """A table function over each user's events in order; totals that halve every day."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("key"), F.expr("CAST(CAST(ts - TIMESTAMP_NTZ'1970-01-01' AS INTERVAL SECOND) AS DECIMAL(18, 6))").cast("double").alias("at"), F.col("event_id").alias("id"), F.col("value").cast("double").alias("value"))
+    kinds = dict(e.dtypes)
+    got = C.streamed_groups(e, ["key"], ["at", "id"], C.Decayed, f"key {kinds['key']}, at double, id {kinds['id']}, total double")
+    return rounded(got.select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "total"))
