@@ -445,6 +445,17 @@ def test_dictionaries_in_ranges(spark, tmp_path, size):
     """The same entries whatever the ranges: quotes, escapes and brackets in strings, nested values, white space, many files."""
     rng = random.Random(5)
     odd = ['"', "\\", "{", "}", "[", "]", ",", ":", "é", "\n", "\\\\\"", "x" * 20, "", "😀"]
+def test_alias_shares_of_whole_weights_are_exact(spark, monkeypatch):
+    """Shares that end in a 5 at the seventh place round as w / sum(w) does, also over several tables of a group."""
+    weights = {i: 33.0 + 2 * i for i in range(100)}
+    weights[100] = 16_000 - sum(weights.values())
+    df = spark.createDataFrame([("a", i, w) for i, w in weights.items()], "g string, i long, w double")
+    for items in (1 << 15, 40):
+        monkeypatch.setattr(N, "ALIAS_ITEMS", items)
+        shares = {r["item"]: r["share"] for r in N.alias_shares(N.alias_tables(df, "g", "i", "w")).collect()}
+        assert shares == {i: w / 16_000 for i, w in weights.items()}
+
+
     text = lambda: "".join(rng.choice(odd) for _ in range(rng.randint(0, 6)))
     want = {}
     for name, n, how in (("a", 12, {"indent": 1}), ("b", 5, {"separators": (",", ":")}), ("c", 0, {}), ("d", 1, {"ensure_ascii": False})):
