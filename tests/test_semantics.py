@@ -331,3 +331,24 @@ def test_facade(spark, ring):
     assert A.best(A.experiment(lambda a, b: a * b, a=[1, 3], b=[2, 5])) == {"a": 3, "b": 5, "metric": 15}
     with pytest.raises(KeyError):
         A.pipeline("other")
+
+
+# ------------------------------------------------------------- queries on odd vectors
+
+
+def vectors_folder(spark, tmp_path, rows):
+    df = spark.createDataFrame([(i, 0, [float(x) for x in v]) for i, v in enumerate(rows)], "vec_id long, label int, embedding array<float>")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    return str(tmp_path)
+
+
+def test_undefined_distances_reads_the_first_sixteen(spark, tmp_path):
+    late, early = [0.5] * 20 + [-0.5] + [0.5] * 43, [0.5] * 15 + [-0.5] + [0.5] * 48
+    got = registry.queries()["undefined_distances"](spark, vectors_folder(spark, tmp_path, [late, early])).collect()
+    assert [(r["vec_id"], r["js"], r["zero"]) for r in got] == [(1, None, None)]
+
+
+def test_shrunk_features_keep_the_sign_of_zero(spark, tmp_path):
+    v = [-1e-7, 1e-7, 0.0, -0.25] + [0.0] * 60
+    x = registry.queries()["shrunk_features"](spark, vectors_folder(spark, tmp_path, [v])).first()["x"]
+    assert [math.copysign(1, y) for y in x[:3]] == [-1, 1, 1] and x[:3] == [0, 0, 0] and x[3] == -0.124756
