@@ -200,6 +200,14 @@ def test_score_files(spark, tmp_path):
     assert best["b"] == {"x": 0.5}
 
 
+def test_score_object_in_ranges(spark, tmp_path):
+    """One object is read in ranges of bytes: no row holds it whole."""
+    rows = [(f"a{k}", f"i{n}", n / 8) for k in range(20) for n in range(30)]
+    S.write_score_object(spark.createDataFrame(rows, "author_id string, id string, score double"), str(tmp_path / "object"))
+    got = S.read_scores(spark, str(tmp_path / "object"), True, size=256)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(rows)
+
+
 def test_csv_round_trip(spark, tmp_path):
     rows = [(1, 'a "quoted"\nline, with \\ marks', ["x", 'y"'], {"k": 1.5}), (2, None, None, None), (3, "", [], {})]
     df = spark.createDataFrame(rows, "id long, t string, l array<string>, m map<string,double>")
