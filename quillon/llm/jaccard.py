@@ -222,11 +222,15 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     s and t count the nodes outside and inside.
     """
     root = roots.select("node", "root")
-    pivots = roots.select(F.col("node").alias("pivot"), F.col("root").alias("main"))
-    labelled = members.filter("node <> pivot").join(root, "node", "left").join(pivots, "pivot", "left")
-    labelled = cut(labelled.select("key", "node", F.coalesce("root", "node").alias("root"), (F.coalesce("root", "node") != F.coalesce("main", "pivot")).alias("outside")))
-    counts = labelled.groupBy("key").agg(F.sum(F.col("outside").cast("long")).alias("s"), F.sum((~F.col("outside")).cast("long")).alias("t")).filter("s > 0 and s + t > 1")
-    return cut(labelled.join(cut(counts), "key"))
+    # a node meets its root once, with all its buckets
+    held = members.groupBy("node").agg(F.collect_list(F.struct("key", "pivot")).alias("in")).join(root, "node", "left")
+    labelled = cut(held.select("node", F.coalesce("root", "node").alias("root"), F.inline("in")))
+    # the pivot is a member, so a bucket's rows tell its component without another join; closed buckets end here
+    main = F.max(F.when(F.col("node") == F.col("pivot"), F.col("root")))
+    buckets = labelled.groupBy("key").agg(main.alias("main"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).filter("low <> high and m > 2")
+    rows = cut(labelled.filter("node <> pivot").join(cut(buckets.select("key", "main")), "key").select("key", "node", "root", (F.col("root") != F.col("main")).alias("outside")))
+    counts = rows.groupBy("key").agg(F.sum(F.col("outside").cast("long")).alias("s"), F.sum((~F.col("outside")).cast("long")).alias("t"))
+    return cut(rows.join(cut(counts), "key"))
 
 
 def _partnered(rows: DataFrame) -> DataFrame:

@@ -511,3 +511,15 @@ def test_leaks_of_long_short_and_paraphrased_items(spark):
     assert len(want) > 100 and len(want & got) >= 0.95 * len(want)
     assert got <= {(i, f"i{k % len(items)}") for k, i in enumerate(ids[: 3 * len(items)])} | want
     assert {r["item_id"] for r in found if r["doc_id"] is None} == {"i0"}
+
+
+def test_open_buckets_join_nodes_once(spark, monkeypatch):
+    """Buckets of one component are closed, the others' nodes are told from the pivot's component; the one outer join has a row a node."""
+    rows = [(1, n, 10) for n in (10, 11, 12)] + [(2, n, 10) for n in (10, 11, 20, 21, 30)] + [(3, 20, 20), (3, 30, 20)]
+    members = spark.createDataFrame(rows, "key long, node long, pivot long")
+    roots = spark.createDataFrame([(10, 10), (11, 10), (12, 10), (20, 20), (21, 20)], "node long, root long")
+    plans, cut = [], jaccard.cut
+    monkeypatch.setattr(jaccard, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    got = {(r["key"], r["node"], r["root"], r["outside"], r["s"], r["t"]) for r in jaccard._open(members, roots).collect()}
+    assert got == {(2, 11, 10, False, 3, 1), (2, 20, 20, True, 3, 1), (2, 21, 20, True, 3, 1), (2, 30, 30, True, 3, 1)}
+    assert sum("Join LeftOuter" in line for p in plans for line in p.splitlines()) == 1
