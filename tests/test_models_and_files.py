@@ -181,6 +181,27 @@ def test_pagerank_ends_by_its_bound(spark):
     assert len(got) == 13 and max(abs(r["p"] - p[r["id"]]) for r in got) < 1e-3
 
 
+def test_singular_directions_by_rows_are_those_by_joins(spark, monkeypatch):
+    """A small vocabulary takes one pass over whole rows; longer rows, or a larger vocabulary, take joins, with the same directions."""
+    rng = random.Random(9)
+    cells = {(r, f"t{rng.randint(0, 14)}"): rng.random() for r in range(60) for _ in range(6)}
+    m = np.zeros((60, 15))
+    for (r, t), w in cells.items():
+        m[r, int(t[1:])] = w
+    df = spark.createDataFrame([(r, t, w) for (r, t), w in cells.items()], "r long, t string, w double")
+    _, want, right = np.linalg.svd(m)
+    calls, row_products = [], spectra._row_products
+    monkeypatch.setattr(spectra, "_row_products", lambda rows, n: calls.append(n) or row_products(rows, n))
+    for most in (1_024, 2):
+        monkeypatch.setattr(spectra, "ROW_CELLS", most)
+        values, vectors = spectra.singular_directions(df, "r", "t", "w", 3)
+        got = np.zeros((15, 3))
+        for row in vectors.collect():
+            got[int(row["t"][1:])] = row["x"]
+        assert np.allclose(values, want[:3]) and np.allclose(np.abs(np.einsum("kj,jk->k", right[:3], got)), 1)
+    assert calls == [15]
+
+
 # ---------------------------------------------------------------- files
 
 
