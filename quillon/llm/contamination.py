@@ -7,12 +7,12 @@ parts of at most PASSAGE words that a long item is cut into; a longest common
 subsequence of words with the whole item and a check of its answer (its last
 words) decide.
 
-Document frequencies count all passages of the corpus.  The SVD's range finder
-multiplies by a bounded sample of passages, stated below, task by task; the
-items stand in the matrix with more weight, so that the space keeps them
-apart.  The search itself reads every word of every text.  Nothing but the
-counts, the partial products of the sample and the items reaches the driver,
-and the search is one pass without a shuffle.
+Document frequencies count all passages of the corpus.  The SVD is of all of
+them too: each passage's row is added with a random sign to one of SKETCH rows,
+whose Gram matrix estimates that of the passages without bias; the items stand
+in the matrix with more weight, so that the space keeps them apart.  The search
+itself reads every word of every text.  Nothing but the counts, the SKETCH rows
+and the items reaches the driver, and the search is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import words as W
-from .store import written
 
 BITS = 14
 PASSAGE = 64
@@ -35,9 +34,10 @@ SIZES = (2, 4, 8, 16)
 RANK = 63
 OVERSAMPLE = 17
 POWER_ROUNDS = 2
-#: About so many documents (by a hash of their text) give the passages that the SVD is fitted on.
-SAMPLE_DOCS = 2_000
-ITEM_WEIGHT = 30.0
+#: Rows that all passages are added up to, with random signs, for the SVD.
+SKETCH = 256
+#: An item's weight beside a passage's in a corpus of MASS passages; larger corpora weigh as much as MASS passages in all.
+ITEM_WEIGHT, MASS = 30.0, 1 << 14
 #: Items that share a space (about four for a dimension), and how many such blocks one pass over the texts searches for.
 ITEM_BLOCK = 256
 BLOCKS_A_PASS = 16
@@ -68,13 +68,12 @@ def _passages(w: W.Words) -> np.ndarray:
     return first + (np.arange(len(first)) - np.repeat(np.cumsum(runs) - runs, runs)) * PASSAGE
 
 
-def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int, int]:
-    """(passages that hold each place, passages, documents), over the whole corpus."""
+def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
+    """(passages that hold each place, passages), over the whole corpus."""
 
     def run(batches):
-        count, passages, texts = np.zeros(_PLACES, np.int64), 0, 0
+        count, passages = np.zeros(_PLACES, np.int64), 0
         for batch in batches:
-            texts += batch.num_rows
             for _, _, w in _batches(batch.column(0)):
                 if not len(w):
                     continue
@@ -85,12 +84,12 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
                 keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
                 count += np.bincount(keys & (_PLACES - 1), minlength=_PLACES)
         place = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([place, [-1, -2]])), pa.array(np.concatenate([count[place], [passages, texts]]))], names=["place", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(place, -1)), pa.array(np.append(count[place], passages))], names=["place", "n"])
 
-    total = docs.select(text_col).mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()  # at most 2**BITS + 2 rows
+    total = docs.select(text_col).mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()  # at most 2**BITS + 1 rows
     by = dict(zip(total["place"].tolist(), total["n"].tolist()))
     df = np.array([by.get(k, 0) for k in range(_PLACES)], np.int64)
-    return df, by.get(-1, 0), by.get(-2, 0)
+    return df, by.get(-1, 0)
 
 
 def place_weights(df: np.ndarray, passages: int) -> np.ndarray:
@@ -133,40 +132,69 @@ class Items:
         return q / np.maximum((q * q).sum(1, keepdims=True), 1e-4)
 
 
-def _partial(right: np.ndarray, idf: np.ndarray):
-    """Partial products of the sample's passages with their transpose and `right`, one row a task."""
+def _added(idf: np.ndarray):
+    """A task's passages, each added with a sign to one of SKETCH rows: (bucket, places, values)."""
 
     def run(batches):
-        out = np.zeros_like(right)
+        sums = np.zeros(SKETCH * _PLACES, np.float32)
         for batch in batches:
-            for _, _, w in _batches(batch.column(0)):
+            keys = batch.column(0).to_numpy().view(np.uint64)
+            for i, j, w in _batches(batch.column(1)):
                 if not len(w):
                     continue
                 starts = _passages(w)
-                for a in range(0, len(starts), 512):
-                    part = starts[a : a + 512]
-                    lo, hi = part[0], starts[a + 512] if a + 512 < len(starts) else len(w)
-                    place = (w.hashes()[lo:hi] >> _SHIFT).astype(np.int64)
-                    own = np.repeat(np.arange(len(part)), np.diff(np.append(part, hi)))
-                    v = idf[place]
-                    v = v / np.maximum(np.sqrt(np.bincount(own, v * v, len(part))), 1e-9)[own]
-                    left = np.add.reduceat(right[place] * v[:, None], part - lo, axis=0)
-                    order = np.argsort(place, kind="stable")
-                    edge = np.flatnonzero(np.diff(place[order], prepend=-1))
-                    out[place[order][edge]] += np.add.reduceat(left[own[order]] * v[order][:, None], edge, axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array([out.astype("<f4").tobytes()], pa.binary())], names=["m"])
+                n = np.diff(np.append(starts, len(w)))
+                text = np.searchsorted(w.ptr, starts, side="right") - 1
+                mixed = _mixed(keys[i:j][text], starts - w.ptr[text])
+                place = (w.hashes() >> _SHIFT).astype(np.int64)
+                own = np.repeat(np.arange(len(starts)), n)
+                v = idf[place]
+                v = v / np.maximum(np.sqrt(np.bincount(own, v * v, len(starts))), 1e-9)[own]
+                sign = np.where(mixed >> np.uint64(63), 1, -1)
+                np.add.at(sums, (mixed % np.uint64(SKETCH)).astype(np.int64)[own] * _PLACES + place, (v * sign[own]).astype(np.float32))
+        rows = sums.reshape(SKETCH, _PLACES)
+        at = [np.flatnonzero(r) for r in rows]
+        some = [k for k in range(SKETCH) if len(at[k])]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some, pa.int32()), pa.array([at[k].astype("<u2").tobytes() for k in some], pa.binary()), pa.array([rows[k][at[k]].astype("<f4").tobytes() for k in some], pa.binary())], names=["bucket", "places", "values"]
+        )
 
     return run
 
 
-def fit_space(sample: DataFrame, items: Items, idf: np.ndarray, rank: int = RANK, seed: int = 11) -> np.ndarray:
-    """Right singular vectors (2**BITS x rank) of the sample's TF-IDF passages and the weighted items."""
-    width = rank + OVERSAMPLE
+def _mixed(key: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Well mixed 64 bits of a document's hash and a passage's place."""
+    x = key + (at.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _bucket(parts: pa.Table) -> pa.Table:
+    total = np.zeros(_PLACES)
+    for p, v in zip(parts["places"], parts["values"]):
+        total[np.frombuffer(p.as_buffer(), "<u2")] += np.frombuffer(v.as_buffer(), "<f4")
+    return pa.table({"m": pa.array([total.astype("<f4").tobytes()], pa.binary())})
+
+
+def passage_rows(docs: DataFrame, idf: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+    """SKETCH x 2**BITS: the signed sums of all passages' TF-IDF rows, of every text of the corpus.
+
+    Bucket and sign are hashed from the document's id and text and the
+    passage's place, so they don't depend on how rows are dealt to tasks.
+    """
+    keyed = docs.select(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("key"), text_col)
+    parts = keyed.mapInArrow(_added(idf.astype(np.float32)), "bucket int, places binary, values binary")
+    rows = [np.frombuffer(r["m"], "<f4") for r in parts.groupBy("bucket").applyInArrow(_bucket, "m binary").toLocalIterator()]  # SKETCH rows at most
+    return np.stack(rows) if rows else np.zeros((0, _PLACES), np.float32)
+
+
+def fit_space(rows: np.ndarray, passages: int, items: Items, rank: int = RANK, seed: int = 11) -> np.ndarray:
+    """Right singular vectors (2**BITS x rank) of the passages, by their summed rows, and the weighted items."""
+    width, mass = rank + OVERSAMPLE, min(1.0, MASS / max(1, passages))
     right = np.random.Generator(np.random.PCG64(seed)).standard_normal((_PLACES, width))
     for turn in range(POWER_ROUNDS + 1):
-        total = ITEM_WEIGHT**2 * items.product(right)
-        for r in sample.mapInArrow(_partial(right.astype(np.float32), idf.astype(np.float32)), "m binary").toLocalIterator():
-            total += np.frombuffer(r["m"], "<f4").reshape(right.shape)
+        total = ITEM_WEIGHT**2 * items.product(right) + mass * (rows.T @ (rows @ right.astype(np.float32)))
         if turn < POWER_ROUNDS:
             right = np.linalg.qr(total)[0]
     # right has orthonormal columns and total is the Gram matrix times it: Rayleigh-Ritz
@@ -306,9 +334,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         + [T.StructField("first_word", T.IntegerType())]
     )
     spark = docs.sparkSession
-    df, passages, texts = document_frequencies(docs, text_col)
+    df, passages = document_frequencies(docs, text_col)
     idf = place_weights(df, passages)
-    sample, out, waiting = None, spark.createDataFrame([], schema), []
+    rows, out, waiting = None, spark.createDataFrame([], schema), []
 
     def search_pass():
         shared = spark.sparkContext.broadcast(list(waiting))  # at most BLOCKS_A_PASS tables of 2**BITS places
@@ -329,11 +357,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         items = Items(ids, item_texts, idf)
         if not passages or not items.ids:
             continue
-        if sample is None:
-            share = min(1.0, SAMPLE_DOCS / texts)
-            hashed = F.pmod(F.xxhash64(text_col), F.lit(1 << 30)) < int(share * (1 << 30)) + 1
-            sample = written(docs.select(text_col).filter(hashed).distinct(), "sample")
-        waiting.append(Searcher(items, fit_space(sample, items, idf), idf))
+        if rows is None:
+            rows = passage_rows(docs, idf, id_col, text_col)
+        waiting.append(Searcher(items, fit_space(rows, passages, items), idf))
         if len(waiting) == BLOCKS_A_PASS:
             out = out.union(search_pass())
     if waiting:

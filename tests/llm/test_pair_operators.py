@@ -523,3 +523,21 @@ def test_open_buckets_join_nodes_once(spark, monkeypatch):
     got = {(r["key"], r["node"], r["root"], r["outside"], r["s"], r["t"]) for r in jaccard._open(members, roots).collect()}
     assert got == {(2, 11, 10, False, 3, 1), (2, 20, 20, True, 3, 1), (2, 21, 20, True, 3, 1), (2, 30, 30, True, 3, 1)}
     assert sum("Join LeftOuter" in line for p in plans for line in p.splitlines()) == 1
+
+
+def test_space_of_all_passages(spark):
+    """Every passage of every document is in the rows that the space is fitted on, however tasks are dealt, once for each row of the table."""
+    rng, words = random.Random(61), vocabulary(61, 4000)
+    texts = [sentence(rng, words, rng.randint(1, 40)) for _ in range(5000)] + [None, "", sentence(rng, words, 500)]
+    docs = table(spark, texts)
+    df, passages = contamination.document_frequencies(docs)
+    assert passages == 5000 + 8
+    idf = contamination.place_weights(df, passages)
+    one, many = (contamination.passage_rows(docs.repartition(k), idf) for k in (1, 7))
+    assert one.shape == (contamination.SKETCH, 1 << contamination.BITS)
+    assert np.allclose(sorted(one.sum(1)), sorted(many.sum(1)), atol=1e-3)
+    assert ((np.abs(one).sum(0) > 1e-6) == (df > 0)).all()
+    # passages have length 1, so the rows' squares are about their number
+    assert abs((one**2).sum() / passages - 1) < 0.15
+    again = contamination.passage_rows(docs.select((F.col("doc_id") + 10_000).alias("doc_id"), "text").union(docs.select("doc_id", "text")), idf)
+    assert abs((again**2).sum() / (2 * passages) - 1) < 0.15
