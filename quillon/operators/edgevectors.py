@@ -23,6 +23,8 @@ from quillon.operators.partition import _Tables
 BLOCK = 100_000
 #: Draws of one gradient.
 BATCH = 128
+#: Vectors of a batch that leaves a block.
+ROWS = 10_000
 
 _BLOCKS = "kind string, block int, w array<double>, x array<float>"
 
@@ -77,6 +79,21 @@ def _trained(width: int, negative: int, rate: float, seed: int):
     return run
 
 
+def _unblocked(state: DataFrame, width: int) -> DataFrame:
+    """(block, slot, x): a row a vector, so that no node's row ever carries its whole block."""
+
+    def run(batches):
+        for batch in batches:
+            for block, held in zip(batch.column(0).to_pylist(), batch.column(1)):
+                x = np.array(held.values, float).reshape(-1, width)
+                for a in range(0, len(x), ROWS):
+                    part = np.ascontiguousarray(x[a : a + ROWS])
+                    lists = pa.FixedSizeListArray.from_arrays(pa.array(part.ravel()), width).cast(pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int32)), pa.array(np.arange(a, a + len(part), dtype=np.int32)), lists], names=["block", "slot", "x"])
+
+    return state.select("block", "x").mapInArrow(run, "block int, slot int, x array<double>")
+
+
 def edge_embeddings(edges: DataFrame, width: int = 16, order: int = 2, draws: float = 20.0, epochs: int = 5, negative: int = 5, rate: float = 0.05, blocks: int = 4, seed: int = 0) -> DataFrame:
     """(id, x): a vector for each end of an edge, near for nodes that are linked (order 1) or have the same neighbours (order 2).
 
@@ -132,6 +149,4 @@ def edge_embeddings(edges: DataFrame, width: int = 16, order: int = 2, draws: fl
             after = tables.keep(drawn.groupBy("task").cogroup(placed.groupBy("task")).applyInArrow(run, _BLOCKS))
             tables.drop(state)
             state = after
-    flat = state.filter("kind <> 'target'").select("block", F.col("x").alias("_x"))
-    out = nodes.join(flat, "block").select("id", F.transform(F.slice("_x", F.col("slot") * width + 1, F.lit(width)), lambda v: v.cast("double")).alias("x"))
-    return out
+    return nodes.join(_unblocked(state.filter("kind <> 'target'"), width), ["block", "slot"]).select("id", "x")

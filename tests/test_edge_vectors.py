@@ -51,6 +51,21 @@ def test_sampled_edges_of_odd_tables(spark):
     assert L.edge_embeddings(edges.limit(0), 4, 2, epochs=1, blocks=2).count() == 0
 
 
+def test_vectors_leave_their_blocks_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(L, "ROWS", 2)
+    state = spark.createDataFrame([("source", 0, [1.0] * 4, [float(v) for v in range(12)]), ("source", 2, [1.0], [7.0, 8.0, 9.0]), ("source", 3, [], [])], L._BLOCKS)
+    got = {(r["block"], r["slot"]): r["x"] for r in L._unblocked(state, 3).collect()}
+    assert got == {**{(0, k): [3.0 * k, 3.0 * k + 1, 3.0 * k + 2] for k in range(4)}, (2, 0): [7.0, 8.0, 9.0]}
+
+
+def test_no_nodes_row_carries_its_whole_block(spark):
+    rows = [(i, (i * 7 + 1) % 40, 1.0) for i in range(40)]
+    made = L.edge_embeddings(spark.createDataFrame(rows, "src long, dst long, w double"), 4, epochs=1, blocks=2)
+    assert made.count() == 40
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" not in plan and "slot" in plan.split("Join", 1)[1].splitlines()[0]
+
+
 def test_paths_of_one_edge_are_the_edges(spark):
     both = Q._undirected(spark.createDataFrame([(1, 2, 2.0), (2, 3, 1.0), (3, 1, 4.0)], "src long, dst long, w double"))
     got = {(r["src"], r["dst"]): r["w"] for r in Q.path_samples(both, 1, 3).collect()}
