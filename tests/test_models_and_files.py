@@ -494,3 +494,25 @@ def test_dictionaries_in_ranges(spark, tmp_path, size):
     (tmp_path / "empty.json").write_text("")
     got = D.read_dictionary(spark, str(tmp_path), "struct<t:string,l:array<string>,n:struct<x:int>>", size).collect()
     assert len(got) == len(want) and {r["key"]: r["value"].asDict(recursive=True) for r in got} == want
+
+
+@pytest.mark.parametrize("name", [lambda i: i * 3 - 7, lambda i: f"{'é' if i % 3 else 'z'}{i}"])
+def test_tiles_multiply_as_the_dense_matrix_does(spark, monkeypatch, name):
+    from quillon.operators import spectra
+
+    for limit, value in (("HELD", 40), ("CELLS", 25), ("STEP", 7)):  # several blocks of columns and of rows; rows longer than a step
+        monkeypatch.setattr(spectra, limit, value)
+    rng = np.random.default_rng(5)
+    a = np.where(rng.random((30, 30)) < 0.15, rng.normal(size=(30, 30)), 0)
+    a[4], a[:, 9] = 1.5, -0.5
+    a[11] = 0
+    kind = "long" if isinstance(name(0), int) else "string"
+    m = spark.createDataFrame([(name(int(i)), name(int(j)), float(a[i, j])) for i, j in zip(*np.nonzero(a))], f"src {kind}, dst {kind}, w double")
+    ids = spark.createDataFrame([(name(i),) for i in range(30)], f"id {kind}")
+    x = rng.normal(size=(30, 4))
+    vectors = spark.createDataFrame([(name(i), x[i].tolist()) for i in range(30)], f"id {kind}, x array<double>")
+    got = {r["id"]: r["x"] for r in spectra.tiled(m, ids, 4)(vectors, 4).collect()}
+    assert set(got) == {name(i) for i in range(30) if i != 11}
+    assert all(np.allclose(got[name(i)], (a @ x)[i], rtol=0, atol=1e-12) for i in range(30) if i != 11)
+    plan = spectra.tiled(m, ids, 4)(vectors, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan  # no row a cell and vector
