@@ -1,5 +1,6 @@
 """Hand-computed cases of the odd rules, round trips of sources and properties of random operators."""
 
+import re
 import json
 import math
 
@@ -352,3 +353,17 @@ def test_shrunk_features_keep_the_sign_of_zero(spark, tmp_path):
     v = [-1e-7, 1e-7, 0.0, -0.25] + [0.0] * 60
     x = registry.queries()["shrunk_features"](spark, vectors_folder(spark, tmp_path, [v])).first()["x"]
     assert [math.copysign(1, y) for y in x[:3]] == [-1, 1, 1] and x[:3] == [0, 0, 0] and x[3] == -0.124756
+
+
+@pytest.mark.parametrize("name", ["mirrored_edges", "undirected_edges", "neighbour_sample", "heterogeneous_types"])
+def test_tasks_grow_with_the_counted_rows(spark, sf, monkeypatch, name):
+    from quillon.plans import registry
+    from quillon.sources import tables
+
+    run = registry.queries()[name]
+    want = sorted(map(tuple, run(spark, sf).collect()))
+    monkeypatch.setattr(tables, "TASK_ROWS", 500, raising=False)  # some 6 000 lines: 12 tasks or more, where shuffles have 8
+    made = run(spark, sf)
+    assert sorted(map(tuple, made.collect())) == want
+    counts = [int(n) for n in re.findall(r"hashpartitioning\([^)]*?, (\d+)\)", made._jdf.queryExecution().executedPlan().toString())]
+    assert max(counts) >= 12
