@@ -367,3 +367,10 @@ def test_tasks_grow_with_the_counted_rows(spark, sf, monkeypatch, name):
     assert sorted(map(tuple, made.collect())) == want
     counts = [int(n) for n in re.findall(r"hashpartitioning\([^)]*?, (\d+)\)", made._jdf.queryExecution().executedPlan().toString())]
     assert max(counts) >= 12
+
+
+def test_node_types_take_no_sort(spark):
+    edges = spark.createDataFrame([(1, 2, "a"), (2, 3, "b"), (3, 3, "a"), (4, 4, "b"), (None, 1, "a")], "src long, dst long, rel string")
+    made = S.node_types(edges, {"a": (-2, 5), "b": (7, 0)})
+    assert {r["id"]: r["node_type"] for r in made.collect()} == {1: 5, 2: 7, 3: 0, 4: 7, None: -2}
+    assert "SortAggregate" not in made._jdf.queryExecution().executedPlan().toString()
