@@ -132,6 +132,28 @@ def dense(edges, n=10):
     return a
 
 
+def test_products_are_unpacked_in_counted_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    pairs = {(0, k) for k in range(40)} | {(k, 0) for k in range(40)} | {tuple(p) for p in rng.integers(0, 40, (200, 2)).tolist()}  # 0 is a hub
+    edges = spark.createDataFrame([(a, b, float(1 + (a + b) % 3)) for a, b in sorted(pairs)], "src long, dst long, w double")
+    m = np.zeros((40, 40))
+    for a, b in pairs:
+        m[a, b] = 1 + (a + b) % 3
+    full = lambda df: {(r["src"], r["dst"]): r["w"] for r in df.collect()}
+    wanted = lambda x: {(a, b): x[a, b] for a, b in zip(*(k.tolist() for k in np.nonzero(x)))}
+    for packed, rows in ((1_024, 1 << 20), (7, 50)):
+        monkeypatch.setattr(G, "PACKED", packed)
+        monkeypatch.setattr(S, "TASK_ROWS", rows)
+        made = G.product(edges, edges)
+        assert full(made) == wanted(m @ m)
+        products = int(((m > 0).astype(int) @ (m > 0).astype(int)).sum())
+        assert made._jdf.queryExecution().toString().count("hashpartitioning(src") >= 1
+        assert made.rdd.getNumPartitions() >= products / rows
+        got = full(G.katz(edges, 0.1, 3))
+        assert got.keys() == wanted(m + m @ m + m @ m @ m).keys() and all(np.isclose(v, (0.1 * m + 0.01 * m @ m + 0.001 * m @ m @ m)[k]) for k, v in got.items())
+    assert G.product(edges.limit(0), edges).count() == 0
+
+
 def test_products_and_norms(spark, ring):
     edges, nodes = ring
     a, x = dense(edges), np.array([[k, 1.0] for k in range(10)])
