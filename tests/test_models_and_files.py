@@ -466,6 +466,21 @@ def test_alias_tables_and_draws(spark, monkeypatch, items):
     assert all(abs(counts.get(k, 0) / 20_000 - s) < 5 * (s / 20_000) ** 0.5 for k, s in shares.items() if k[0] == "a")
 
 
+def test_alias_draws_are_made_by_many_tasks(spark, monkeypatch):
+    """One group's draws are dealt before they are made, and are those of the group and number alone, in however many stretches."""
+    df = spark.createDataFrame([("a", i, 1.0 + i % 3) for i in range(30)], "g string, i long, w double")
+    wanted = spark.createDataFrame([("a", 1_000)], "g string, n int")
+    found = []
+    for draws in (1 << 12, 10):
+        monkeypatch.setattr(N, "DRAWS", draws)
+        made = N.alias_draws(N.alias_tables(df, "g", "i", "w"), wanted, "g", "n", "t")
+        found.append(sorted(tuple(r) for r in made.collect()))
+    assert found[0] == found[1] and [r[1] for r in found[0]] == list(range(1, 1_001))
+    plain = N.drawn_by(N.alias_tables(df, "g", "i", "w"), spark.range(1, 1_001).select(F.lit("a").alias("group"), F.col("id").cast("int").alias("draw")), "t")
+    assert sorted(tuple(r) for r in plain.collect()) == found[0]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+
+
 def test_alias_shares_of_whole_weights_are_exact(spark, monkeypatch):
     """Shares that end in a 5 at the seventh place round as w / sum(w) does, also over several tables of a group."""
     weights = {i: 33.0 + 2 * i for i in range(100)}
