@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from quillon.sources.tables import cut
 
-#: Bytes of a range.
-RANGE = 16 << 20
+#: Bytes of a range, of which a task holds several numbers a byte, and of a task's ranges together, on average.
+RANGE, TASK_BYTES = 1 << 20, 32 << 20
 _QUOTE, _ESCAPE, _COMMA = ord('"'), ord("\\"), ord(",")
 _STEP = np.zeros(256, np.int8)
 _STEP[[ord("{"), ord("[")]] = 1
@@ -55,11 +55,11 @@ def _strings(data: np.ndarray, before: int) -> np.ndarray:
     run = np.where(k >= 0, quotes - 1 - other[np.maximum(k, 0)], quotes + before) if len(other) else quotes + before
     open_ = np.zeros(len(data), np.int8)
     open_[quotes[run % 2 == 0]] = 1
-    return np.cumsum(open_) % 2 == 1
+    return np.bitwise_and(np.cumsum(open_, dtype=np.int32), 1).astype(bool)
 
 
 def _depths(data: np.ndarray, inside: np.ndarray) -> np.ndarray:
-    return np.cumsum(np.where(inside, 0, _STEP[data]).astype(np.int64))
+    return np.cumsum(np.where(inside, np.int8(0), _STEP[data]), dtype=np.int32)
 
 
 def _summaries(batches):
@@ -127,7 +127,8 @@ def read_dictionary(spark: SparkSession, path: str, value: str, size: int = RANG
     files = spark.read.format("binaryFile").load(path).select("path", F.col("length"))
     ranges = files.filter("length > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long"))).alias("start"), "length")
     ranges = cut(ranges.select("path", "start", F.least(F.lit(size).cast("long"), F.col("length") - F.col("start")).alias("size")))
-    tasks = max(1, min(ranges.count(), 10_000))
+    counted, total = ranges.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    tasks = max(1, min(counted, max(-(-total // TASK_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))))
     told = cut(ranges.repartition(tasks, "path", "start").mapInArrow(_summaries, "path string, start long, size long, flips boolean, outside long, inside long"))
     before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     held = told.withColumn("held", F.coalesce(F.sum(F.col("flips").cast("int")).over(before), F.lit(0)) % 2 == 1)

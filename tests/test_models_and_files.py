@@ -221,6 +221,20 @@ def test_score_files(spark, tmp_path):
     assert best["b"] == {"x": 0.5}
 
 
+def test_scores_are_dealt_to_counted_tasks(spark, monkeypatch):
+    monkeypatch.setattr(S, "SCORE_ROWS", 20)
+    scores = spark.range(600).select((F.col("id") % 60).cast("string").alias("author_id"), F.col("id").cast("string").alias("id"), (F.col("id") / 8).alias("score"))
+    made = S.nested_scores(scores)
+    assert made.rdd.getNumPartitions() == 30 and sum(len(r["scores"]) for r in made.collect()) == 600
+
+
+def test_dictionary_ranges_are_small_and_shared_by_tasks():
+    """A task's arrays of several numbers a byte are those of one range, of which it reads many in turn."""
+    assert D.RANGE <= 2 << 20 <= 16 * D.RANGE <= D.TASK_BYTES
+    data = np.frombuffer(b'{"a": "x\\"{", "b": [1]}', np.uint8)
+    assert D._depths(data, D._strings(data, 0)).dtype == np.int32 and D._depths(data, D._strings(data, 0))[-1] == 0
+
+
 def test_score_object_in_ranges(spark, tmp_path):
     """One object is read in ranges of bytes: no row holds it whole."""
     rows = [(f"a{k}", f"i{n}", n / 8) for k in range(20) for n in range(30)]
