@@ -107,8 +107,14 @@ def community_files(spark, d):
     return S.community_labels(S.numbered_lines(spark.read.text(to)))
 
 
-def _objects(rows, bucket, key, value):
-    """One JSON object a bucket, each in a file of its own: {key: value}."""
+#: Entries of a JSON object that one task holds as a text, on average.
+OBJECT = 1 << 11
+
+
+def _objects(rows, key, value, least):
+    """JSON objects {key: value} of about OBJECT entries each, but at least so many objects, each in a file and a task of its own."""
+    count, bucket = max(least, -(-rows.count() // OBJECT)), "bucket"
+    rows = rows.withColumn(bucket, F.pmod(F.xxhash64(key), F.lit(count))).repartition(count, bucket)
     entries = F.concat_ws(", ", F.collect_list(F.concat(F.lit('"'), F.col(key).cast("string"), F.lit('": '), F.to_json(value))))
     to = new_path(rows.sparkSession, "dictionary")
     rows.groupBy(bucket).agg(F.concat(F.lit("{"), entries, F.lit("}")).alias("value")).write.partitionBy(bucket).text(to)
@@ -120,7 +126,7 @@ def paper_dictionary(spark, d):
     """Papers of JSON dictionaries, whole texts inside, read in byte ranges."""
     people = F.array(F.struct(F.col("source").alias("name"), F.lit("").alias("org")))
     value = F.struct(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("abstract"), people.alias("authors"), F.col("lang").alias("venue"), F.col("n_chars").cast("int").alias("year"))
-    path = _objects(table(spark, d, "documents").withColumn("bucket", F.pmod("doc_id", F.lit(8))), "bucket", "doc_id", value)
+    path = _objects(table(spark, d, "documents"), "doc_id", value, 8)
     return S.read_papers(spark, path, 1 << 18).select("id", "abstract", "venue", F.col("year").cast("bigint").alias("year"), F.col("authors")[0]["name"].alias("name"), F.size("authors").cast("bigint").alias("people"))
 
 
@@ -131,7 +137,7 @@ def author_dictionary(spark, d):
     """Author dictionaries with lists of right and wrong items, read in byte ranges and unpivoted."""
     o = table(spark, d, "orders").groupBy("o_custkey").agg(*(F.transform(F.array_sort(F.collect_list(F.when(mark, F.col("o_orderkey")))), lambda k: k.cast("string")).alias(name) for name, mark in (("normal_data", F.col("o_orderstatus") == "F"), ("outliers", F.col("o_orderstatus") != "F"))))
     c = table(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"))
-    path = _objects(c, "c_nationkey", "c_custkey", F.struct(F.col("c_name").alias("name"), "normal_data", "outliers"))
+    path = _objects(c, "c_custkey", F.struct(F.col("c_name").alias("name"), "normal_data", "outliers"), 25)
     return rounded(S.read_authors(spark, path, 1 << 16))
 
 

@@ -235,6 +235,17 @@ def test_dictionary_ranges_are_small_and_shared_by_tasks():
     assert D._depths(data, D._strings(data, 0)).dtype == np.int32 and D._depths(data, D._strings(data, 0))[-1] == 0
 
 
+def test_objects_grow_in_number_not_in_size(spark, monkeypatch):
+    from quillon.plans import files
+
+    monkeypatch.setattr(files, "OBJECT", 10)
+    rows = spark.range(300).select("id", F.struct(F.col("id").cast("string").alias("id")).alias("v"))
+    path = files._objects(rows, "id", F.col("v"), 8)
+    sizes = [r["n"] for r in spark.read.text(path, wholetext=True).select((F.size(F.split("value", '"id":')) - 1).alias("n")).collect()]
+    assert sum(sizes) == 300 and len(sizes) > 25 and max(sizes) <= 40
+    assert sorted(int(r["id"]) for r in S.read_papers(spark, path, 64).select("id").collect()) == list(range(300))
+
+
 def test_score_object_in_ranges(spark, tmp_path):
     """One object is read in ranges of bytes: no row holds it whole."""
     rows = [(f"a{k}", f"i{n}", n / 8) for k in range(20) for n in range(30)]
