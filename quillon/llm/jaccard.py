@@ -249,9 +249,10 @@ def _searched(rows: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
     nodes that share one of their first buckets are left to that bucket.
     """
     outside = F.col("outside")
-    first = F.slice(F.array_sort(F.collect_list("key")), 1, FIRST)
-    firsts = rows.groupBy("node").agg(first.alias("f")).select("node", *(F.coalesce(F.get("f", F.lit(k)), F.lit((1 << 63) - 1)).alias(f"f{k}") for k in range(FIRST)))
-    rows = rows.join(firsts, "node").join(_among(reps, rows.select("node")).select("node", "n", "vec"), "node")
+    # a node meets its point once, with all its open buckets, in order of their keys
+    held = rows.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("key", "root", "outside", "s", "t"))).alias("in"))
+    held = held.join(_among(reps, rows.select("node")).select("node", "n", "vec"), "node")
+    rows = held.select("node", "n", "vec", *(F.coalesce(F.get("in.key", F.lit(k)), F.lit((1 << 63) - 1)).alias(f"f{k}") for k in range(FIRST)), F.inline("in"))
     cs, ct = F.ceil(F.col("s") / BLOCK), F.ceil(F.col("t") / BLOCK)
     spot = F.pmod(F.xxhash64("node"), F.when(outside, cs).otherwise(F.greatest(ct, F.lit(1)))).cast("long")
     rows = rows.withColumn("c", F.when(outside, spot).otherwise(cs + spot)).withColumn("j", F.explode(F.when(outside, F.sequence(F.lit(0).cast("long"), cs + ct - 1)).otherwise(F.sequence(F.lit(0).cast("long"), cs - 1))))

@@ -541,3 +541,18 @@ def test_space_of_all_passages(spark):
     assert abs((one**2).sum() / passages - 1) < 0.15
     again = contamination.passage_rows(docs.select((F.col("doc_id") + 10_000).alias("doc_id"), "text").union(docs.select("doc_id", "text")), idf)
     assert abs((again**2).sum() / (2 * passages) - 1) < 0.15
+
+
+def test_a_node_meets_its_point_once(spark):
+    """However many open buckets a node is in, the joins of the search have a row a node; its buckets are laid out behind them."""
+    from quillon.llm.store import scratch
+
+    one, other = (np.unique(np.random.default_rng(k).integers(0, 2**64, 100, np.uint64)) for k in (1, 2))
+    sets = {1: one, 2: one, 3: other, 4: other}
+    reps = spark.createDataFrame([(n, n, 100, bytearray(jaccard._counts(s, jaccard.GROUPS)), bytearray(jaccard._counts(s, jaccard.GROUPS))) for n, s in sets.items()], "node long, id long, n long, vec binary, fine binary")
+    rows = spark.createDataFrame([(key, n, n, n > 2, 2, 2) for key in range(9) for n in sets], "key long, node long, root long, outside boolean, s long, t long")
+    with scratch(spark):
+        found = jaccard._searched(rows, reps, 90, 100)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert re.search(r"inline\(in#\d+\).*Join", plan, re.S) and "inline" not in plan[plan.index("Join"):]
+        assert [tuple(r) for r in found.collect()] == [(4, 3)]
