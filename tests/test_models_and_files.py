@@ -556,3 +556,28 @@ def test_tiles_multiply_as_the_dense_matrix_does(spark, monkeypatch, name):
     assert all(np.allclose(got[name(i)], (a @ x)[i], rtol=0, atol=1e-12) for i in range(30) if i != 11)
     plan = spectra.tiled(m, ids, 4)(vectors, 4)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan  # no row a cell and vector
+
+
+# ---------------------------------------------------------------- alias tables, round 4
+
+
+def test_alias_tables_are_the_same_however_rows_arrive(spark, monkeypatch):
+    monkeypatch.setattr(N, "ALIAS_ITEMS", 20)
+    rows = [("a", i, float(1 + i * 7 % 13)) for i in range(60)] + [("b", i, float(1 + i)) for i in range(5)]
+    made = []
+    for order in (rows, rows[::-1]):
+        tables = N.alias_tables(spark.createDataFrame(order, "g string, i long, w double").coalesce(1), "g", "i", "w")
+        made.append([sorted(map(tuple, t.collect())) for t in tables])
+    assert made[0] == made[1]
+    plan = N.alias_shares(tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 2  # both sides of a place come from one making of each table
+
+
+def test_alias_shares_round_and_filter_as_the_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, 10, 41.0), (1, 11, 599.0), (2, 10, -3.0), (2, 10, 5.0), (2, 11, 2.0), (2, 12, -1.0)]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = duckdb.sql(registry.oracle_sql()["alias_shares"].replace("FROM lineitem", f"FROM '{tmp_path}/lineitem.parquet/*.parquet'")).fetchall()
+    got = [tuple(r) for r in registry.queries()["alias_shares"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and (1, 10, 0.064062) in got
